@@ -40,7 +40,8 @@ def _checked_ts(df: DataFrame, timestamp: str, on_invalid: str):
 def behavior_features(df: DataFrame, user: str = "user_id", amount: str = "amount",
                       timestamp: str = "timestamp", tiebreak: str | None = None,
                       mean_days: int = DEFAULT_MEAN_DAYS, count_days: int = DEFAULT_COUNT_DAYS,
-                      bucket_days: int | None = None, on_invalid: str = "fail") -> DataFrame:
+                      bucket_days: int | None = None, on_invalid: str = "fail",
+                      keep_sums: bool = False) -> DataFrame:
     require_columns(df, [user, amount, timestamp], "behaviour input")
     if tiebreak is None:
         # input position of the scan; pass an explicit column for reruns
@@ -59,6 +60,8 @@ def behavior_features(df: DataFrame, user: str = "user_id", amount: str = "amoun
     windowed = (rows.select("*", mean_frame["mean"].alias("user_mean_30d"),
                             mean_frame["std"].alias("user_std_30d"),
                             count_frame["count"].alias("txn_count_7d"),
+                            mean_frame["sum"].alias("user_sum_30d"),
+                            mean_frame["count"].alias("user_n_30d"),
                             prev.alias("_prev_us"))
                     .filter(F.col(tf.PRIMARY)))
 
@@ -73,4 +76,6 @@ def behavior_features(df: DataFrame, user: str = "user_id", amount: str = "amoun
               .withColumn("hours_since_last_tx", F.coalesce(gap / F.lit(3.6e9), F.lit(-1.0))))
     keep = [c for c in df.columns] + ["amount_zscore", "user_mean_30d", "user_std_30d",
                                       "txn_count_7d", "hours_since_last_tx"]
+    if keep_sums:  # exact window sum and count behind user_mean_30d
+        keep += ["user_sum_30d", "user_n_30d"]
     return out.select(*keep)

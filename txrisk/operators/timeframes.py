@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_tb"
+EXACT = "decimal(38,10)"
 PRIMARY = "_tb_primary"
 DAY_US = 86_400_000_000
 
@@ -61,18 +62,22 @@ def trailing_moments(value: str, key: str, us: str, tiebreak: str, length_us: in
     B = same-instant peers up to this row. Pairwise merge of (n, mean, M2).
     """
     v = F.col(value).cast("double")
+    exact = F.col(value).cast(EXACT)
     wa = frame_by_time(key, us, -length_us + 1, -1)
     wb = peers_up_to_row(key, us, tiebreak)
     na, ma, va = F.count(v).over(wa), F.avg(v).over(wa), F.var_pop(v).over(wa)
     nb, mb, vb = F.count(v).over(wb), F.avg(v).over(wb), F.var_pop(v).over(wb)
     n = na + nb
-    total = F.coalesce(ma * na, F.lit(0.0)) + F.coalesce(mb * nb, F.lit(0.0))
-    mean = F.when(n > 0, total / n)
+    # exact sum: the mean does not depend on summation order
+    total_exact = F.coalesce(F.sum(exact).over(wa), F.lit(0).cast(EXACT)) + \
+        F.coalesce(F.sum(exact).over(wb), F.lit(0).cast(EXACT))
+    total_exact = total_exact.cast(EXACT)
+    mean = F.when(n > 0, total_exact.cast("double") / n)
     delta = F.coalesce(ma - mb, F.lit(0.0))
     m2 = (F.coalesce(va * na, F.lit(0.0)) + F.coalesce(vb * nb, F.lit(0.0))
           + F.when(n > 0, delta * delta * na * nb / n).otherwise(F.lit(0.0)))
     std = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)))
-    return {"count": n, "mean": mean, "std": std}
+    return {"count": n, "mean": mean, "std": std, "sum": total_exact}
 
 
 def bucket_carry(df: DataFrame, key: str, us: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -88,3 +93,18 @@ def bucket_carry(df: DataFrame, key: str, us: str, extra: dict[str, Column] | No
     cols = [F.col(key), F.col(BUCKET), F.max("_last_us").over(earlier).alias("prev_last_us")]
     cols += [F.coalesce(F.max(f"_any_{n}").over(earlier), F.lit(0)).alias(f"prev_any_{n}") for n in extra]
     return summary.select(*cols)
+
+
+def half_up_mean(total: Column, n: Column, digits: int = 6) -> Column:
+    """sum / n rounded half away from zero at ``digits`` in exact integer
+    arithmetic (no float summation or double rounding), as double."""
+    scaled = (total * F.lit(10 ** 10)).cast("decimal(38,0)")
+    unit = (n.cast("decimal(38,0)") * F.lit(10 ** (10 - digits))).cast("decimal(38,0)")
+    units = (F.abs(scaled) * 2 + unit).cast("decimal(38,0)")
+    q = F.when(n > 0, F.signum(scaled) * _int_div(units, (unit * 2).cast("decimal(38,0)")))
+    return q / F.lit(float(10 ** digits))
+
+
+def _int_div(a: Column, b: Column) -> Column:
+    """Integral division (SQL ``div``) of two exact decimals -> bigint."""
+    return F.call_function("div", a, b)

@@ -97,7 +97,7 @@ def transfers(spark: SparkSession, sf_dir: str, bucket_days: int = 14) -> DataFr
         F.col("ts").cast("timestamp").alias("timestamp"),
         (((amount > F.lit(0.7) * F.col("c_acctbal")) & (F.col("k") % 2 == 0))
          | ((F.col("event_type") == "error") & (F.col("k") < 5))).cast("int").alias("fraud_label"),
-        F.col("user_id").alias("user_key"), "k", "event_type", "failed_count_7d", "c_mktsegment",
+        F.col("user_id").alias("user_key"), "k", "event_type", "failed_count_7d", "c_mktsegment", "c_acctbal",
     )
 
 
@@ -142,6 +142,19 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.array(*items).alias("contribs"))
 
 
+def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, text: event instants written as ISO-8601 with Z, with a
+    +03:00 offset, naive, or unparsable (every 7th event)."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    eid = F.col("event_id")
+    text = (F.when(eid % 7 == 0, F.concat(F.lit("bad-"), eid.cast("string")))
+             .when(eid % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+             .when(eid % 3 == 1, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"),
+                                          F.lit("+03:00")))
+             .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return ev.select("event_id", text.alias("text"))
+
+
 def behavior_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),

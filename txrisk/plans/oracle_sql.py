@@ -46,7 +46,7 @@ ev AS (
     (isodow(ts) >= 6) AS is_weekend,
     ts AS "timestamp",
     CAST(((amount > 0.7 * c_acctbal AND k % 2 = 0) OR (event_type = 'error' AND k < 5)) AS INTEGER) AS fraud_label,
-    user_id AS user_key, k, event_type, CAST(failed7 AS INTEGER) AS failed_count_7d, c_mktsegment
+    user_id AS user_key, k, event_type, CAST(failed7 AS INTEGER) AS failed_count_7d, c_mktsegment, c_acctbal
   FROM evw JOIN customer ON user_id = c_custkey
 )"""
 
@@ -104,3 +104,238 @@ SELECT fraud_label,
   round(avg(transaction_count_24h), 6) AS mean_transaction_count_24h,
   round(avg(card_age_months), 6) AS mean_card_age_months
 FROM feat GROUP BY fraud_label"""
+
+
+def u01(expr: str) -> str:
+    return f"(CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+LEGACY_RAW_CTE = f"""
+legacy_raw AS (
+  SELECT transaction_id AS Transaction_ID, user_id AS User_ID, transaction_amount AS Transaction_Amount,
+    strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "Timestamp",
+    account_balance_before AS Account_Balance,
+    CAST(previous_fraud_flag AS INTEGER) AS Previous_Fraudulent_Activity,
+    transaction_count_24h AS Daily_Transaction_Count,
+    avg_transaction_amount_7d AS Avg_Transaction_Amount_7d,
+    failed_count_7d AS Failed_Transaction_Count_7d,
+    c_mktsegment AS Card_Type,
+    card_age_months * 30 AS Card_Age,
+    {u01("CAST(event_id AS VARCHAR) || '|risk'")} AS Risk_Score,
+    CAST(is_weekend AS INTEGER) AS Is_Weekend,
+    fraud_label AS Fraud_Label
+  FROM transfers
+)"""
+
+SCORES_CTE = f"""
+scores AS (
+  SELECT event_id, fraud_label AS label,
+    floor(1000 * (0.5 * {u01("CAST(event_id AS VARCHAR) || '|score'")}
+                  + 0.5 * fraud_label * {u01("CAST(event_id AS VARCHAR) || '|pos'")})) / 1000 AS score
+  FROM transfers
+)"""
+
+ORACLE["amount_ratios"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE) + """
+SELECT event_id, round(amount_to_avg_ratio, 6) AS amount_to_avg_ratio,
+  round(balance_drain_ratio, 6) AS balance_drain_ratio,
+  round(CASE WHEN rz > 1 THEN 1.0 ELSE rz END, 6) + 0.0 AS drain_zero_only,
+  round(CASE WHEN rn > 1 THEN 1.0 ELSE rn END, 6) + 0.0 AS drain_nonpositive
+FROM (SELECT *, transaction_amount / CASE WHEN c_acctbal = 0 THEN 1.0 ELSE c_acctbal END AS rz,
+                transaction_amount / CASE WHEN c_acctbal <= 0 THEN 1.0 ELSE c_acctbal END AS rn FROM feat)"""
+
+ORACLE["velocity_features"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE) + """
+SELECT event_id, round(velocity_24h, 6) AS velocity_24h, round(velocity_7d, 6) AS velocity_7d,
+  round(velocity_burst, 6) AS velocity_burst FROM feat"""
+
+ORACLE["risk_indicators"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE) + """
+SELECT event_id, is_new_card, is_round_amount, is_large_amount, is_off_hours FROM feat"""
+
+ORACLE["time_features"] = with_ctes(TRANSFERS_CTE) + """
+SELECT event_id, CAST(hour("timestamp") AS INTEGER) AS txn_hour,
+  CAST(isodow("timestamp") - 1 AS INTEGER) AS txn_day_of_week,
+  CAST(month("timestamp") AS INTEGER) AS txn_month FROM transfers"""
+
+ORACLE["parse_timestamps"] = """
+WITH t AS (
+  SELECT event_id, CASE
+    WHEN event_id % 7 = 0 THEN 'bad-' || CAST(event_id AS VARCHAR)
+    WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN event_id % 3 = 1 THEN strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%S') || '+03:00'
+    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS text
+  FROM events
+), p AS (
+  SELECT event_id, text, CASE
+    WHEN text LIKE '%Z' THEN try_strptime(text, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN text LIKE '%+03:00' THEN try_strptime(substr(text, 1, 19), '%Y-%m-%dT%H:%M:%S') - INTERVAL 3 HOUR
+    ELSE try_strptime(text, '%Y-%m-%d %H:%M:%S') END AS ts
+  FROM t
+)
+SELECT event_id, text, epoch_us(ts) AS parsed_us, CAST(hour(ts) AS INTEGER) AS txn_hour,
+  ts IS NOT NULL AS is_valid FROM p"""
+
+ORACLE["subset_rename"] = with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE) + """
+SELECT User_ID AS user_id, round(Transaction_Amount, 6) AS transaction_amount, "Timestamp" AS "timestamp",
+  round(Account_Balance, 6) AS account_balance, Previous_Fraudulent_Activity AS previous_fraudulent_activity,
+  Daily_Transaction_Count AS daily_transaction_count, round(Avg_Transaction_Amount_7d, 6) AS avg_transaction_amount_7d,
+  Failed_Transaction_Count_7d AS failed_transaction_count_7d, Card_Type AS card_type, Card_Age AS card_age,
+  round(Risk_Score, 6) AS risk_score, Is_Weekend AS is_weekend, Fraud_Label AS fraud_label
+FROM legacy_raw"""
+
+ORACLE["legacy_features"] = with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE) + """
+SELECT User_ID AS user_id, round(Transaction_Amount, 6) AS amount, round(Account_Balance, 6) AS account_balance,
+  Previous_Fraudulent_Activity AS previous_fraudulent_activity,
+  CAST(Daily_Transaction_Count AS DOUBLE) AS daily_transaction_count,
+  round(Avg_Transaction_Amount_7d, 6) AS avg_transaction_amount_7d,
+  CAST(Failed_Transaction_Count_7d AS DOUBLE) AS failed_transaction_count_7d,
+  Card_Type AS card_type, CAST(Card_Age AS DOUBLE) AS card_age, round(Risk_Score, 6) AS risk_score,
+  Is_Weekend AS is_weekend,
+  CAST(hour(CAST("Timestamp" AS TIMESTAMP)) AS INTEGER) AS txn_hour,
+  CAST(isodow(CAST("Timestamp" AS TIMESTAMP)) - 1 AS INTEGER) AS txn_day_of_week,
+  CAST(month(CAST("Timestamp" AS TIMESTAMP)) AS INTEGER) AS txn_month,
+  Fraud_Label AS is_fraud
+FROM legacy_raw"""
+
+ORACLE["legacy_layout_adapter"] = with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE) + f"""
+SELECT Transaction_ID,
+  round(CASE WHEN r1 > 100 THEN 100.0 ELSE r1 END, 6) AS amount_to_avg_ratio,
+  round(CASE WHEN r2 > 1 THEN 1.0 ELSE r2 END, 6) AS balance_drain_ratio,
+  round(v24, 6) AS velocity_24h, round(v7, 6) AS velocity_7d,
+  round(CASE WHEN v24 / (CASE WHEN v7 = 0 THEN 0.01 ELSE v7 END) > 50 THEN 50.0
+             ELSE v24 / (CASE WHEN v7 = 0 THEN 0.01 ELSE v7 END) END, 6) AS velocity_burst,
+  Card_Age AS card_age_months, Card_Type AS card_type,
+  CAST({u01("Transaction_ID || '|new_receiver'")} > 0.7 AS INTEGER) AS is_new_receiver,
+  CAST(Card_Age < 3 AS INTEGER) AS is_new_card,
+  CAST(Transaction_Amount % 100 = 0 AS INTEGER) AS is_round_amount,
+  CAST(Transaction_Amount > 5000 AS INTEGER) AS is_large_amount,
+  CAST(hr < 6 OR hr > 22 AS INTEGER) AS is_off_hours,
+  Previous_Fraudulent_Activity AS previous_fraud_flag, Is_Weekend AS is_weekend,
+  hr AS txn_hour, dow AS txn_day_of_week, Fraud_Label AS label
+FROM (
+  SELECT *, Transaction_Amount / CASE WHEN Avg_Transaction_Amount_7d = 0 THEN 1.0 ELSE Avg_Transaction_Amount_7d END AS r1,
+    Transaction_Amount / CASE WHEN Account_Balance = 0 THEN 1.0 ELSE Account_Balance END AS r2,
+    Daily_Transaction_Count / 24.0 AS v24, Daily_Transaction_Count * 3 / 168.0 AS v7,
+    CAST(coalesce(hour(try_cast("Timestamp" AS TIMESTAMP)), 12) AS INTEGER) AS hr,
+    CAST(coalesce(isodow(try_cast("Timestamp" AS TIMESTAMP)) - 1, 0) AS INTEGER) AS dow
+  FROM legacy_raw)"""
+
+_LEGACY_COLS = ["Transaction_ID", "User_ID", "Transaction_Amount", "Timestamp", "Account_Balance",
+                "Previous_Fraudulent_Activity", "Daily_Transaction_Count", "Avg_Transaction_Amount_7d",
+                "Failed_Transaction_Count_7d", "Card_Type", "Card_Age", "Risk_Score", "Is_Weekend", "Fraud_Label"]
+ORACLE["dataset_profile"] = with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE) + "\n" + "\nUNION ALL\n".join(
+    f'SELECT CAST({i} AS INTEGER) AS position, \'{c}\' AS column_name, '
+    f'CAST(count(*) - count("{c}") AS BIGINT) AS null_count, CAST(count(*) AS BIGINT) AS n_rows, '
+    f'CAST({len(_LEGACY_COLS)} AS INTEGER) AS n_columns FROM legacy_raw'
+    for i, c in enumerate(_LEGACY_COLS))
+
+ORACLE["target_check"] = with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE) + """
+SELECT 'is_fraud' AS target_column, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(sum(CASE WHEN Fraud_Label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+  CAST(sum(CASE WHEN Fraud_Label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+  CAST(sum(CASE WHEN Fraud_Label IN (0, 1) THEN 0 ELSE 1 END) AS BIGINT) AS invalid,
+  sum(CASE WHEN Fraud_Label IN (0, 1) THEN 0 ELSE 1 END) = 0 AS is_binary
+FROM legacy_raw"""
+
+ORACLE["positive_rate"] = with_ctes(TRANSFERS_CTE) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, round(avg(fraud_label), 6) AS positive_rate FROM transfers"""
+
+ORACLE["class_weight"] = with_ctes(TRANSFERS_CTE) + """
+SELECT CAST(sum(fraud_label) AS BIGINT) AS positives, CAST(sum(1 - fraud_label) AS BIGINT) AS negatives,
+  round(sum(1 - fraud_label) / sum(fraud_label), 6) AS scale_pos_weight FROM transfers"""
+
+PART_COUNTS_CTE = """
+pc AS (
+  SELECT 'p_type' AS "column", p_type AS value, CAST(count(*) AS BIGINT) AS count FROM part WHERE p_type IS NOT NULL GROUP BY p_type
+  UNION ALL
+  SELECT 'p_brand', p_brand, CAST(count(*) AS BIGINT) FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand
+)"""
+
+ORACLE["category_counts"] = with_ctes(PART_COUNTS_CTE) + """
+SELECT "column", value, count FROM pc"""
+
+ORACLE["topk_categories"] = with_ctes(PART_COUNTS_CTE) + """
+SELECT * FROM (SELECT "column", value, count,
+  CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC) AS INTEGER) AS rank FROM pc)
+WHERE rank <= 20"""
+
+ORACLE["mode_fit"] = with_ctes(PART_COUNTS_CTE) + """
+SELECT "column", value AS mode, count FROM (SELECT *,
+  row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC) AS rn FROM pc) WHERE rn = 1"""
+
+_NUMERIC = ["amount_to_avg_ratio", "balance_drain_ratio", "velocity_24h", "velocity_7d", "velocity_burst",
+            "card_age_months", "is_new_receiver", "is_new_card", "is_round_amount", "is_large_amount",
+            "is_off_hours", "previous_fraud_flag", "is_weekend", "txn_hour", "txn_day_of_week"]
+_FEAT_ALIAS = {"is_new_receiver": "new_recv_i", "previous_fraud_flag": "prev_flag_i", "is_weekend": "weekend_i"}
+
+NUMERIC_LONG_CTE = """
+numlong AS (
+""" + "\n  UNION ALL\n".join(
+    f"  SELECT '{c}' AS \"column\", CAST({_FEAT_ALIAS.get(c, c)} AS DOUBLE) AS value FROM feat" for c in _NUMERIC) + "\n)"
+
+ORACLE["numeric_fit"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE, NUMERIC_LONG_CTE) + """
+SELECT "column", round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std FROM (
+  SELECT "column", quantile_cont(value, 0.5) AS median,
+    avg(coalesce(value, med)) AS mean, stddev_pop(coalesce(value, med)) AS std
+  FROM (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY "column") AS med FROM numlong)
+  GROUP BY "column")"""
+
+ORACLE["pattern_tags"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE) + """
+SELECT event_id, concat_ws(',', t1, t2, t3, t4, t5) AS pattern_tags,
+  CAST((t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT + (t3 IS NOT NULL)::INT + (t4 IS NOT NULL)::INT
+       + (t5 IS NOT NULL)::INT AS INTEGER) AS n_patterns
+FROM (SELECT event_id,
+  CASE WHEN balance_drain_ratio >= 0.7 THEN 'balance_drain' END AS t1,
+  CASE WHEN amount_to_avg_ratio >= 10 THEN 'amount_spike' END AS t2,
+  CASE WHEN transaction_count_24h >= 10 THEN 'velocity_burst' END AS t3,
+  CASE WHEN card_age_months < 3 AND transaction_amount >= 1000 THEN 'new_card' END AS t4,
+  CASE WHEN balance_drain_ratio >= 0.8 AND transaction_count_24h >= 5 AND card_age_months < 6 THEN 'combined' END AS t5
+  FROM feat)"""
+
+ORACLE["flag_threshold"] = with_ctes(TRANSFERS_CTE, SCORES_CTE) + """
+SELECT event_id, score, score >= 0.5 AS is_flagged FROM scores"""
+
+ORACLE["risk_policy"] = with_ctes(TRANSFERS_CTE, SCORES_CTE) + """
+SELECT event_id, round(score, 4) AS risk_score,
+  CASE WHEN score < 0.30 THEN 'LOW' WHEN score < 0.70 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+  CASE WHEN score < 0.30 THEN 'APPROVE' WHEN score < 0.70 THEN 'HOLD' ELSE 'BLOCK' END AS recommended_action
+FROM scores"""
+
+
+# ---- behaviour windows: independent self-join over (t - d, t] with ties by position ----
+
+def _behavior_oracle(source: str, select: str) -> str:
+    return f"""
+WITH src AS ({source}),
+b AS (SELECT *, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us FROM src),
+pairs AS (
+  SELECT x.row_id, y.amount AS amt, y.us AS yus, x.us AS xus
+  FROM b x JOIN b y ON x.user_id = y.user_id
+   AND y.us > x.us - 30 * 86400000000 AND (y.us < x.us OR (y.us = x.us AND y.row_id <= x.row_id))
+),
+roll AS (
+  SELECT row_id, sum(CAST(amt AS DECIMAL(38,10))) AS sum30, count(amt) AS n30, stddev_samp(amt) AS s30,
+    count(amt) FILTER (WHERE yus > xus - 7 * 86400000000) AS c7
+  FROM pairs GROUP BY row_id
+),
+us_stats AS (SELECT user_id, avg(amount) AS um, stddev_samp(amount) AS us_sd FROM b GROUP BY user_id),
+prev AS (
+  SELECT row_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, row_id) AS gap FROM b
+)
+SELECT {select} FROM b JOIN roll USING (row_id) JOIN us_stats USING (user_id) JOIN prev USING (row_id)"""
+
+
+ORDERS_SRC = 'SELECT o_orderkey AS row_id, o_custkey AS user_id, o_totalprice AS amount, o_orderdate AS "timestamp" FROM orders'
+EVENTS_SRC = 'SELECT event_id AS row_id, user_id, value AS amount, ts AS "timestamp" FROM events'
+_Z = "round(coalesce((amount - um) / CASE WHEN us_sd <> 0 THEN us_sd END, 0.0), 6) + 0.0 AS amount_zscore"
+# mean rounded half away from zero in exact integer arithmetic
+_MEAN = ("CASE WHEN n30 > 0 THEN sign(CAST(sum30 * 10000000000 AS HUGEINT)) * "
+         "((2 * abs(CAST(sum30 * 10000000000 AS HUGEINT)) + n30 * 10000) // (2 * n30 * 10000)) / 1000000.0 END")
+_M = f"{_MEAN} AS user_mean_30d, round(s30, 6) AS user_std_30d"
+_C = "CAST(c7 AS BIGINT) AS txn_count_7d"
+_H = "round(coalesce(gap / 3600000000.0, -1.0), 6) AS hours_since_last_tx"
+
+ORACLE["amount_zscore"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_Z}")
+ORACLE["rolling_30d"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_M}")
+ORACLE["rolling_7d_count"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_C}")
+ORACLE["hours_since_last"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_H}")
+ORACLE["behavior_features"] = _behavior_oracle(
+    EVENTS_SRC, f"row_id, user_id, round(amount, 6) AS amount, {_Z}, {_M}, {_C}, {_H}")

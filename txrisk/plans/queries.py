@@ -39,3 +39,187 @@ def class_means(spark, sf_dir):
     out = df.groupBy("fraud_label").agg(F.count(F.lit(1)).alias("n_rows"),
                                         *[F.avg(c).alias(f"mean_{c}") for c in cols])
     return round_doubles(out)
+
+
+# ---- scalar features (F2-F17) ----
+
+from txrisk.functions import scalars as S  # noqa: E402
+from txrisk.operators import aggregates as A  # noqa: E402
+from txrisk.operators import legacy as lg  # noqa: E402
+from txrisk.operators.patterns import pattern_tags as _pattern_tags  # noqa: E402
+from txrisk.schemas import TRANSFER_FEATURE_COLUMNS  # noqa: E402
+
+NUMERIC_FEATURES = [c for c in TRANSFER_FEATURE_COLUMNS if c != "card_type"]
+
+
+@query
+def amount_ratios(spark, sf_dir):
+    t = fx.transfers(spark, sf_dir)
+    amt, bal = F.col("transaction_amount"), F.col("c_acctbal")
+    out = tr.amount_ratios(t).select(
+        "event_id", "amount_to_avg_ratio", "balance_drain_ratio",
+        S.capped_ratio(amt, bal, 1.0, 1.0, "zero_only").alias("drain_zero_only"),
+        S.capped_ratio(amt, bal, 1.0, 1.0, "nonpositive").alias("drain_nonpositive"))
+    return round_doubles(out)
+
+
+@query
+def velocity_features(spark, sf_dir):
+    t = tr.velocity_features(fx.transfers(spark, sf_dir))
+    return round_doubles(t.select("event_id", "velocity_24h", "velocity_7d", "velocity_burst"))
+
+
+@query
+def risk_indicators(spark, sf_dir):
+    t = tr.risk_indicators(tr.time_features(fx.transfers(spark, sf_dir)))
+    return t.select("event_id", "is_new_card", "is_round_amount", "is_large_amount", "is_off_hours")
+
+
+@query
+def time_features(spark, sf_dir):
+    t = fx.transfers(spark, sf_dir)
+    ts = F.col("timestamp")
+    return t.select("event_id", S.txn_hour(ts).alias("txn_hour"), S.txn_day_of_week(ts).alias("txn_day_of_week"),
+                    S.txn_month(ts).alias("txn_month"))
+
+
+@query
+def parse_timestamps(spark, sf_dir):
+    t = fx.timestamp_texts(spark, sf_dir)
+    ts = S.parse_timestamp(F.col("text"))
+    return t.select("event_id", "text", S.to_micros(ts).alias("parsed_us"),
+                    S.txn_hour(ts).alias("txn_hour"), ts.isNotNull().alias("is_valid"))
+
+
+# ---- legacy layouts (S2/P1, M14, P11) ----
+
+@query
+def subset_rename(spark, sf_dir):
+    return round_doubles(lg.subset_rename(fx.legacy_raw(spark, sf_dir)))
+
+
+@query
+def legacy_features(spark, sf_dir):
+    return round_doubles(lg.legacy_training_table(lg.subset_rename(fx.legacy_raw(spark, sf_dir))))
+
+
+@query
+def legacy_layout_adapter(spark, sf_dir):
+    out = lg.load_transfer_dataset(fx.legacy_raw(spark, sf_dir), keep=("Transaction_ID",))
+    return round_doubles(out)
+
+
+# ---- profile, target, aggregates (S9, P5, P6, A1-A7, O3) ----
+
+@query
+def dataset_profile(spark, sf_dir):
+    return A.dataset_profile(fx.legacy_raw(spark, sf_dir))
+
+
+@query
+def target_check(spark, sf_dir):
+    return A.target_check(lg.legacy_training_table(lg.subset_rename(fx.legacy_raw(spark, sf_dir))))
+
+
+@query
+def positive_rate(spark, sf_dir):
+    return round_doubles(A.positive_rate(fx.transfers(spark, sf_dir), "fraud_label"))
+
+
+@query
+def class_weight(spark, sf_dir):
+    return round_doubles(A.class_weight(fx.transfers(spark, sf_dir), "fraud_label"))
+
+
+PART_CATEGORIES = ["p_type", "p_brand"]
+
+
+@query
+def category_counts(spark, sf_dir):
+    return A.category_counts(fx.table(spark, sf_dir, "part"), PART_CATEGORIES)
+
+
+@query
+def topk_categories(spark, sf_dir):
+    return A.topk_categories(fx.table(spark, sf_dir, "part"), PART_CATEGORIES, 20)
+
+
+@query
+def mode_fit(spark, sf_dir):
+    return A.mode_fit(fx.table(spark, sf_dir, "part"), PART_CATEGORIES)
+
+
+@query
+def numeric_fit(spark, sf_dir):
+    return round_doubles(A.numeric_fit(_features(spark, sf_dir), NUMERIC_FEATURES))
+
+
+@query
+def pattern_tags(spark, sf_dir):
+    df = _features(spark, sf_dir, keep=("event_id", "transaction_amount", "transaction_count_24h"))
+    return _pattern_tags(df).select("event_id", "pattern_tags", "n_patterns")
+
+
+# ---- policy on scores (P12, F19-F21) ----
+
+@query
+def flag_threshold(spark, sf_dir):
+    s = fx.scores(spark, sf_dir)
+    return s.select("event_id", "score", (F.col("score") >= 0.5).alias("is_flagged"))
+
+
+@query
+def risk_policy(spark, sf_dir):
+    s = fx.scores(spark, sf_dir)
+    sc = F.col("score")
+    return s.select("event_id", S.rounded_score(sc).alias("risk_score"), S.risk_level(sc).alias("risk_level"),
+                    S.recommended_action(sc).alias("recommended_action"))
+
+
+# ---- behaviour windows (W1-W5) ----
+
+from txrisk.operators.behavior import behavior_features as _behavior  # noqa: E402
+
+
+from txrisk.operators.timeframes import half_up_mean  # noqa: E402
+
+
+def _exact_mean(df):
+    """user_mean_30d rounded half-up at 6 digits from the exact window sum."""
+    return df.withColumn("user_mean_30d", half_up_mean(F.col("user_sum_30d"), F.col("user_n_30d"))) \
+             .drop("user_sum_30d", "user_n_30d")
+
+
+def _orders_behavior(spark, sf_dir):
+    return _exact_mean(_behavior(fx.behavior_orders(spark, sf_dir), tiebreak="row_id", keep_sums=True))
+
+
+def _zero_fix(df):
+    # -0.0 and 0.0 are the same number; print one form
+    return df.select(*[(F.col(c) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def amount_zscore(spark, sf_dir):
+    return _zero_fix(round_doubles(_orders_behavior(spark, sf_dir).select("row_id", "user_id", "amount_zscore")))
+
+
+@query
+def rolling_30d(spark, sf_dir):
+    return round_doubles(_orders_behavior(spark, sf_dir).select("row_id", "user_id", "user_mean_30d", "user_std_30d"))
+
+
+@query
+def rolling_7d_count(spark, sf_dir):
+    return _orders_behavior(spark, sf_dir).select("row_id", "user_id", "txn_count_7d")
+
+
+@query
+def hours_since_last(spark, sf_dir):
+    return round_doubles(_orders_behavior(spark, sf_dir).select("row_id", "user_id", "hours_since_last_tx"))
+
+
+@query
+def behavior_features(spark, sf_dir):
+    out = _exact_mean(_behavior(fx.behavior_events(spark, sf_dir), tiebreak="row_id", keep_sums=True)).drop("timestamp")
+    return _zero_fix(round_doubles(out))
