@@ -224,3 +224,45 @@ def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         defect = F.when(hit, F.lit(name)).otherwise(defect)
         value = F.when(hit, variants[name]).otherwise(value)
     return t.select("event_id", defect.alias("defect"), value.alias("value"))
+
+
+# ---- legacy payload messages (L9) with defects chosen by event_id ----
+
+LEGACY_DEFECTS = [(50, "truncated"), (59, "missing_card_type"), (67, "extra_key"),
+                  (71, "numeric_strings"), (73, "fractional_int")]
+
+
+def legacy_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, defect, value: the 12 raw legacy fields as snake_case JSON."""
+    raw = legacy_raw(spark, sf_dir).withColumn("event_id", F.substring("Transaction_ID", 5, 20).cast("long"))
+    src = {
+        "user_id": F.col("User_ID"), "amount": F.col("Transaction_Amount"), "timestamp": F.col("Timestamp"),
+        "account_balance": F.col("Account_Balance"),
+        "previous_fraudulent_activity": F.col("Previous_Fraudulent_Activity"),
+        "daily_transaction_count": F.col("Daily_Transaction_Count"),
+        "avg_transaction_amount_7d": F.col("Avg_Transaction_Amount_7d"),
+        "failed_transaction_count_7d": F.col("Failed_Transaction_Count_7d"),
+        "card_type": F.col("Card_Type"), "card_age": F.col("Card_Age"), "risk_score": F.col("Risk_Score"),
+        "is_weekend": F.col("Is_Weekend"),
+    }
+
+    def obj(overrides=None, drop=(), extra=None):
+        overrides = overrides or {}
+        parts = [(overrides.get(k, c)).alias(k) for k, c in src.items() if k not in drop]
+        parts += [c.alias(k) for k, c in (extra or {}).items()]
+        return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+    base = obj()
+    variants = {
+        "truncated": F.substring(base, 1, (F.length(base) / 2).cast("int")),
+        "missing_card_type": obj(drop=("card_type",)),
+        "extra_key": obj(extra={"channel": F.lit("web")}),
+        "numeric_strings": obj({"amount": F.col("Transaction_Amount").cast("string")}),
+        "fractional_int": obj({"previous_fraudulent_activity": F.col("Previous_Fraudulent_Activity") + F.lit(0.5)}),
+    }
+    defect, value = F.lit("none"), base
+    for modulus, name in reversed(LEGACY_DEFECTS):
+        hit = F.col("event_id") % modulus == 0
+        defect = F.when(hit, F.lit(name)).otherwise(defect)
+        value = F.when(hit, variants[name]).otherwise(value)
+    return raw.select("event_id", defect.alias("defect"), value.alias("value"))

@@ -339,3 +339,169 @@ ORACLE["rolling_7d_count"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_C
 ORACLE["hours_since_last"] = _behavior_oracle(ORDERS_SRC, f"row_id, user_id, {_H}")
 ORACLE["behavior_features"] = _behavior_oracle(
     EVENTS_SRC, f"row_id, user_id, round(amount, 6) AS amount, {_Z}, {_M}, {_C}, {_H}")
+
+
+# ---- message validation oracle (DuckDB JSON functions) ----
+
+from txrisk.schemas import LEGACY_PAYLOAD_FIELDS as _LP, REQUEST_FIELDS as _RF  # noqa: E402
+
+_TRUE = "('1','on','t','true','y','yes')"
+_FALSE = "('0','off','f','false','n','no')"
+_DUCK_TYPES = {"str": "VARCHAR", "float": "DOUBLE", "int": "BIGINT", "bool": "BOOLEAN"}
+
+
+def _field_sql(snake, alias, kind, required, default, nonneg, accept_snake=True):
+    ta = f"json_type(v, '$.{alias}')"
+    if accept_snake and snake != alias:
+        ts = f"json_type(v, '$.{snake}')"
+        t = f"coalesce({ta}, {ts})"
+        txt = (f"CASE WHEN {ta} IS NOT NULL THEN json_extract_string(v, '$.{alias}') "
+               f"ELSE json_extract_string(v, '$.{snake}') END")
+    else:
+        t, txt = ta, f"json_extract_string(v, '$.{alias}')"
+    k = (f"(CASE WHEN {t} IS NULL THEN 'missing' WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'VARCHAR' THEN 'string' "
+         f"WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' ELSE 'other' END)")
+    if kind == "str":
+        val = f"CASE WHEN {k} = 'string' THEN {txt} END"
+    elif kind in ("float", "int"):
+        d = (f"(CASE WHEN {k} IN ('number', 'string') THEN TRY_CAST({txt} AS DOUBLE) "
+             f"WHEN {k} = 'bool' THEN CASE WHEN {txt} = 'true' THEN 1.0 ELSE 0.0 END END)")
+        val = d if kind == "float" else (f"CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND {d} = floor({d}) "
+                                         f"THEN CAST({d} AS BIGINT) END")
+    else:
+        w = f"lower(trim({txt}))"
+        val = (f"CASE WHEN {k} = 'bool' THEN {txt} = 'true' "
+               f"WHEN {k} = 'number' AND TRY_CAST({txt} AS DOUBLE) = 1 THEN true "
+               f"WHEN {k} = 'number' AND TRY_CAST({txt} AS DOUBLE) = 0 THEN false "
+               f"WHEN {k} = 'string' AND {w} IN {_TRUE} THEN true "
+               f"WHEN {k} = 'string' AND {w} IN {_FALSE} THEN false END")
+    if not required:
+        dv = f"'{default}'" if isinstance(default, str) else str(default)
+        val = f"CASE WHEN {k} = 'missing' THEN {dv} ELSE {val} END"
+    miss = "'missing'" if required else "NULL"
+    code = (f"CASE WHEN {k} = 'missing' THEN {miss} WHEN {k} = 'null' THEN 'null' "
+            f"WHEN ({val}) IS NULL THEN 'type' ")
+    if nonneg:
+        code += f"WHEN isnan(CAST({val} AS DOUBLE)) OR ({val}) < 0 THEN 'negative' "
+    code += "END"
+    err = f"CASE WHEN ({code}) IS NOT NULL THEN '{alias}:' || ({code}) END"
+    typed = f"CASE WHEN is_obj AND ({code}) IS NULL THEN CAST({val} AS {_DUCK_TYPES[kind]}) END"
+    return err, typed
+
+
+def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool) -> str:
+    errs, cols, known = [], [], []
+    for spec in fields:
+        if len(spec) == 2:
+            spec = (spec[0], spec[0], spec[1], True, None, False)
+        snake, alias, kind, required, default, nonneg = spec
+        known += [alias] + ([snake] if accept_snake and snake != alias else [])
+        e, t = _field_sql(snake, alias, kind, required, default, nonneg, accept_snake)
+        errs.append(e)
+        col = f"{t} AS {snake}"
+        if kind == "float":
+            col = f"round({t}, 6) AS {snake}"
+        cols.append(col)
+    base_err = "concat_ws(';', " + ", ".join(errs) + ")"
+    if strict:
+        known_list = "[" + ", ".join(f"'{x}'" for x in known) + "]"
+        extra = (f"NULLIF(array_to_string(list_transform(list_sort(list_filter(json_keys(v), lambda x: NOT list_contains("
+                 f"{known_list}, x))), lambda x: x || ':extra_forbidden'), ';'), '')")
+        base_err = f"concat_ws(';', NULLIF({base_err}, ''), {extra})"
+    return f"""{source_cte}
+, parsed AS (
+  SELECT event_id, defect, CASE WHEN is_obj THEN v0 ELSE '{{}}' END AS v, is_obj
+  FROM (SELECT *, coalesce(json_type(v0) = 'OBJECT', false) AS is_obj FROM (
+    SELECT event_id, defect, CASE WHEN json_valid(value) THEN value ELSE 'null' END AS v0 FROM req))
+), checked AS (
+  SELECT event_id, defect, is_obj, CASE WHEN is_obj THEN {base_err} ELSE 'json:malformed' END AS errors,
+    {", ".join(cols)}
+  FROM parsed
+)
+SELECT * EXCLUDE (is_obj), errors = '' AS is_valid FROM checked"""
+
+
+def _json_obj(pairs):
+    return "json_object(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")::VARCHAR"
+
+
+_CAMEL = [("transactionId", "transaction_id"), ("userId", "user_id"), ("transactionAmount", "transaction_amount"),
+          ("transactionType", "transaction_type"), ("merchantCategory", "merchant_category"),
+          ("cardType", "card_type"), ("cardAgeMonths", "card_age_months"),
+          ("accountBalanceBefore", "account_balance_before"), ("avgTransactionAmount7d", "avg_transaction_amount_7d"),
+          ("transactionCount24h", "transaction_count_24h"), ("transactionCount7d", "transaction_count_7d"),
+          ("previousFraudFlag", "previous_fraud_flag"), ("isNewReceiver", "is_new_receiver"),
+          ("isWeekend", "is_weekend"), ("timestamp", "ts_text")]
+
+
+def _req_obj(overrides=None, drop=(), snake=False, extra=()):
+    overrides = overrides or {}
+    pairs = []
+    for camel, col in _CAMEL:
+        if camel in drop:
+            continue
+        key = (col if col != "ts_text" else "timestamp") if snake else camel
+        pairs.append((key, overrides.get(camel, col)))
+    return _json_obj(pairs + list(extra))
+
+
+_REQ_VARIANTS = [
+    (50, "truncated", "substr(base, 1, CAST(length(base) // 2 AS INTEGER))"),
+    (53, "negative_amount", _req_obj({"transactionAmount": "-(transaction_amount + 1)"})),
+    (59, "missing_card_type", _req_obj(drop=("cardType",))),
+    (61, "snake_case", _req_obj(snake=True)),
+    (67, "extra_key", _req_obj(extra=[("channel", "'web'")])),
+    (71, "numeric_strings", _req_obj({"transactionAmount": "CAST(transaction_amount AS VARCHAR)",
+                                      "cardAgeMonths": "CAST(card_age_months AS VARCHAR)",
+                                      "transactionCount24h": "CAST(transaction_count_24h AS VARCHAR)"})),
+    (73, "fractional_int", _req_obj({"cardAgeMonths": "card_age_months + 0.5"})),
+    (79, "alias_null", _req_obj({"userId": "NULL::VARCHAR"}, extra=[("user_id", "user_id")])),
+]
+
+
+def _defect_case(variants):
+    d = "CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN '{n}'" for m, n, _ in variants) + " ELSE 'none' END"
+    v = "CASE " + " ".join(f"WHEN event_id % {m} = 0 THEN {e}" for m, _, e in variants) + " ELSE base END"
+    return d, v
+
+
+_d, _v = _defect_case(_REQ_VARIANTS)
+REQUESTS_CTE = f"""
+req AS (
+  SELECT event_id, {_d} AS defect, {_v} AS value FROM (
+    SELECT *, {_req_obj()} AS base FROM (
+      SELECT *, strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS ts_text FROM transfers))
+)"""
+
+ORACLE["validate_requests"] = _validation_sql(with_ctes(TRANSFERS_CTE, REQUESTS_CTE), _RF, strict=False, accept_snake=True)
+
+_LEGACY_SRC = [("user_id", "User_ID"), ("amount", "Transaction_Amount"), ("timestamp", '"Timestamp"'),
+               ("account_balance", "Account_Balance"), ("previous_fraudulent_activity", "Previous_Fraudulent_Activity"),
+               ("daily_transaction_count", "Daily_Transaction_Count"),
+               ("avg_transaction_amount_7d", "Avg_Transaction_Amount_7d"),
+               ("failed_transaction_count_7d", "Failed_Transaction_Count_7d"), ("card_type", "Card_Type"),
+               ("card_age", "Card_Age"), ("risk_score", "Risk_Score"), ("is_weekend", "Is_Weekend")]
+
+
+def _legacy_obj(overrides=None, drop=(), extra=()):
+    overrides = overrides or {}
+    return _json_obj([(k, overrides.get(k, c)) for k, c in _LEGACY_SRC if k not in drop] + list(extra))
+
+
+_LEGACY_VARIANTS = [
+    (50, "truncated", "substr(base, 1, CAST(length(base) // 2 AS INTEGER))"),
+    (59, "missing_card_type", _legacy_obj(drop=("card_type",))),
+    (67, "extra_key", _legacy_obj(extra=[("channel", "'web'")])),
+    (71, "numeric_strings", _legacy_obj({"amount": "CAST(Transaction_Amount AS VARCHAR)"})),
+    (73, "fractional_int", _legacy_obj({"previous_fraudulent_activity": "Previous_Fraudulent_Activity + 0.5"})),
+]
+_d, _v = _defect_case(_LEGACY_VARIANTS)
+LEGACY_PAYLOAD_CTE = f"""
+req AS (
+  SELECT event_id, {_d} AS defect, {_v} AS value FROM (
+    SELECT *, {_legacy_obj()} AS base FROM (
+      SELECT *, CAST(substr(Transaction_ID, 5) AS BIGINT) AS event_id FROM legacy_raw))
+)"""
+
+ORACLE["strict_payload"] = _validation_sql(with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE, LEGACY_PAYLOAD_CTE), _LP,
+                                           strict=True, accept_snake=False)

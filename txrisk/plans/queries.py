@@ -223,3 +223,21 @@ def hours_since_last(spark, sf_dir):
 def behavior_features(spark, sf_dir):
     out = _exact_mean(_behavior(fx.behavior_events(spark, sf_dir), tiebreak="row_id", keep_sums=True)).drop("timestamp")
     return _zero_fix(round_doubles(out))
+
+
+# ---- message validation (P8-P10, F24, F25) ----
+
+from txrisk.operators import validation as V  # noqa: E402
+from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS  # noqa: E402
+
+
+@query
+def validate_requests(spark, sf_dir):
+    out = V.validate_requests(fx.requests_json(spark, sf_dir))
+    return round_doubles(out.select("event_id", "defect", "is_valid", "errors", *[f[0] for f in REQUEST_FIELDS]))
+
+
+@query
+def strict_payload(spark, sf_dir):
+    out = V.strict_payload(fx.legacy_payload_json(spark, sf_dir))
+    return round_doubles(out.select("event_id", "defect", "is_valid", "errors", *[f[0] for f in LEGACY_PAYLOAD_FIELDS]))
