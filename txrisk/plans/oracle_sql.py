@@ -505,3 +505,58 @@ req AS (
 
 ORACLE["strict_payload"] = _validation_sql(with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE, LEGACY_PAYLOAD_CTE), _LP,
                                            strict=True, accept_snake=False)
+
+
+# ---- metrics: brute-force sweep over distinct scores ----
+
+CURVE_CTE = """
+d AS (SELECT score AS threshold, sum(label) AS pos, count(*) - sum(label) AS neg FROM scores GROUP BY score),
+c AS (SELECT *, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM d),
+pr AS (SELECT threshold, tp, fp, tp / (tp + fp) AS precision, CASE WHEN P > 0 THEN tp / P ELSE 1.0 END AS recall FROM c),
+f AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-8) AS f1 FROM pr)"""
+
+_MET = with_ctes(TRANSFERS_CTE, SCORES_CTE, CURVE_CTE)
+ORACLE["average_precision"] = _MET + """
+SELECT round(CASE WHEN max(P) > 0 THEN sum(pos / P * tp / (tp + fp)) END, 6) AS average_precision FROM c"""
+ORACLE["roc_auc"] = _MET + """
+SELECT round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(neg * ((tp - pos) + pos / 2.0)) / (max(P) * max(N)) END, 6)
+  AS roc_auc FROM c"""
+ORACLE["pr_curve"] = _MET + """
+SELECT round(threshold, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+  round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr"""
+ORACLE["optimal_threshold"] = _MET + """
+SELECT round(threshold, 6) AS optimal_threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, threshold ASC LIMIT 1"""
+ORACLE["confusion_f1"] = _MET + """
+, best AS (SELECT threshold FROM f ORDER BY f1 DESC, threshold ASC LIMIT 1)
+SELECT CAST(sum(CASE WHEN score >= threshold AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  CAST(sum(CASE WHEN score >= threshold AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN score < threshold AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN score < threshold AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  round(2.0 * sum(CASE WHEN score >= threshold AND label = 1 THEN 1 ELSE 0 END)
+    / (2 * sum(CASE WHEN score >= threshold AND label = 1 THEN 1 ELSE 0 END)
+       + sum(CASE WHEN score >= threshold AND label = 0 THEN 1 ELSE 0 END)
+       + sum(CASE WHEN score < threshold AND label = 1 THEN 1 ELSE 0 END)), 6) AS f1,
+  round(max(threshold), 6) AS threshold
+FROM scores JOIN best ON true"""
+
+ORACLE["stratified_split"] = with_ctes(TRANSFERS_CTE) + f"""
+SELECT event_id, label, rn <= CAST(ceil(n * 0.2) AS BIGINT) AS is_test FROM (
+  SELECT event_id, fraud_label AS label,
+    row_number() OVER (PARTITION BY fraud_label ORDER BY h, event_id) AS rn,
+    count(*) OVER (PARTITION BY fraud_label) AS n
+  FROM (SELECT event_id, fraud_label,
+          CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) AS h FROM transfers))"""
+
+_L5 = ["amount_to_avg_ratio", "balance_drain_ratio", "velocity_24h", "velocity_7d", "velocity_burst",
+       "card_age_months", "card_type", "is_new_receiver", "is_new_card", "is_round_amount",
+       "is_large_amount", "is_off_hours", "previous_fraud_flag", "is_weekend", "txn_hour", "txn_day_of_week"]
+ORACLE["top_contributions"] = "WITH c AS (\n" + "\n  UNION ALL\n".join(
+    f"  SELECT event_id, {i} AS idx, '{n}' AS feature, "
+    f"{u01(chr(39).join(['CAST(event_id AS VARCHAR) || ', '|' + n, '']))} - 0.5 AS value FROM events"
+    for i, n in enumerate(_L5)) + """
+)
+SELECT event_id, CAST(rank AS INTEGER) AS rank, feature, round(value, 4) AS contribution FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(value) DESC, idx ASC) AS rank FROM c)
+WHERE rank <= 5"""

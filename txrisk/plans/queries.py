@@ -241,3 +241,47 @@ def validate_requests(spark, sf_dir):
 def strict_payload(spark, sf_dir):
     out = V.strict_payload(fx.legacy_payload_json(spark, sf_dir))
     return round_doubles(out.select("event_id", "defect", "is_valid", "errors", *[f[0] for f in LEGACY_PAYLOAD_FIELDS]))
+
+
+# ---- ranking metrics, split, top contributions (A11-A15, M7, O4, F23) ----
+
+from txrisk.operators import metrics as Mx  # noqa: E402
+from txrisk.operators import topk as TK  # noqa: E402
+from txrisk.operators.split import stratified_split as _split  # noqa: E402
+
+
+@query
+def average_precision(spark, sf_dir):
+    return round_doubles(Mx.average_precision(fx.scores(spark, sf_dir)))
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return round_doubles(Mx.roc_auc(fx.scores(spark, sf_dir)))
+
+
+@query
+def pr_curve(spark, sf_dir):
+    return round_doubles(Mx.pr_curve(fx.scores(spark, sf_dir)))
+
+
+@query
+def optimal_threshold(spark, sf_dir):
+    return round_doubles(Mx.optimal_threshold(fx.scores(spark, sf_dir)))
+
+
+@query
+def confusion_f1(spark, sf_dir):
+    return round_doubles(Mx.confusion_f1(fx.scores(spark, sf_dir)))
+
+
+@query
+def stratified_split(spark, sf_dir):
+    t = fx.transfers(spark, sf_dir).select("event_id", F.col("fraud_label").alias("label"))
+    return _split(t, "event_id", "label", 0.2, 42)
+
+
+@query
+def top_contributions(spark, sf_dir):
+    c = fx.contributions(spark, sf_dir).withColumn("top", TK.top_abs(F.col("contribs"), 5))
+    return TK.explode_ranked(c, "top", ["event_id"])
