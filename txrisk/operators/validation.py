@@ -136,5 +136,13 @@ def strict_payload(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with reasons) -- two filters on one plan."""
-    return validated.filter(F.col("is_valid")), validated.filter(~F.col("is_valid"))
+    """(valid rows, rejected rows with reasons).
+
+    The validated table is persisted first: both outputs read it once, and
+    the filters apply to the cached relation. (Pushed below the staged
+    projections, a filter on ``is_valid`` would inline the whole error
+    expression into every stage.) Lost cache blocks are recomputed.
+    """
+    from pyspark import StorageLevel
+    base = validated.persist(StorageLevel.MEMORY_AND_DISK)
+    return base.filter(F.col("is_valid")), base.filter(~F.col("is_valid"))

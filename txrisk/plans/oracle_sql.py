@@ -560,3 +560,31 @@ ORACLE["top_contributions"] = "WITH c AS (\n" + "\n  UNION ALL\n".join(
 SELECT event_id, CAST(rank AS INTEGER) AS rank, feature, round(value, 4) AS contribution FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(value) DESC, idx ASC) AS rank FROM c)
 WHERE rank <= 5"""
+
+
+# ---- encoders ----
+
+ORACLE["topk_encode"] = with_ctes(PART_COUNTS_CTE) + """
+, kept AS (SELECT "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC) AS rn FROM pc) WHERE rn <= 20)
+SELECT p_partkey,
+  CASE WHEN p_type IN (SELECT value FROM kept WHERE "column" = 'p_type') THEN p_type ELSE 'RARE' END AS p_type,
+  CASE WHEN p_brand IN (SELECT value FROM kept WHERE "column" = 'p_brand') THEN p_brand ELSE 'RARE' END AS p_brand
+FROM part"""
+
+ORACLE["onehot_counts"] = with_ctes(PART_COUNTS_CTE) + """
+, kept AS (SELECT "column", value FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value ASC) AS rn FROM pc) WHERE rn <= 20)
+, enc AS (
+  SELECT 'p_type' AS col, CASE WHEN p_type IN (SELECT value FROM kept WHERE "column" = 'p_type') THEN p_type ELSE 'RARE' END AS v FROM part
+  UNION ALL
+  SELECT 'p_brand', CASE WHEN p_brand IN (SELECT value FROM kept WHERE "column" = 'p_brand') THEN p_brand ELSE 'RARE' END FROM part)
+SELECT 'cat__' || col || '_' || v AS feature, CAST(count(*) AS BIGINT) AS n_ones FROM enc GROUP BY col, v"""
+
+ORACLE["numeric_prepare"] = with_ctes(TRANSFERS_CTE, FEATURES_CTE, NUMERIC_LONG_CTE) + """
+, fit AS (
+  SELECT "column", avg(coalesce(value, med)) AS mean, stddev_pop(coalesce(value, med)) AS std, max(med) AS med
+  FROM (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY "column") AS med FROM numlong) GROUP BY "column"
+), p AS (SELECT map_from_entries(list(struct_pack(k := "column", v := struct_pack(mean := mean, std := std, med := med)))) AS m FROM fit)
+SELECT event_id, """ + ",\n  ".join(
+    f"round((coalesce(CAST({_FEAT_ALIAS.get(c, c)} AS DOUBLE), m['{c}'].med) - m['{c}'].mean) / "
+    f"CASE WHEN m['{c}'].std = 0 OR m['{c}'].std IS NULL THEN 1.0 ELSE m['{c}'].std END, 6) + 0.0 AS {c}"
+    for c in _NUMERIC) + "\nFROM feat, p"

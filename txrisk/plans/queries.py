@@ -285,3 +285,105 @@ def stratified_split(spark, sf_dir):
 def top_contributions(spark, sf_dir):
     c = fx.contributions(spark, sf_dir).withColumn("top", TK.top_abs(F.col("contribs"), 5))
     return TK.explode_ranked(c, "top", ["event_id"])
+
+
+# ---- ML preparation and model queries (M1-M13) ----
+
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from txrisk.ml import encoders as EN  # noqa: E402
+from txrisk.ml import prep as PR  # noqa: E402
+from txrisk.ml import scoring as SC  # noqa: E402
+from txrisk.ml import train as TN  # noqa: E402
+from txrisk.ml.explain import explain as _explain  # noqa: E402
+from txrisk.operators.validation import validate_requests as _validate  # noqa: E402
+
+
+@query
+def topk_encode(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", *PART_CATEGORIES)
+    model = EN.TopKCategoryEncoder(inputCols=PART_CATEGORIES, topK=20).fit(part)
+    return model.transform(part)
+
+
+@query
+def onehot_counts(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", *PART_CATEGORIES)
+    pipe = PR.build_preprocessor(part, PART_CATEGORIES, top_k=20)
+    model = pipe.fit(part)
+    names = PR.feature_names(model, [], PART_CATEGORIES)
+    vec = model.transform(part).select(F.posexplode(vector_to_array("features")).alias("slot", "x"))
+    sums = vec.groupBy("slot").agg(F.sum("x").cast("long").alias("n_ones"))
+    name_df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "slot int, feature string")
+    return sums.join(F.broadcast(name_df), "slot").select("feature", "n_ones")
+
+
+@query
+def numeric_prepare(spark, sf_dir):
+    feats = _features(spark, sf_dir)
+    pipe = Pipeline(stages=[EN.MedianImputer(inputCols=NUMERIC_FEATURES), EN.PopulationScaler(inputCols=NUMERIC_FEATURES)])
+    out = pipe.fit(feats).transform(feats).select("event_id", *NUMERIC_FEATURES)
+    return _zero_fix(round_doubles(out))
+
+
+_MODELS: dict = {}
+
+
+def _training_table(spark, sf_dir):
+    return _features(spark, sf_dir, keep=("event_id", "fraud_label")).withColumnRenamed("fraud_label", "label")
+
+
+def _trained(spark, sf_dir, profile="fast"):
+    """Model fitted on the 80 % split of the transfer table (cached per process)."""
+    key = (sf_dir, profile)
+    if key not in _MODELS:
+        from txrisk.operators.split import stratified_split
+        data = stratified_split(_training_table(spark, sf_dir), "event_id", "label", 0.2, 42)
+        train = data.filter(~F.col("is_test")).drop("is_test")
+        model = TN.fit(train, TRANSFER_FEATURE_COLUMNS, profile)
+        num, cat = PR.split_columns(train, TRANSFER_FEATURE_COLUMNS)
+        _MODELS[key] = (model, PR.feature_names(model, num, cat))
+    return _MODELS[key]
+
+
+@query
+def train_and_score(spark, sf_dir):
+    model, _ = _trained(spark, sf_dir)
+    return TN.score(model, _training_table(spark, sf_dir)).select("event_id", "label", "risk_score")
+
+
+@query
+def training_metrics(spark, sf_dir):
+    _, metrics, _ = TN.train_and_evaluate(_training_table(spark, sf_dir), TRANSFER_FEATURE_COLUMNS, "event_id", "fast")
+    return metrics
+
+
+@query
+def explain_scores(spark, sf_dir):
+    model, names = _trained(spark, sf_dir)
+    scored = TN.score(model, _training_table(spark, sf_dir))
+    ex = _explain(model, scored, names, ["event_id", "risk_score"])
+    return ex.select("event_id", "risk_score", "bias", "margin_sum", F.posexplode("top").alias("pos", "t")).select(
+        "event_id", "risk_score", "bias", "margin_sum", (F.col("pos") + 1).alias("rank"),
+        F.col("t.feature").alias("feature"), F.col("t.value").alias("contribution"))
+
+
+def _valid_requests(spark, sf_dir):
+    valid, _rejected = V.split_valid(_validate(fx.requests_json(spark, sf_dir)))
+    return valid
+
+
+@query
+def evaluate_batch(spark, sf_dir):
+    model, names = _trained(spark, sf_dir)
+    return SC.evaluate(model, _valid_requests(spark, sf_dir), names, keys=("event_id", "transaction_id"),
+                       evaluated_at=F.lit("1970-01-01T00:00:00.000000Z"))
+
+
+@query
+def result_json(spark, sf_dir):
+    model, names = _trained(spark, sf_dir)
+    res = SC.evaluate(model, _valid_requests(spark, sf_dir), names, keys=("event_id", "transaction_id"),
+                      evaluated_at=F.lit("1970-01-01T00:00:00.000000Z"))
+    return SC.result_json(res)
