@@ -42,7 +42,9 @@ def tree_leaves(gbt: GBTClassificationModel, spark) -> dict:
     rows = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold")).collect()
+        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
+        F.col("nodeData.split.leftCategoriesOrThreshold").alias("cats"),
+        F.col("nodeData.split.numCategories").alias("ncat")).collect()
     weights = list(gbt.treeWeights)
     depth = max(gbt.getMaxDepth(), 1)
     by_tree: dict[int, dict[int, tuple]] = {}
@@ -58,9 +60,14 @@ def tree_leaves(gbt: GBTClassificationModel, spark) -> dict:
             if n["leftChild"] < 0:
                 leaves.append((n["prediction"], conds))
                 return
+            # categorical split: bit mask of the categories going left
+            mask = 0
+            if n["ncat"] is not None and n["ncat"] >= 0:
+                for c in n["cats"]:
+                    mask |= 1 << int(c)
             for child, left in ((n["leftChild"], True), (n["rightChild"], False)):
                 share = nodes[child]["cover"] / n["cover"] if n["cover"] > 0 else 0.0
-                walk(child, conds + [(n["featureIndex"], n["threshold"], left, share)])
+                walk(child, conds + [(n["featureIndex"], n["threshold"], left, share, mask)])
 
         walk(0, [])
         L = len(leaves)
@@ -70,18 +77,20 @@ def tree_leaves(gbt: GBTClassificationModel, spark) -> dict:
         cf = np.full((L, depth, depth), -1, dtype=np.int64)
         ct = np.zeros((L, depth, depth))
         cl = np.zeros((L, depth, depth), dtype=bool)
+        cm = np.zeros((L, depth, depth), dtype=np.int64)
         vals = np.zeros(L)
         for li, (v, conds) in enumerate(leaves):
             vals[li] = v
             players: list[int] = []
-            for ci, (f, thr, left, share) in enumerate(conds):
+            for ci, (f, thr, left, share, mask) in enumerate(conds):
                 if f not in players:
                     players.append(f)
                 j = players.index(f)
                 feat[li, j] = f
                 zero[li, j] *= share
-                cf[li, j, ci], ct[li, j, ci], cl[li, j, ci] = f, thr, left
-        trees.append({"w": weights[t], "v": vals, "feat": feat, "zero": zero, "cf": cf, "ct": ct, "cl": cl})
+                cf[li, j, ci], ct[li, j, ci], cl[li, j, ci], cm[li, j, ci] = f, thr, left, mask
+        trees.append({"w": weights[t], "v": vals, "feat": feat, "zero": zero, "cf": cf, "ct": ct, "cl": cl,
+                      "cm": cm})
     return {"depth": depth, "trees": trees}
 
 
@@ -99,7 +108,7 @@ def contributions(X: np.ndarray, model: dict, n_features: int) -> tuple[np.ndarr
         L = len(tree["v"])
         # one[l, r, j]: row r satisfies every condition of player j on leaf l
         one = np.ones((L, n, d))
-        cf, ct, cl = tree["cf"], tree["ct"], tree["cl"]
+        cf, ct, cl, cm = tree["cf"], tree["ct"], tree["cl"], tree["cm"]
         for j in range(d):
             for c in range(d):
                 f = cf[:, j, c]
@@ -107,7 +116,11 @@ def contributions(X: np.ndarray, model: dict, n_features: int) -> tuple[np.ndarr
                 if not active.any():
                     continue
                 xv = X[:, np.where(active, f, 0)].T  # (L, n)
-                go = np.where(cl[:, j, c][:, None], xv <= ct[:, j, c][:, None], xv > ct[:, j, c][:, None])
+                mask = cm[:, j, c][:, None]
+                in_left = np.where(mask > 0,
+                                   (np.right_shift(mask, np.clip(xv, 0, 62).astype(np.int64)) & 1) == 1,
+                                   xv <= ct[:, j, c][:, None])
+                go = np.where(cl[:, j, c][:, None], in_left, ~in_left)
                 one[:, :, j] *= np.where(active[:, None], go, 1.0)
         real = tree["feat"] >= 0
         one = np.where(real[:, None, :], one, 1.0)
