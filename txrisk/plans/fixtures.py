@@ -28,6 +28,24 @@ from txrisk.operators import timeframes as tf
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS
 from txrisk.session import prepare
 
+_PLANS: dict = {}
+
+
+def _memo(fn):
+    """Fixture plans are immutable lazy DataFrames: build each once per
+    (session, data folder, arguments) and hand out the same plan."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (fn.__name__, id(spark), sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
+        prepare(spark)
+        return _PLANS[key]
+    return wrapper
+
+
 DAY = tf.DAY_US
 WEEK = 7 * DAY
 
@@ -35,6 +53,7 @@ WEEK = 7 * DAY
 CREDIT_SEGMENTS = ["BUILDING", "MACHINERY"]
 
 
+@_memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -50,6 +69,7 @@ def transfer_amount(value: Column, k: Column) -> Column:
             .otherwise(F.floor(raw * 100).cast("double") / 100)
 
 
+@_memo
 def transfers(spark: SparkSession, sf_dir: str, bucket_days: int = 14) -> DataFrame:
     """L4 transfer events + event_id, fraud_label and a few bridge columns."""
     ev = (table(spark, sf_dir, "events")
@@ -101,6 +121,7 @@ def transfers(spark: SparkSession, sf_dir: str, bucket_days: int = 14) -> DataFr
     )
 
 
+@_memo
 def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 raw source layout (Title_Case) plus an extra Transaction_ID column."""
     t = transfers(spark, sf_dir)
@@ -122,6 +143,7 @@ def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, label, score with three decimals (ties), positives higher."""
     t = transfers(spark, sf_dir).select("event_id", "fraud_label")
@@ -132,6 +154,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.floor(raw * 1000).cast("double") / 1000).alias("score"))
 
 
+@_memo
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, contribs array<struct<feature, value>> over the 16 L5 names."""
     ev = table(spark, sf_dir, "events").select("event_id")
@@ -142,6 +165,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.array(*items).alias("contribs"))
 
 
+@_memo
 def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, text: event instants written as ISO-8601 with Z, with a
     +03:00 offset, naive, or unparsable (every 7th event)."""
@@ -155,12 +179,14 @@ def timestamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", text.alias("text"))
 
 
+@_memo
 def behavior_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("timestamp"))
 
 
+@_memo
 def behavior_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_id"), "user_id",
@@ -185,6 +211,7 @@ DEFECTS = [(50, "truncated"), (53, "negative_amount"), (59, "missing_card_type")
            (73, "fractional_int"), (79, "alias_null")]
 
 
+@_memo
 def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, defect, value (JSON text of an evaluation request)."""
     t = transfers(spark, sf_dir)
@@ -232,6 +259,7 @@ LEGACY_DEFECTS = [(50, "truncated"), (59, "missing_card_type"), (67, "extra_key"
                   (71, "numeric_strings"), (73, "fractional_int")]
 
 
+@_memo
 def legacy_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, defect, value: the 12 raw legacy fields as snake_case JSON."""
     raw = legacy_raw(spark, sf_dir).withColumn("event_id", F.substring("Transaction_ID", 5, 20).cast("long"))
