@@ -13,18 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions import scalars as S
-from txrisk.ml.explain import explain
+from txrisk.ml.explain import explain, global_importances
 from txrisk.ml.train import score
 from txrisk.operators.topk import as_map
 from txrisk.operators.transfer import transfer_features
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS
 
 
-def evaluate(model: PipelineModel, requests: DataFrame, names: list[str], *, with_explanation: bool = True,
+def evaluate(model: PipelineModel, requests: DataFrame, names: list[str], *, with_explanation: bool | str = True,
              evaluated_at: Column | None = None, keys: tuple[str, ...] = ("transaction_id",)) -> DataFrame:
+    """``with_explanation``: True = per-row contributions, "importances" =
+    the model's top positive global importances (fallback), False = none."""
     feats = transfer_features(requests, zero_mode="nonpositive", keep=keys)
     scored = score(model, feats)
-    if with_explanation:
+    if with_explanation == "importances":
+        top = global_importances(model, names)
+        out = scored.select(*keys, "risk_score")
+        importance = F.create_map(*[x for n, v in top for x in (F.lit(n), F.lit(v))]) if top \
+            else F.lit(None).cast("map<string,double>")
+    elif with_explanation:
         out = explain(model, scored, names, [*keys, "risk_score"])
         importance = as_map(F.col("top"))
     else:
