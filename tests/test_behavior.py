@@ -70,3 +70,24 @@ def test_one_row_shuffle(spark):
     assert plan.count("hashpartitioning(user_id#") >= 1
     assert "Generate explode" in plan  # bucket copies
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_hot_user_across_buckets_and_boundaries(spark):
+    """One user holds most rows; instants straddle bucket edges and 1970."""
+    import random
+    rnd = random.Random(3)
+    day = 86400
+    base = -40 * day  # before 1970
+    rows = []
+    rid = 0
+    for i in range(400):
+        user = 1 if i % 5 else 2 + i % 3  # user 1 holds 80 %
+        t = base + rnd.randint(0, 200) * day // 2
+        if i % 17 == 0:
+            t = (t // (14 * day)) * 14 * day  # exactly on a bucket edge
+        rows.append((rid, user, round(rnd.uniform(1, 100), 2) if i % 9 else None, pd.Timestamp(t, unit="s")))
+        rid += 1
+    pdf = pd.DataFrame(rows, columns=["row_id", "user_id", "amount", "timestamp"])
+    df = spark.createDataFrame(pdf.assign(timestamp=pdf.timestamp.dt.strftime("%Y-%m-%d %H:%M:%S")))
+    out = behavior_features(df, tiebreak="row_id", bucket_days=30).toPandas()
+    _compare(out, pandas_reference(pdf))

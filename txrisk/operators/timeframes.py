@@ -29,7 +29,9 @@ def explode_buckets(df: DataFrame, us: str, bucket_us: int, lookback_us: int) ->
     """Tag rows with their bucket and add one context copy where needed."""
     if lookback_us > bucket_us:
         raise ValueError("bucket width must be at least the longest look-back")
-    b = F.floor(F.col(us) / F.lit(bucket_us)).cast("long")
+    # exact floor division on integers (also for instants before 1970)
+    width = F.lit(bucket_us).cast("long")
+    b = _int_div(F.col(us) - F.pmod(F.col(us), width), width)
     reaches_next = F.col(us) >= (b + 1) * F.lit(bucket_us) - F.lit(lookback_us)
     buckets = F.when(reaches_next, F.array(b, b + 1)).otherwise(F.array(b))
     return (df.withColumn("_tb_home", b)
