@@ -50,10 +50,11 @@ def mode_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     return top.select("column", F.col("value").alias("mode"), "count")
 
 
-def numeric_fit(df: DataFrame, columns: list[str]) -> DataFrame:
+def numeric_fit(df: DataFrame, columns: list[str], medians: DataFrame | None = None) -> DataFrame:
     """Per column: exact median, then mean and population std of the
-    median-imputed column (the scaler is fitted after imputation)."""
-    medians = exact_median(df, columns)
+    median-imputed column (the scaler is fitted after imputation).
+    ``medians``: optional (column, median) table from a fitted imputer."""
+    medians = medians if medians is not None else exact_median(df, columns)
     stacked = unpivot(df, columns)
     # mean/std after imputation, from (count, sum, sum of squares) of the
     # non-null part plus the imputed copies of the median.

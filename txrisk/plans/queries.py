@@ -151,6 +151,7 @@ def mode_fit(spark, sf_dir):
 
 @query
 def numeric_fit(spark, sf_dir):
+    """Exact distributed median, then mean/std after imputation (one lazy plan)."""
     return round_doubles(A.numeric_fit(_features(spark, sf_dir), NUMERIC_FEATURES))
 
 
