@@ -91,3 +91,13 @@ def test_hot_user_across_buckets_and_boundaries(spark):
     df = spark.createDataFrame(pdf.assign(timestamp=pdf.timestamp.dt.strftime("%Y-%m-%d %H:%M:%S")))
     out = behavior_features(df, tiebreak="row_id", bucket_days=30).toPandas()
     _compare(out, pandas_reference(pdf))
+
+
+def test_buckets_narrower_than_lookback(spark):
+    """3-day buckets under 30-day windows: many context copies, same results."""
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
+        F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("timestamp"))
+    pdf = orders.toPandas().sort_values("row_id").reset_index(drop=True)
+    out = behavior_features(orders, tiebreak="row_id", bucket_days=3).toPandas()
+    _compare(out, pandas_reference(pdf))

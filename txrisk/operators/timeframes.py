@@ -3,9 +3,10 @@
 A window partitioned by the key alone puts every row of a key into one
 task; a key holding a third of the data would then be one task. Instead
 rows are placed in time buckets of width ``bucket_us`` and partitioned by
-``(key, bucket)``. A row whose look-back range reaches into the next
-bucket is *also* emitted into that bucket as a context row (never twice:
-``lookback_us <= bucket_us``). Trailing frames evaluated inside a
+``(key, bucket)``. A row whose look-back range reaches into later buckets
+is *also* emitted into them as a context row (one copy when the width is
+at least the look-back; narrower buckets split bursts of a hot key at the
+cost of more copies). Trailing frames evaluated inside a
 ``(key, bucket)`` partition then see exactly the rows they would see in
 the whole key partition, and only primary rows are kept afterwards.
 
@@ -26,20 +27,27 @@ DAY_US = 86_400_000_000
 
 
 def explode_buckets(df: DataFrame, us: str, bucket_us: int, lookback_us: int) -> DataFrame:
-    """Tag rows with their bucket and add one context copy where needed."""
-    if lookback_us > bucket_us:
-        raise ValueError("bucket width must be at least the longest look-back")
-    # exact floor division on integers (also for instants before 1970)
+    """Tag rows with their bucket and add context copies where needed.
+
+    A row at ``us`` is needed by every bucket whose rows can look back to
+    it: buckets ``b .. floor((us + lookback) / width)``. With a width of at
+    least the look-back that is at most one copy; a narrower width (to
+    split a hot key's burst) costs ``ceil(lookback / width)`` copies.
+    """
     width = F.lit(bucket_us).cast("long")
-    b = _int_div(F.col(us) - F.pmod(F.col(us), width), width)
-    reaches_next = F.col(us) >= (b + 1) * F.lit(bucket_us) - F.lit(lookback_us)
-    buckets = F.when(reaches_next, F.array(b, b + 1)).otherwise(F.array(b))
+    b = _floor_div(F.col(us), width)
+    last = _floor_div(F.col(us) + F.lit(lookback_us).cast("long"), width)
     return (df.withColumn("_tb_home", b)
-              .withColumn(BUCKET, F.explode(buckets))
+              .withColumn(BUCKET, F.explode(F.sequence(b, F.greatest(b, last))))
               .withColumn(PRIMARY, F.col(BUCKET) == F.col("_tb_home"))
               .drop("_tb_home"))
 
 
+def _floor_div(a: Column, width: Column) -> Column:
+    """Exact floor division on integers (also for instants before 1970)."""
+    return _int_div(a - F.pmod(a, width), width)
+
+
 def frame_by_time(key: str, us: str, lo: int, hi: int):
     """Range frame over microseconds, inside (key, bucket)."""
     return Window.partitionBy(key, BUCKET).orderBy(us).rangeBetween(lo, hi)
