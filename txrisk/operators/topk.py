@@ -24,6 +24,7 @@ def as_map(top: Column) -> Column:
 
 
 def explode_ranked(df: DataFrame, top: str, keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.posexplode(top).alias("pos", "_t")).select(
-        *keys, (F.col("pos") + 1).alias("rank"), F.col("_t.feature").alias("feature"),
-        F.col("_t.value").alias("contribution"))
+    """One row per (keys, rank): ``inline`` of rank-tagged structs."""
+    ranked = F.transform(F.col(top), lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"),
+                                                           x["value"].alias("contribution")))
+    return df.select(*keys, F.inline(ranked))
