@@ -135,3 +135,23 @@ def test_contributions_equal_brute_force_shapley(spark):
         ref = _brute_shapley(tm, X[r], used)
         for i in used:
             assert abs(phi[r, i] - ref[i]) < 1e-9
+
+
+def test_topk_large_dictionary_uses_join(spark):
+    df = spark.createDataFrame([(f"v{i % 40}",) for i in range(400)] + [(None,)], "x string")
+    m = EN.TopKCategoryEncoder(inputCols=["x"], topK=35).fit(df)
+    out = m.transform(df)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    vals = {r[0] for r in out.collect()}
+    assert "RARE" in vals and len(vals) == 36
+
+
+def test_legacy_training_job(spark, tmp_dir):
+    import os
+    from txrisk.operators.legacy import legacy_training_table, subset_rename
+    from txrisk.plans.jobs import train_legacy_job
+    from txrisk.sources.io import write_parquet
+    path = os.path.join(tmp_dir, "l3")
+    write_parquet(legacy_training_table(subset_rename(fx.legacy_raw(spark, SF_SMALL))), path)
+    metrics = train_legacy_job(spark, path, os.path.join(tmp_dir, "legacy_model"), profile="fast")
+    assert 0.0 <= metrics["auc_roc"] <= 1.0

@@ -49,3 +49,26 @@ def train_transfer_job(spark: SparkSession, data: DataFrame, model_path: str, pr
     model, metrics, _ = TN.train_and_evaluate(table, TRANSFER_FEATURE_COLUMNS, id_col, profile)
     TN.save(model, model_path)
     return metrics.first().asDict()
+
+
+def train_legacy_job(spark: SparkSession, features_parquet: str, model_path: str, profile: str = "legacy",
+                     id_col: str | None = None) -> dict:
+    """Legacy feature table (L3) -> target resolved (is_fraud / fraud_label /
+    target) and checked binary -> split, fit (Top-30 categories), metrics -> saved model."""
+    from pyspark.sql import functions as F
+    from txrisk.operators.aggregates import require_binary, resolve_target
+    from txrisk.schemas import LEGACY_FEATURE_COLUMNS, require_columns
+    prepare(spark)
+    df = spark.read.parquet(features_parquet)
+    target = resolve_target(df.columns)
+    require_columns(df, LEGACY_FEATURE_COLUMNS, "processed dataset")
+    if dict(df.dtypes)[target] == "boolean":
+        df = df.withColumn(target, F.col(target).cast("int"))
+    table = require_binary(df, target).withColumnRenamed(target, "label")
+    if id_col is None:
+        id_col = "_row_id"
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in LEGACY_FEATURE_COLUMNS])
+        table = table.withColumn(id_col, F.md5(key))  # content hash: rerun-stable split key
+    model, metrics, _ = TN.train_and_evaluate(table, LEGACY_FEATURE_COLUMNS, id_col, profile)
+    TN.save(model, model_path)
+    return metrics.first().asDict()
