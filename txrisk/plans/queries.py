@@ -312,7 +312,7 @@ def topk_encode(spark, sf_dir):
 def onehot_counts(spark, sf_dir):
     part = fx.table(spark, sf_dir, "part").select("p_partkey", *PART_CATEGORIES)
     pipe = PR.build_preprocessor(part, PART_CATEGORIES, top_k=20)
-    model = pipe.fit(part)
+    model = PR.fit_cached(pipe, part)
     names = PR.feature_names(model, [], PART_CATEGORIES)
     vec = model.transform(part).select(F.posexplode(vector_to_array("features")).alias("slot", "x"))
     sums = vec.groupBy("slot").agg(F.sum("x").cast("long").alias("n_ones"))
@@ -324,7 +324,7 @@ def onehot_counts(spark, sf_dir):
 def numeric_prepare(spark, sf_dir):
     feats = _features(spark, sf_dir)
     pipe = Pipeline(stages=[EN.MedianImputer(inputCols=NUMERIC_FEATURES), EN.PopulationScaler(inputCols=NUMERIC_FEATURES)])
-    out = pipe.fit(feats).transform(feats).select("event_id", *NUMERIC_FEATURES)
+    out = PR.fit_cached(pipe, feats).transform(feats).select("event_id", *NUMERIC_FEATURES)
     return _zero_fix(round_doubles(out))
 
 
