@@ -71,3 +71,22 @@ def test_fail_mode_raises(spark):
     df = spark.createDataFrame([("bad",)], "timestamp string")
     with pytest.raises(Exception, match="invalid values"):
         time_features(df).collect()
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_num = st.one_of(st.none(), st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), st.just(0.0))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(_num, _num, _num), min_size=1, max_size=40),
+       st.sampled_from(["null_or_zero", "zero_only", "nonpositive"]))
+def test_ratios_within_caps(spark, rows, mode):
+    df = spark.createDataFrame(rows, "amt double, avg double, bal double")
+    out = df.select(S.capped_ratio(F.col("amt"), F.col("avg"), 100.0, 1.0, mode).alias("r1"),
+                    S.capped_ratio(F.col("amt"), F.col("bal"), 1.0, 1.0, mode).alias("r2")).collect()
+    for (amt, avg, bal), r in zip(rows, out):
+        assert r["r1"] is None or r["r1"] <= 100.0
+        assert r["r2"] is None or r["r2"] <= 1.0
+        if amt is None:
+            assert r["r1"] is None and r["r2"] is None
