@@ -350,58 +350,53 @@ _FALSE = "('0','off','f','false','n','no')"
 _DUCK_TYPES = {"str": "VARCHAR", "float": "DOUBLE", "int": "BIGINT", "bool": "BOOLEAN"}
 
 
-def _field_sql(snake, alias, kind, required, default, nonneg, accept_snake=True):
-    ta = f"json_type(v, '$.{alias}')"
-    if accept_snake and snake != alias:
-        ts = f"json_type(v, '$.{snake}')"
-        t = f"coalesce({ta}, {ts})"
-        txt = (f"CASE WHEN {ta} IS NOT NULL THEN json_extract_string(v, '$.{alias}') "
-               f"ELSE json_extract_string(v, '$.{snake}') END")
-    else:
-        t, txt = ta, f"json_extract_string(v, '$.{alias}')"
-    k = (f"(CASE WHEN {t} IS NULL THEN 'missing' WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'VARCHAR' THEN 'string' "
-         f"WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' ELSE 'other' END)")
-    if kind == "str":
-        val = f"CASE WHEN {k} = 'string' THEN {txt} END"
-    elif kind in ("float", "int"):
-        d = (f"(CASE WHEN {k} IN ('number', 'string') THEN TRY_CAST({txt} AS DOUBLE) "
-             f"WHEN {k} = 'bool' THEN CASE WHEN {txt} = 'true' THEN 1.0 ELSE 0.0 END END)")
-        val = d if kind == "float" else (f"CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND {d} = floor({d}) "
-                                         f"THEN CAST({d} AS BIGINT) END")
-    else:
-        w = f"lower(trim({txt}))"
-        val = (f"CASE WHEN {k} = 'bool' THEN {txt} = 'true' "
-               f"WHEN {k} = 'number' AND TRY_CAST({txt} AS DOUBLE) = 1 THEN true "
-               f"WHEN {k} = 'number' AND TRY_CAST({txt} AS DOUBLE) = 0 THEN false "
-               f"WHEN {k} = 'string' AND {w} IN {_TRUE} THEN true "
-               f"WHEN {k} = 'string' AND {w} IN {_FALSE} THEN false END")
-    if not required:
-        dv = f"'{default}'" if isinstance(default, str) else str(default)
-        val = f"CASE WHEN {k} = 'missing' THEN {dv} ELSE {val} END"
-    miss = "'missing'" if required else "NULL"
-    code = (f"CASE WHEN {k} = 'missing' THEN {miss} WHEN {k} = 'null' THEN 'null' "
-            f"WHEN ({val}) IS NULL THEN 'type' ")
-    if nonneg:
-        code += f"WHEN isnan(CAST({val} AS DOUBLE)) OR ({val}) < 0 THEN 'negative' "
-    code += "END"
-    err = f"CASE WHEN ({code}) IS NOT NULL THEN '{alias}:' || ({code}) END"
-    typed = f"CASE WHEN is_obj AND ({code}) IS NULL THEN CAST({val} AS {_DUCK_TYPES[kind]}) END"
-    return err, typed
-
-
 def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool) -> str:
-    errs, cols, known = [], [], []
-    for spec in fields:
-        if len(spec) == 2:
-            spec = (spec[0], spec[0], spec[1], True, None, False)
-        snake, alias, kind, required, default, nonneg = spec
+    """Staged CTEs: raw JSON type/text per field -> kind -> coerced value ->
+    error code -> errors and typed columns (each stage reads the previous)."""
+    specs = [(f[0], f[0], f[1], True, None, False) if len(f) == 2 else f for f in fields]
+    raw, kinds, vals, codes, errs, cols, known = [], [], [], [], [], [], []
+    for snake, alias, kind, required, default, nonneg in specs:
         known += [alias] + ([snake] if accept_snake and snake != alias else [])
-        e, t = _field_sql(snake, alias, kind, required, default, nonneg, accept_snake)
-        errs.append(e)
-        col = f"{t} AS {snake}"
-        if kind == "float":
-            col = f"round({t}, 6) AS {snake}"
-        cols.append(col)
+        ta = f"json_type(v, '$.{alias}')"
+        if accept_snake and snake != alias:
+            raw.append(f"coalesce({ta}, json_type(v, '$.{snake}')) AS t_{snake}")
+            raw.append(f"CASE WHEN {ta} IS NOT NULL THEN json_extract_string(v, '$.{alias}') "
+                       f"ELSE json_extract_string(v, '$.{snake}') END AS x_{snake}")
+        else:
+            raw.append(f"{ta} AS t_{snake}")
+            raw.append(f"json_extract_string(v, '$.{alias}') AS x_{snake}")
+        t = f"t_{snake}"
+        kinds.append(f"CASE WHEN {t} IS NULL THEN 'missing' WHEN {t} = 'NULL' THEN 'null' WHEN {t} = 'VARCHAR' "
+                     f"THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') "
+                     f"THEN 'number' ELSE 'other' END AS k_{snake}")
+        k, x = f"k_{snake}", f"x_{snake}"
+        if kind == "str":
+            val = f"CASE WHEN {k} = 'string' THEN {x} END"
+        elif kind in ("float", "int"):
+            d = (f"(CASE WHEN {k} IN ('number', 'string') THEN TRY_CAST({x} AS DOUBLE) "
+                 f"WHEN {k} = 'bool' THEN CASE WHEN {x} = 'true' THEN 1.0 ELSE 0.0 END END)")
+            val = d if kind == "float" else (f"CASE WHEN NOT isnan({d}) AND {d} = floor({d}) "
+                                             f"THEN CAST({d} AS BIGINT) END")
+        else:
+            w = f"lower(trim({x}))"
+            val = (f"CASE WHEN {k} = 'bool' THEN {x} = 'true' "
+                   f"WHEN {k} = 'number' AND TRY_CAST({x} AS DOUBLE) = 1 THEN true "
+                   f"WHEN {k} = 'number' AND TRY_CAST({x} AS DOUBLE) = 0 THEN false "
+                   f"WHEN {k} = 'string' AND {w} IN {_TRUE} THEN true "
+                   f"WHEN {k} = 'string' AND {w} IN {_FALSE} THEN false END")
+        if not required:
+            dv = f"'{default}'" if isinstance(default, str) else str(default)
+            val = f"CASE WHEN {k} = 'missing' THEN {dv} ELSE {val} END"
+        vals.append(f"CAST({val} AS {_DUCK_TYPES[kind]}) AS val_{snake}")
+        miss = "'missing'" if required else "NULL"
+        code = (f"CASE WHEN {k} = 'missing' THEN {miss} WHEN {k} = 'null' THEN 'null' "
+                f"WHEN val_{snake} IS NULL THEN 'type' ")
+        if nonneg:
+            code += f"WHEN isnan(CAST(val_{snake} AS DOUBLE)) OR val_{snake} < 0 THEN 'negative' "
+        codes.append(code + f"END AS c_{snake}")
+        errs.append(f"CASE WHEN c_{snake} IS NOT NULL THEN '{alias}:' || c_{snake} END")
+        typed = f"CASE WHEN is_obj AND c_{snake} IS NULL THEN val_{snake} END"
+        cols.append(f"round({typed}, 6) AS {snake}" if kind == "float" else f"{typed} AS {snake}")
     base_err = "concat_ws(';', " + ", ".join(errs) + ")"
     if strict:
         known_list = "[" + ", ".join(f"'{x}'" for x in known) + "]"
@@ -413,12 +408,16 @@ def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool) -
   SELECT event_id, defect, CASE WHEN is_obj THEN v0 ELSE '{{}}' END AS v, is_obj
   FROM (SELECT *, coalesce(json_type(v0) = 'OBJECT', false) AS is_obj FROM (
     SELECT event_id, defect, CASE WHEN json_valid(value) THEN value ELSE 'null' END AS v0 FROM req))
+), s_raw AS (SELECT event_id, defect, v, is_obj, {", ".join(raw)} FROM parsed
+), s_kind AS (SELECT *, {", ".join(kinds)} FROM s_raw
+), s_val AS (SELECT *, {", ".join(vals)} FROM s_kind
+), s_code AS (SELECT *, {", ".join(codes)} FROM s_val
 ), checked AS (
-  SELECT event_id, defect, is_obj, CASE WHEN is_obj THEN {base_err} ELSE 'json:malformed' END AS errors,
+  SELECT event_id, defect, CASE WHEN is_obj THEN {base_err} ELSE 'json:malformed' END AS errors,
     {", ".join(cols)}
-  FROM parsed
+  FROM s_code
 )
-SELECT * EXCLUDE (is_obj), errors = '' AS is_valid FROM checked"""
+SELECT *, errors = '' AS is_valid FROM checked"""
 
 
 def _json_obj(pairs):
