@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from txrisk.ml import prep as PR
 from txrisk.ml import train as TN

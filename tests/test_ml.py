@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.sql import functions as F
 
 from txrisk.ml import encoders as EN
 from txrisk.ml import prep as PR

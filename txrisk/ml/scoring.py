@@ -17,7 +17,6 @@ from txrisk.ml.explain import explain, global_importances
 from txrisk.ml.train import score
 from txrisk.operators.topk import as_map
 from txrisk.operators.transfer import transfer_features
-from txrisk.schemas import TRANSFER_FEATURE_COLUMNS
 
 
 def evaluate(model: PipelineModel, requests: DataFrame, names: list[str], *, with_explanation: bool | str = True,
@@ -56,5 +55,3 @@ def result_json(results: DataFrame) -> DataFrame:
     return results.select(F.col("transactionId").alias("key"),
                           F.to_json(F.struct(*RESULT_FIELDS)).alias("value"))
 
-
-FEATURES = TRANSFER_FEATURE_COLUMNS
