@@ -154,3 +154,19 @@ def test_legacy_training_job(spark, tmp_dir):
     write_parquet(legacy_training_table(subset_rename(fx.legacy_raw(spark, SF_SMALL))), path)
     metrics = train_legacy_job(spark, path, os.path.join(tmp_dir, "legacy_model"), profile="fast")
     assert 0.0 <= metrics["auc_roc"] <= 1.0
+
+
+def test_exact_medians_small_and_radix_paths_agree(spark):
+    import random
+    from txrisk.operators.quantiles import exact_median, exact_medians
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1.0, 2.0, 2.0, 3.0, None]), rnd.uniform(-1e3, 1e3), float(i % 7)) for i in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    small = exact_medians(df, ["a", "b", "c"])
+    radix = exact_medians(df, ["a", "b", "c"], small_limit=1)  # force the radix rounds
+    lazy = {r["column"]: r["median"] for r in exact_median(df, ["a", "b", "c"]).collect()}
+    for c in "abc":
+        vals = sorted(x[ord(c) - 97] for x in rows if x[ord(c) - 97] is not None)
+        n = len(vals)
+        expect = (vals[(n - 1) // 2] + vals[n // 2]) / 2
+        assert small[c] == radix[c] == lazy[c] == expect

@@ -48,6 +48,7 @@ from txrisk.operators import aggregates as A  # noqa: E402
 from txrisk.operators import legacy as lg  # noqa: E402
 from txrisk.operators.patterns import pattern_tags as _pattern_tags  # noqa: E402
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS  # noqa: E402
+from txrisk.ml import encoders as EN  # noqa: E402
 
 NUMERIC_FEATURES = [c for c in TRANSFER_FEATURE_COLUMNS if c != "card_type"]
 
@@ -151,8 +152,11 @@ def mode_fit(spark, sf_dir):
 
 @query
 def numeric_fit(spark, sf_dir):
-    """Exact distributed median, then mean/std after imputation (one lazy plan)."""
-    return round_doubles(A.numeric_fit(_features(spark, sf_dir), NUMERIC_FEATURES))
+    """Median imputer fitted (exact, distributed), then mean/std after imputation."""
+    feats = _features(spark, sf_dir)
+    med = EN.MedianImputer(inputCols=NUMERIC_FEATURES).fit(feats).getStats()  # one value per column
+    med_df = spark.createDataFrame([(c, med[c]) for c in NUMERIC_FEATURES], "column string, median double")
+    return round_doubles(A.numeric_fit(feats, NUMERIC_FEATURES, F.broadcast(med_df)))
 
 
 @query
