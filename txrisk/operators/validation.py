@@ -105,8 +105,8 @@ def validate_json(df: DataFrame, value: str = "value", fields=REQUEST_FIELDS, st
             code = F.when(code.isNull() & (F.isnan(val.cast("double")) | (val < 0)), F.lit("negative")).otherwise(code)
         codes[f"_c_{snake}"] = code
     out = out.withColumns(codes)
-    errs = F.filter(F.array(*[F.when(F.col(f"_c_{s[0]}").isNotNull(), F.concat(F.lit(s[1] + ":"), F.col(f"_c_{s[0]}")))
-                              for s in specs]), lambda e: e.isNotNull())
+    # array_compact drops the NULLs without a lambda (stays in generated code)
+    errs = F.array_compact(F.array(*[F.concat(F.lit(s[1] + ":"), F.col(f"_c_{s[0]}")) for s in specs]))
     if strict:
         keys = F.json_object_keys(F.col(value).cast("string"))
         extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(x) for x in known])))
