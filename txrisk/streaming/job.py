@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from txrisk.ml.scoring import evaluate, result_json
 from txrisk.operators.validation import split_valid, validate_requests
 from txrisk.session import checkpoint_dir
+from txrisk.sources.kafka import BusConfig, read_kafka
 
 
 def process_batch(batch: DataFrame, model: PipelineModel, names: list[str], *, with_explanation: bool = True,
@@ -36,13 +37,16 @@ def process_batch(batch: DataFrame, model: PipelineModel, names: list[str], *, w
     return results, rejected.select(*batch.columns, "errors"), validated
 
 
-def start(stream: DataFrame, model: PipelineModel, names: list[str], output: str, quarantine: str, *,
+def start(stream: DataFrame, model: PipelineModel, names: list[str], output: str | None, quarantine: str, *,
           checkpoint: str | None = None, available_now: bool = False, processing_time: str | None = None,
-          as_json: bool = False, with_explanation: bool = True, evaluated_at=None, query_name: str | None = None):
+          as_json: bool = False, with_explanation: bool = True, evaluated_at=None, query_name: str | None = None,
+          bus: BusConfig | None = None):
     """Run the evaluation on a streaming DataFrame with a ``value`` column.
 
     ``checkpoint`` defaults to a folder under the session's checkpoint dir.
     ``available_now`` processes what is there and stops (bounded runs).
+    ``bus``: also publish results (camelCase JSON) to the result topic;
+    at-least-once, since a replayed batch publishes again.
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{query_name or 'evaluate'}")
@@ -50,12 +54,21 @@ def start(stream: DataFrame, model: PipelineModel, names: list[str], output: str
     def handle(batch: DataFrame, batch_id: int) -> None:
         results, rejected, validated = process_batch(batch, model, names, with_explanation=with_explanation,
                                                      evaluated_at=evaluated_at)
-        out = result_json(results) if as_json else results
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(output, f"batch_id={batch_id}"))
-        rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(quarantine, f"batch_id={batch_id}"))
-        validated.unpersist()
+        results = results.persist()  # feeds every sink; scored and explained once
+        try:
+            if bus is not None:
+                (result_json(results).write.format("kafka")
+                    .option("kafka.bootstrap.servers", bus.bootstrap_servers)
+                    .option("topic", bus.result_topic).save())
+            if output is not None:
+                out = result_json(results) if as_json else results
+                out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+                    os.path.join(output, f"batch_id={batch_id}"))
+            rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+                os.path.join(quarantine, f"batch_id={batch_id}"))
+        finally:
+            results.unpersist()
+            validated.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if query_name:
@@ -72,3 +85,23 @@ def run_bounded(stream: DataFrame, model: PipelineModel, names: list[str], outpu
     q = start(stream, model, names, output, quarantine, available_now=True, **kw)
     q.awaitTermination()
     return q
+
+
+def run_service(spark, cfg: BusConfig, model_path: str, quarantine: str, *, output: str | None = None,
+                processing_time: str = "1 second", max_offsets_per_trigger: int | None = None,
+                checkpoint: str | None = None):
+    """Request topic -> validate -> evaluate -> result topic (+ optional
+    Parquet copy); rejected messages with reasons -> quarantine folder.
+    Needs the Kafka connector package on the cluster classpath."""
+    from txrisk.ml.prep import split_columns
+    from txrisk.ml.train import load
+    from txrisk.ml.prep import feature_names
+    from txrisk.schemas import TRANSFER_FEATURE_COLUMNS, L4_TRANSFER_RAW
+    model = load(model_path)
+    probe = spark.createDataFrame([], L4_TRANSFER_RAW)
+    from txrisk.operators.transfer import transfer_features
+    num, cat = split_columns(transfer_features(probe), TRANSFER_FEATURE_COLUMNS)
+    names = feature_names(model, num, cat)
+    stream = read_kafka(spark, cfg, max_offsets_per_trigger=max_offsets_per_trigger)
+    return start(stream, model, names, output, quarantine, checkpoint=checkpoint, processing_time=processing_time,
+                 bus=cfg, query_name="fraud_evaluation")
