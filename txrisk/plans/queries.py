@@ -6,12 +6,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txrisk.functions import scalars as S
+from txrisk.ml import encoders as EN
+from txrisk.ml import prep as PR
+from txrisk.ml import scoring as SC
+from txrisk.ml import train as TN
+from txrisk.ml.explain import explain as _explain
+from txrisk.operators import aggregates as A
+from txrisk.operators import legacy as lg
+from txrisk.operators import metrics as Mx
+from txrisk.operators import topk as TK
 from txrisk.operators import transfer as tr
+from txrisk.operators import validation as V
+from txrisk.operators.behavior import behavior_features as _behavior
+from txrisk.operators.patterns import pattern_tags as _pattern_tags
+from txrisk.operators.split import stratified_split as _split
+from txrisk.operators.timeframes import half_up_mean
+from txrisk.operators.validation import validate_requests as _validate
 from txrisk.plans import fixtures as fx
 from txrisk.plans.util import round_doubles
+from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS, TRANSFER_FEATURE_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,12 +62,6 @@ def class_means(spark, sf_dir):
 
 # ---- scalar features (F2-F17) ----
 
-from txrisk.functions import scalars as S  # noqa: E402
-from txrisk.operators import aggregates as A  # noqa: E402
-from txrisk.operators import legacy as lg  # noqa: E402
-from txrisk.operators.patterns import pattern_tags as _pattern_tags  # noqa: E402
-from txrisk.schemas import TRANSFER_FEATURE_COLUMNS  # noqa: E402
-from txrisk.ml import encoders as EN  # noqa: E402
 
 NUMERIC_FEATURES = [c for c in TRANSFER_FEATURE_COLUMNS if c != "card_type"]
 
@@ -183,11 +196,6 @@ def risk_policy(spark, sf_dir):
 
 # ---- behaviour windows (W1-W5) ----
 
-from txrisk.operators.behavior import behavior_features as _behavior  # noqa: E402
-
-
-from txrisk.operators.timeframes import half_up_mean  # noqa: E402
-
 
 def _exact_mean(df):
     """user_mean_30d rounded half-up at 6 digits from the exact window sum."""
@@ -232,9 +240,6 @@ def behavior_features(spark, sf_dir):
 
 # ---- message validation (P8-P10, F24, F25) ----
 
-from txrisk.operators import validation as V  # noqa: E402
-from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS  # noqa: E402
-
 
 @query
 def validate_requests(spark, sf_dir):
@@ -250,10 +255,6 @@ def strict_payload(spark, sf_dir):
 
 # ---- ranking metrics, split, top contributions (A11-A15, M7, O4, F23) ----
 
-from txrisk.operators import metrics as Mx  # noqa: E402
-from txrisk.operators import topk as TK  # noqa: E402
-from txrisk.operators.split import stratified_split as _split  # noqa: E402
-
 
 @query
 def average_precision(spark, sf_dir):
@@ -294,16 +295,6 @@ def top_contributions(spark, sf_dir):
 
 # ---- ML preparation and model queries (M1-M13) ----
 
-from pyspark.ml import Pipeline  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-
-from txrisk.ml import encoders as EN  # noqa: E402
-from txrisk.ml import prep as PR  # noqa: E402
-from txrisk.ml import scoring as SC  # noqa: E402
-from txrisk.ml import train as TN  # noqa: E402
-from txrisk.ml.explain import explain as _explain  # noqa: E402
-from txrisk.operators.validation import validate_requests as _validate  # noqa: E402
-
 
 @query
 def topk_encode(spark, sf_dir):
