@@ -105,17 +105,17 @@ def validate_json(df: DataFrame, value: str = "value", fields=REQUEST_FIELDS, st
             code = F.when(code.isNull() & (F.isnan(val.cast("double")) | (val < 0)), F.lit("negative")).otherwise(code)
         codes[f"_c_{snake}"] = code
     out = out.withColumns(codes)
-    # array_compact drops the NULLs without a lambda (stays in generated code)
-    errs = F.array_compact(F.array(*[F.concat(F.lit(s[1] + ":"), F.col(f"_c_{s[0]}")) for s in specs]))
+    # concat_ws skips NULL codes: no array or lambda, so this stays in generated code
+    parts = [F.concat(F.lit(s[1] + ":"), F.col(f"_c_{s[0]}")) for s in specs]
     if strict:
         keys = F.json_object_keys(F.col(value).cast("string"))
-        extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(x) for x in known])))
-        errs = F.concat(errs, F.transform(extra, lambda x: F.concat(x, F.lit(":extra_forbidden"))))
-    errs = F.when(F.col("_obj"), errs).otherwise(F.array(F.lit("json:malformed")))
+        extra = F.sort_array(F.array_except(keys, F.array(*[F.lit(x) for x in known])))
+        parts.append(F.when(F.size(extra) > 0,
+                            F.concat(F.array_join(extra, ":extra_forbidden;"), F.lit(":extra_forbidden"))))
+    errors = F.when(F.col("_obj"), F.concat_ws(";", *parts)).otherwise(F.lit("json:malformed"))
     typed = [F.when(F.col("_obj") & F.col(f"_c_{s[0]}").isNull(), F.col(f"_x_{s[0]}")).alias(s[0]) for s in specs]
-    out = out.select(*df.columns, errs.alias("_errs"), *typed)
-    return (out.withColumn("is_valid", F.size("_errs") == 0)
-               .withColumn("errors", F.concat_ws(";", "_errs")).drop("_errs"))
+    out = out.select(*df.columns, errors.alias("errors"), *typed)
+    return out.withColumn("is_valid", F.col("errors") == "")
 
 
 def _spec(spec):
