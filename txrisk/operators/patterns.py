@@ -38,6 +38,8 @@ def pattern_tags(df: DataFrame, **overrides) -> DataFrame:
         ("combined", (drain >= p["combined_drain_min"]) & (c24 >= p["combined_count_min"])
          & (age < p["combined_card_months"])),
     ]
-    tags = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]),
-                    lambda x: x.isNotNull())
-    return df.withColumn("pattern_tags", F.concat_ws(",", tags)).withColumn("n_patterns", F.size(tags))
+    hits = [(name, F.coalesce(cond, F.lit(False))) for name, cond in rules]
+    # concat_ws skips the NULLs of rules that did not fire: no array, no lambda
+    tags = F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in hits])
+    count = sum((hit.cast("int") for _, hit in hits[1:]), hits[0][1].cast("int"))
+    return df.withColumn("pattern_tags", tags).withColumn("n_patterns", count)
