@@ -101,3 +101,10 @@ def test_buckets_narrower_than_lookback(spark):
     pdf = orders.toPandas().sort_values("row_id").reset_index(drop=True)
     out = behavior_features(orders, tiebreak="row_id", bucket_days=3).toPandas()
     _compare(out, pandas_reference(pdf))
+
+
+def test_null_user_is_refused(spark):
+    import pytest
+    df = spark.createDataFrame([(1, None, 1.0, "2024-01-01 00:00:00")], "row_id long, user_id long, amount double, timestamp string")
+    with pytest.raises(Exception, match="user id contains NULL"):
+        behavior_features(df, tiebreak="row_id").collect()

@@ -50,6 +50,9 @@ def behavior_features(df: DataFrame, user: str = "user_id", amount: str = "amoun
     lookback_days = max(mean_days, count_days)
     bucket_days = bucket_days or 2 * lookback_days
     d = tf.DAY_US
+    # a NULL user has no group (pandas drops it and the reference then fails): refuse it
+    df = df.withColumn(user, F.when(F.col(user).isNull(),
+                                    F.raise_error(F.lit("user id contains NULL values"))).otherwise(F.col(user)))
     src = (df.withColumn("_amt", nan_to_null(F.col(amount).cast("double")))
              .withColumn("_us", to_micros(_checked_ts(df, timestamp, on_invalid))))
 
