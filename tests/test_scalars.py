@@ -90,3 +90,11 @@ def test_ratios_within_caps(spark, rows, mode):
         assert r["r2"] is None or r["r2"] <= 1.0
         if amt is None:
             assert r["r1"] is None and r["r2"] is None
+
+
+def test_timestamp_quarantine_split(spark):
+    from txrisk.operators.transfer import split_on_timestamp
+    df = spark.createDataFrame([(1, "2024-01-15T14:30:00Z"), (2, "bad"), (3, None)], "id int, timestamp string")
+    valid, rejected = split_on_timestamp(df)
+    assert [r["id"] for r in valid.collect()] == [1]
+    assert sorted((r["id"], r["reason"]) for r in rejected.collect()) == [(2, "timestamp:invalid"), (3, "timestamp:invalid")]
