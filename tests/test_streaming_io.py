@@ -66,3 +66,21 @@ def test_bus_options():
     opts = kafka_reader_options(cfg)
     assert opts["subscribe"] == "req" and opts["startingOffsets"] == "earliest"
     assert opts["kafka.bootstrap.servers"] == "localhost:9092"
+
+
+def test_result_messages_shape(spark):
+    import json
+    from txrisk.ml.scoring import result_json
+    model, names = _model(spark)
+    valid, _ = split_valid(validate_requests(fx.requests_json(spark, SF_SMALL)))
+    msgs = result_json(evaluate(model, valid, names, evaluated_at=F.lit(EPOCH_TEXT))).collect()
+    assert msgs
+    for m in msgs[:100]:
+        body = json.loads(m["value"])
+        assert set(body) >= {"transactionId", "riskScore", "riskLevel", "recommendedAction", "evaluatedAt"}
+        assert body["transactionId"] == m["key"] and 0.0 <= body["riskScore"] <= 1.0
+        level = "LOW" if body["riskScore"] < 0.3 else "MEDIUM" if body["riskScore"] < 0.7 else "HIGH"
+        # the level is decided on the unrounded score; rounding can only move it across a band edge
+        assert body["riskLevel"] == level or abs(body["riskScore"] - 0.3) < 1e-4 or abs(body["riskScore"] - 0.7) < 1e-4
+        assert {"LOW": "APPROVE", "MEDIUM": "HOLD", "HIGH": "BLOCK"}[body["riskLevel"]] == body["recommendedAction"]
+        assert 0 < len(body["featureImportance"]) <= 5
