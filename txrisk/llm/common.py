@@ -98,3 +98,24 @@ def _root(spark: SparkSession) -> str:
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may run where it is not installed; once per application."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_txrisk_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="txrisk-code-"), "txrisk.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)     # served by the driver, fetched by every executor
+    sc._txrisk_shipped = True

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import exact_dedup, mixing, rule_cascade, url_filter
+from txrisk.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, warc
+from txrisk.llm.common import id_remainder
 
 # The URL rules of the contract (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -17,6 +18,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE that the packing contract names."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_model(docs: DataFrame) -> language_id.Model | None:
+    """Fitted on the documents that are not held out (crc32 of the id modulo 4 is not 2)."""
+    return language_id.fit(docs.filter(id_remainder("doc_id", 4) != 2))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    return language_id.predict(docs.drop("lang"), language_model(docs)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -27,21 +46,37 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_records(spark, warc.write(_read(spark, sf_dir, "pages")))
+    number = lambda c: F.col(c).try_cast("long")
+    return read.select(number("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       number("refers_to").alias("refers_to"))
+
+
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), id_remainder("doc_id", 10) == 0)
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(_read(spark, sf_dir, "documents")).drop("same_rows")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rule_cascade.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_source_mix": op2_source_mix,
-    "op3_url_filter": op3_url_filter,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op10_rule_cascade": op10_rule_cascade,
-}
+    f.__name__: f for f in (op1_language_id, op2_source_mix, op3_url_filter, op4_warc_chunks, op5_class_lm, op6_ngram_join,
+                            op7_exact_dedup, op9_packing, op10_rule_cascade)}
 
 ORACLE: dict[str, str] = {
     "op10_rule_cascade": r"""
