@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, warc
+from txrisk.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, warc, weak_quality
 from txrisk.llm.common import id_remainder
 
 # The URL rules of the contract (verdict, host, path).
@@ -65,6 +65,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(_read(spark, sf_dir, "documents")).drop("same_rows")
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -76,7 +80,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_source_mix, op3_url_filter, op4_warc_chunks, op5_class_lm, op6_ngram_join,
-                            op7_exact_dedup, op9_packing, op10_rule_cascade)}
+                            op7_exact_dedup, op8_weak_quality, op9_packing, op10_rule_cascade)}
 
 ORACLE: dict[str, str] = {
     "op10_rule_cascade": r"""
