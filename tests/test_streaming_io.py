@@ -65,7 +65,7 @@ def test_bus_options():
     cfg = bus_config({"KAFKA_REQUEST_TOPIC": "req"})
     opts = kafka_reader_options(cfg)
     assert opts["subscribe"] == "req" and opts["startingOffsets"] == "earliest"
-    assert opts["kafka.bootstrap.servers"] == "localhost:9092"
+    assert opts["kafka.bootstrap.servers"] == "localhost:9092" and opts["failOnDataLoss"] == "true"
 
 
 def test_result_messages_shape(spark):

@@ -16,13 +16,28 @@ from txrisk.functions import scalars as S
 from txrisk.ml.explain import explain, global_importances
 from txrisk.ml.train import score
 from txrisk.operators.topk import as_map
-from txrisk.operators.transfer import transfer_features
+from txrisk.operators.validation import split_valid
+from txrisk.operators.transfer import checked_timestamp, transfer_features
+from txrisk.session import prepare
+
+
+def split_evaluable(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that :func:`evaluate` can take, rows it cannot, with their reasons in ``errors``).
+
+    Validation accepts any text as a time; here a time that cannot be parsed
+    is a reason too, so one such message does not fail the job."""
+    prepare(validated.sparkSession)
+    bad_time = F.col("is_valid") & checked_timestamp(validated, "timestamp", "keep").isNull()
+    told = validated.withColumn("errors", F.when(bad_time, F.lit("timestamp:invalid")).otherwise(F.col("errors")))
+    told = told.withColumn("is_valid", F.col("errors") == "")
+    return split_valid(told)
 
 
 def evaluate(model: PipelineModel, requests: DataFrame, names: list[str], *, with_explanation: bool | str = True,
              evaluated_at: Column | None = None, keys: tuple[str, ...] = ("transaction_id",)) -> DataFrame:
     """``with_explanation``: True = per-row contributions, "importances" =
     the model's top positive global importances (fallback), False = none."""
+    prepare(requests.sparkSession)
     feats = transfer_features(requests, zero_mode="nonpositive", keep=keys)
     scored = score(model, feats)
     if with_explanation == "importances":

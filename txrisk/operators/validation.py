@@ -6,9 +6,10 @@ null) and then by its snake_case name. Lax coercion follows the message
 schema of the reference:
   str    JSON string only
   float  JSON number, numeric string, or boolean (1.0 / 0.0)
-  int    integral JSON number (3.0 accepted, 3.5 refused), integral
-         numeric string, or boolean
-  bool   JSON boolean, number 0/1, or one of the usual words
+  int    integral JSON number (3.0 accepted, 3.5 refused), string of
+         digits, or boolean; within 64 bits, read without a detour by double
+  bool   JSON boolean, number 0/1, or one of the usual words, not padded
+A key given twice counts with its last value.
 Non-negative fields refuse negatives and NaN. Missing optional fields take
 their default; unknown keys are ignored, or refused with ``strict=True``.
 
@@ -27,6 +28,9 @@ from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS
 # fixed values: words accepted for booleans
 TRUE_WORDS = ["1", "on", "t", "true", "y", "yes"]
 FALSE_WORDS = ["0", "off", "f", "false", "n", "no"]
+# number texts: digits with a point or exponent as the type allows, and the float words
+INT_TEXT = r"^ *[+-]?[0-9]+(\.0+)? *$"
+FLOAT_TEXT = r"(?i)^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)? *$|^ *[+-]?(nan|inf|infinity) *$"
 SPARK_TYPES = {"str": "string", "float": "double", "int": "bigint", "bool": "boolean"}
 
 
@@ -50,16 +54,17 @@ def _coerce(raw: Column, k: Column, kind: str) -> tuple[Column, Column]:
         return F.when(k == "string", text), k == "string"
     if kind == "float":
         val = (F.when(k == "number", num)
-                .when(k == "string", text.try_cast("double"))
+                .when((k == "string") & text.rlike(FLOAT_TEXT), F.trim(text).try_cast("double"))
                 .when(k == "bool", boolv.cast("double")))
         return val, val.isNotNull()
     if kind == "int":
-        d = F.when(k == "number", num).when(k == "string", text.try_cast("double")) \
-             .when(k == "bool", boolv.cast("double"))
-        integral = d.isNotNull() & ~F.isnan(d) & (d == F.floor(d)) & (F.abs(d) < 9.2e18)
-        return F.when(integral, d.cast("bigint")), F.coalesce(integral, F.lit(False))
+        digits = F.regexp_replace(F.trim(text), r"\.0+$", "")
+        val = (F.when((k == "number") & (num == F.floor(num)), F.try_variant_get(raw, "$", "bigint"))
+                .when((k == "string") & text.rlike(INT_TEXT), digits.try_cast("bigint"))
+                .when(k == "bool", boolv.cast("bigint")))
+        return val, val.isNotNull()
     if kind == "bool":
-        word = F.lower(F.trim(text))
+        word = F.lower(text)
         val = (F.when(k == "bool", boolv)
                 .when((k == "number") & (num == 1), F.lit(True))
                 .when((k == "number") & (num == 0), F.lit(False))

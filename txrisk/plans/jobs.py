@@ -7,6 +7,7 @@ nothing passes through the driver except the model and its metrics.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txrisk.ml import train as TN
 from txrisk.operators.legacy import legacy_training_table, load_transfer_dataset, subset_rename
@@ -25,7 +26,8 @@ def subset_schema() -> T.StructType:
 def subset_job(spark: SparkSession, src_csv: str, dst_csv: str) -> None:
     """Raw CSV -> 13 renamed columns -> CSV (the scan reads only those columns)."""
     prepare(spark)
-    write_csv(subset_rename(read_csv(spark, src_csv, L1_RAW)), dst_csv)
+    kept = T.StructType([f for f in L1_RAW.fields if f.name in SUBSET_RENAME])
+    write_csv(subset_rename(read_csv(spark, src_csv, kept)), dst_csv)
 
 
 def build_train_set_job(spark: SparkSession, subset_csv: str, out_parquet: str) -> None:
@@ -37,15 +39,21 @@ def build_train_set_job(spark: SparkSession, subset_csv: str, out_parquet: str)
 def summarize_job(spark: SparkSession, raw_csv: str, n: int = 5):
     """(profile DataFrame, first n rows by User_ID, Timestamp)."""
     prepare(spark)
-    return profile_csv(spark, raw_csv, L1_RAW, ["User_ID", "Timestamp"], n)
+    return profile_csv(spark, raw_csv, ["User_ID", "Timestamp"], n)
 
 
 def train_transfer_job(spark: SparkSession, data: DataFrame, model_path: str, profile: str = "transfer",
-                       id_col: str = "Transaction_ID") -> dict:
+                       id_col: str | None = None) -> dict:
     """Either training layout -> split, fit, hold-out metrics -> saved model.
-    Returns the metrics as a dict (one row)."""
+    The row id is ``id_col``, or the column named Transaction_ID in any case,
+    or else a hash of the row. Returns the metrics as a dict (one row)."""
     prepare(spark)
-    table = load_transfer_dataset(data, row_id=id_col, keep=(id_col,)) if id_col in data.columns else data
+    if id_col is None:
+        id_col = next((c for c in data.columns if c.lower() == "transaction_id"), None)
+    if id_col is None:
+        id_col = "_row_id"
+        data = data.withColumn(id_col, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in data.columns]))))
+    table = load_transfer_dataset(data, row_id=id_col, keep=(id_col,))
     model, metrics, _ = TN.train_and_evaluate(table, TRANSFER_FEATURE_COLUMNS, id_col, profile)
     TN.save(model, model_path)
     return metrics.first().asDict()
@@ -55,7 +63,6 @@ def train_legacy_job(spark: SparkSession, features_parquet: str, model_path: str
                      id_col: str | None = None) -> dict:
     """Legacy feature table (L3) -> target resolved (is_fraud / fraud_label /
     target) and checked binary -> split, fit (Top-30 categories), metrics -> saved model."""
-    from pyspark.sql import functions as F
     from txrisk.operators.aggregates import require_binary, resolve_target
     from txrisk.schemas import LEGACY_FEATURE_COLUMNS, require_columns
     prepare(spark)

@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # a JSON key given twice: the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Settings for scale; applied only where the caller left them unset.

@@ -41,14 +41,15 @@ def bus_config(env: Mapping[str, str] | None = None) -> BusConfig:
 
 
 def kafka_reader_options(cfg: BusConfig, starting_offsets: str = "earliest",
-                         max_offsets_per_trigger: int | None = None) -> dict[str, str]:
+                         max_offsets_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """``fail_on_data_loss``: stop when offsets have aged out before they were read; False skips them."""
     opts = {
         "kafka.bootstrap.servers": cfg.bootstrap_servers,
         "subscribe": cfg.request_topic,
         "startingOffsets": starting_offsets,
         # offsets live in the query checkpoint; the group id only labels the consumer
         "kafka.group.id": cfg.consumer_group,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.ml.scoring import evaluate, result_json
-from txrisk.operators.validation import split_valid, validate_requests
-from txrisk.session import checkpoint_dir
+from txrisk.ml.scoring import evaluate, result_json, split_evaluable
+from txrisk.operators.validation import validate_requests
+from txrisk.session import checkpoint_dir, prepare
 from txrisk.sources.kafka import BusConfig, read_kafka
 
 
@@ -31,8 +32,9 @@ def process_batch(batch: DataFrame, model: PipelineModel, names: list[str], *, w
                   evaluated_at=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, rejected, cached validated table) for one batch of messages
     with a ``value`` column; unpersist the third when both are written."""
-    validated = validate_requests(batch)
-    valid, rejected = split_valid(validated)
+    prepare(batch.sparkSession)
+    validated = validate_requests(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    valid, rejected = split_evaluable(validated)
     results = evaluate(model, valid, names, with_explanation=with_explanation, evaluated_at=evaluated_at)
     return results, rejected.select(*batch.columns, "errors"), validated
 
@@ -43,13 +45,17 @@ def start(stream: DataFrame, model: PipelineModel, names: list[str], output: str
           bus: BusConfig | None = None):
     """Run the evaluation on a streaming DataFrame with a ``value`` column.
 
-    ``checkpoint`` defaults to a folder under the session's checkpoint dir.
+    ``checkpoint`` defaults to a folder named after ``query_name`` under the
+    session's checkpoint dir; one of the two is required, so that no two
+    streams share a folder.
     ``available_now`` processes what is there and stops (bounded runs).
     ``bus``: also publish results (camelCase JSON) to the result topic;
     at-least-once, since a replayed batch publishes again.
     """
-    spark = stream.sparkSession
-    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{query_name or 'evaluate'}")
+    spark = prepare(stream.sparkSession)
+    if not checkpoint and not query_name:
+        raise ValueError("a stream needs a checkpoint folder or a query name")
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{query_name}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         results, rejected, validated = process_batch(batch, model, names, with_explanation=with_explanation,
