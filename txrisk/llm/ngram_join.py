@@ -1,12 +1,13 @@
 """N-gram Jaccard join with signature trees: groups of documents linked by word-shingle similarity.
 
 1. Sets. One pass hashes each text's shingles to 64 bits and keeps the set's
-   size, digest, a token bitmap (two to four bits per shingle) and the
+   size, digest, a token bitmap (one to two bits per shingle) and the
    smallest hashes that a similar set must share one of (a prefix filter,
    lossless). Equal sets become one class; only its representative goes on.
-2. Blocks. Classes sharing a prefix hash form a block; blocks with the same
-   members are merged. A block is cut into chunks of bounded size and one
-   bitmap width, ordered by set size, and every size-compatible pair of chunks is one unit of work.
+2. Blocks. Classes sharing a prefix hash form a block, which is parted where
+   set sizes jump too far for a link; blocks with the same members are merged
+   and members alone are dropped. A block is cut into chunks of bounded size
+   and one bitmap width, ordered by set size, and every size-compatible pair of chunks is one unit of work.
 3. Trees. A unit builds a signature tree per chunk: nodes hold the OR of
    their bitmaps, their range of set sizes, their bitmap slack and, once
    known, their common component. Dual traversal drops node pairs whose
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches
+from txrisk.llm.common import free_name, scratch_table, ship_package, small_arrow_batches
 
 SHINGLE = 4
 PERCENT = 85
@@ -79,8 +80,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """2 to 4 bits per shingle, a power of two and 64 at least, as 64-bit words."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """1 to 2 bits per shingle, a power of two and 64 at least, as 64-bit words."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     out = np.zeros(bits, dtype=bool)
     out[(s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -99,15 +100,15 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         hashes = _WordHashes()
         for frame in frames:
             out = []
-            for i, text in zip(frame["i"], frame["t"]):
+            for i, h, text in zip(frame["i"], frame["h"], frame["t"]):
                 s = shingle_set(text, hashes, size)
                 if len(s):
-                    out.append((i, len(s), xxhash.xxh128_digest(s.tobytes()), s[:prefix_length(len(s), percent)], bitmap(s).tobytes()))
+                    out.append((i, h, len(s), xxhash.xxh128_digest(s.tobytes()), s[:prefix_length(len(s), percent)], bitmap(s).tobytes()))
                 else:
-                    out.append((i, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "prefix", "bits"])
+                    out.append((i, h, 0, None, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "digest", "prefix", "bits"])
 
-    made = docs.mapInPandas(run, "doc_id string, n long, digest binary, prefix array<long>, bits binary")
+    made = docs.mapInPandas(run, "doc_id string, text_hash long, n long, digest binary, prefix array<long>, bits binary")
     return scratch_table(made.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -194,8 +195,8 @@ def likely_partners(a: Tree, b: Tree, percent: int = PERCENT) -> tuple[np.ndarra
     return i[ok], j[ok]
 
 
-def _traverse_units(rows: DataFrame, likely: bool, percent: int) -> DataFrame:
-    """Pairs (a < b, room) from units of work; rows: unit keys, side, rep, n, bits, comp, sorted into units."""
+def _traverse_units(rows: DataFrame, bits: DataFrame, likely: bool, percent: int) -> DataFrame:
+    """Pairs (a < b, gap in size) from units of work; rows: block, c1, c2, side, rep, n, comp. Bitmaps travel once, to their units."""
     def of(members: pd.DataFrame) -> Tree:
         return Tree(members["n"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in members["bits"]], members["comp"].to_numpy())
 
@@ -244,14 +245,14 @@ def _traverse_units(rows: DataFrame, likely: bool, percent: int) -> DataFrame:
         if out:
             yield pd.concat(out)
 
-    sorted_rows = rows.repartition("block", "c1", "c2").sortWithinPartitions("block", "c1", "c2", "side", "n", "rep")
+    sorted_rows = rows.join(bits, "rep").repartition("block", "c1", "c2").sortWithinPartitions("block", "c1", "c2", "side", "n", "rep")
     return sorted_rows.mapInPandas(run, "a long, b long, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
 def _units(blocks: DataFrame, percent: int) -> DataFrame:
     """Each member row once per unit of its block: pairs of chunks whose set sizes may agree."""
     # one bitmap width per chunk, so that a small set does not coarsen the others' bitmaps
-    width = F.length(F.bin(F.octet_length("bits")))
+    width = F.greatest(F.lit(6), F.length(F.bin(F.col("n") - 1)))
     place = Window.partitionBy("block", width).orderBy("n", "rep")
     chunked = blocks.withColumn("chunk", width.cast("long") * (1 << 40) + F.floor((F.row_number().over(place) - 1) / CHUNK))
     spans = chunked.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -307,27 +308,32 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, ``uid`` (a row number) and ``stays`` (the group's first row), one per row of ``docs``."""
+    """doc_id, n_shingles, component_id, ``uid`` (a row number), ``text_hash`` and ``stays`` (the group's first row), one per row of ``docs``."""
     ship_package(docs.sparkSession)
     small_arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("t"))
     sets = _sets(rows, size, percent).withColumn("id", F.col("doc_id").cast(kind))
     # a class: the rows with one set; its representative is its first row
     classes = scratch_table(sets.filter("n > 0").groupBy("digest").agg(
         F.min("uid").alias("rep"), F.min("id").alias("low_id"), F.min_by("doc_id", "uid").alias("any_id")), "classes")
 
     reps = sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    tokens = reps.select(F.col("uid").alias("rep"), F.explode("prefix").alias("token"))
-    of = Window.partitionBy("token")
-    shared = scratch_table(tokens.withColumns({"members": F.count(F.lit(1)).over(of), "mark": F.bit_xor(F.xxhash64("rep")).over(of),
-                                               "hub": F.min("rep").over(of)}).filter("members > 1"), "shared-tokens")
-    # tokens with the same members are one block
-    once = shared.groupBy("members", "mark", "hub").agg(F.min("token").alias("token")).select("token")
-    blocks = shared.join(once, "token", "left_semi").select(F.col("token").alias("block"), "rep")
-    blocks = scratch_table(blocks.join(reps.select(F.col("uid").alias("rep"), "n", "bits"), "rep"), "blocks")
-
-    first = _traverse_units(_units(blocks.withColumn("comp", F.lit(-1).cast("long")), percent), True, percent)
+    tokens = reps.select(F.col("uid").alias("rep"), "n", F.explode("prefix").alias("token"))
+    # members of a token in size order, parted where the next set is too large for a link
+    by_size = Window.partitionBy("token").orderBy("n", "rep")
+    jump = F.coalesce((100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int"), F.lit(0))
+    parted = tokens.withColumn("jump", jump).withColumn("part", F.sum("jump").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    of = Window.partitionBy("token", "part")
+    shared = scratch_table(parted.withColumns({"members": F.count(F.lit(1)).over(of), "mark": F.bit_xor(F.xxhash64("rep")).over(of),
+                                               "hub": F.min("rep").over(of)}).filter("members > 1").drop("jump"), "shared-tokens")
+    # parts with the same members are one block
+    once = (shared.filter("rep = hub").groupBy("members", "mark", "hub").agg(F.min(F.struct("token", "part")).alias("of"))
+            .select(F.col("of.token").alias("token"), F.col("of.part").alias("part"), F.xxhash64("of.token", "of.part").alias("block")))
+    blocks = scratch_table(shared.join(once, ["token", "part"]).select("block", "rep", "n"), "blocks")
+    bits = sets.select(F.col("uid").alias("rep"), "bits")
+
+    first = _traverse_units(_units(blocks.withColumn("comp", F.lit(-1).cast("long")), percent), bits, True, percent)
     # each member's two likeliest partners; the rest is for the second traversal
     by = Window.partitionBy("b").orderBy("gap", "a")
     tried = scratch_table(first.withColumn("k", F.row_number().over(by)).filter("k <= 2").select("a", "b"), "first-pairs")
@@ -336,7 +342,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     labelled = blocks.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     apart = labelled.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
-    second = _traverse_units(_units(labelled.join(apart, "block", "left_semi"), percent), False, percent).select("a", "b")
+    second = _traverse_units(_units(labelled.join(apart, "block", "left_semi"), percent), bits, False, percent).select("a", "b")
     left = scratch_table(second.join(tried, ["a", "b"], "left_anti"), "second-pairs")
     links = found.union(_links(left, classes, rows, size, percent))
     roots = components(links)
@@ -344,7 +350,31 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     low = named.groupBy("root").agg(F.min("low_id").alias("component_id"), F.min("rep").alias("first"))
     by_set = named.join(low, "root").select("digest", "component_id", "first")
-    out = sets.select("uid", "id", "n", "digest").join(by_set, "digest", "left")
+    out = sets.select("uid", "id", "n", "digest", "text_hash").join(by_set, "digest", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-                      "uid", F.coalesce(F.col("uid") == F.col("first"), F.lit(True)).alias("stays"))
+                      "uid", "text_hash", F.coalesce(F.col("uid") == F.col("first"), F.lit(True)).alias("stays"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each linked group stays: the group's first row.
+
+    Documents without words are linked with nothing and all stay.
+    """
+    key = free_name(docs, "_h")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    stay = (group(docs, id_col, text_col, size, percent).filter("stays")
+            .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__h"))
+    joined = keyed.join(stay, same)
+    # rows that repeat id and text: as many stay as the groups kept
+    many = keyed.groupBy(F.col(id_col).alias("__id"), F.col(key).alias("__h")).count().filter("count > 1").drop("count")
+    if many.isEmpty():
+        return joined.select(*docs.columns)
+    nth = Window.partitionBy("__id", "__h").orderBy(F.lit(0))
+    repeated = joined.join(many.withColumnsRenamed({"__id": "__i2", "__h": "__h2"}),
+                           F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left_semi")
+    single = joined.join(many.withColumnsRenamed({"__id": "__i2", "__h": "__h2"}),
+                         F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left_anti")
+    kept = repeated.withColumn("__k", F.row_number().over(nth)).filter("__k <= __n")
+    return single.select(*docs.columns).unionByName(kept.select(*docs.columns))
