@@ -23,8 +23,8 @@ Repeated rows and ids are packed as they are, once per row.
 from __future__ import annotations
 
 import random
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,49 +43,76 @@ GENERATIONS = 6              # per epoch
 EPOCHS = 2
 WELL_FILLED = 0.985          # sequences this full are injected by crossover and stay between rounds
 ROUNDS = 3
-MEMO_WORDS = 400_000         # encoded words a Python worker remembers before it starts anew
+MEMO_WORDS = 1_000_000         # encoded words a Python worker remembers before it starts anew
 
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_encoders: dict[str, "Encoder"] = {}
+_TAIL = ".,;:!?)&%$*#|"       # may follow a word's letters; apostrophes are left to the tokenizer
 
 
-class Encoder:
-    """Token ids as little-endian uint32 bytes, remembering the ids of words.
+class _OtherSpace(Exception):
+    """The text has white space that words alone do not tell apart."""
+
+
+class Encoder(dict):
+    """Token ids as little-endian uint32 bytes; a dictionary that remembers the ids of words.
 
     Pre-tokenisation of a byte-level BPE always starts a token at a single
-    space, and makes a single line feed one token, when their neighbours are
-    not white space; so such texts are the concatenation of their words.
+    space, makes a single line feed one token, and ends a run of letters at
+    other characters; so a text without other white space is the
+    concatenation of its words, and a word of its letters and what follows.
     Texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.newline = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [x for x in range(256) if x not in printable]
+        self.written = {x: 256 + k for k, x in enumerate(others)}
+        self.newline = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """``word``: as in the text, with the space before it if there is one; a line feed is written as \\x00."""
+        head, tail = word, b""
+        body = word[2:] if word[:2] == " \x00" else word[1:] if word[:1] == " " else word
+        if body.split() != [body]:
+            raise _OtherSpace
+        if word[:2] == " \x00":
+            ids = self.newline + self[body]
+        else:
+            stem = word.rstrip(_TAIL)
+            if stem != word and stem[-1:].isalpha():
+                head, tail = stem, self[word[len(stem):]]
+            if head.strip(" ").isalpha():     # one pre-token: no need for the whole pipeline
+                found = [t.id for t in self.tokenizer.model.tokenize(head.encode().decode("latin-1").translate(self.written))]
+            else:
+                found = self.tokenizer.encode(head, add_special_tokens=False).ids
+            ids = array("I", found).tobytes() + tail
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        parts: list[list[str] | None] = []
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        out = []
         for text in texts:
-            if not text or _UNSAFE.search(text):
-                parts.append(None)
-                continue
-            # a marker keeps each later word's space, and line feeds, as units of their own
-            parts.append(text.replace("\n", " \x00").replace(" ", "\x01 ").split("\x01") if "\x00" not in text and "\x01" not in text else None)
-        new = list({w for p in parts if p for w in p} - self.words.keys())
-        plain = [w for w in new if not w.startswith(" \x00")]
-        lines = [w for w in new if w.startswith(" \x00")]
-        self.words.update(zip(plain, self._encode(plain)))
-        self.words.update((w, self.newline + e) for w, e in zip(lines, self._encode([w[2:] for w in lines])))
-        whole = iter(self._encode([t for t, p in zip(texts, parts) if p is None]))
-        known = self.words.__getitem__
-        return [b"".join(map(known, p)) if p is not None else next(whole) for p in parts]
+            try:
+                if "\x00" in text or "\x01" in text:
+                    raise _OtherSpace
+                # a marker keeps each later word's space, and line feeds, as units of their own
+                words = text.replace("\n", " \x00").replace(" ", "\x01 ").split("\x01")
+                out.append(b"".join(map(self.__getitem__, words)))
+            except _OtherSpace:
+                out.append(self._whole(text))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
