@@ -122,11 +122,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("__words", "__lines")
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], rows: int) -> list[Rule]:
-    """``rules`` by rejections per cost on about SAMPLE_ROWS rows of ``measured``; equal ones by name."""
-    if rows == 0:
-        return sorted(rules, key=lambda r: r.name)
-    sample = measured.sample(False, min(1.0, SAMPLE_ROWS / rows), 5).persist()
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """``rules`` by rejections per cost on ``sample`` (a measured one); equal ones by name."""
+    sample = sample.persist()
     try:
         flags = [F.coalesce(r.rejects, F.lit(False)).cast("int") for r in rules]
         share = sample.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"s{k}") for k, f in enumerate(flags)]).first()
@@ -144,10 +142,11 @@ def order_rules(measured: DataFrame, rules: list[Rule], rows: int) -> list[Rule]
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-share[k] / cost[k], rules[k].name))]
 
 
-def cascade(measured: DataFrame, rules: list[Rule], rows: int) -> DataFrame:
-    """``measured`` with ``rejected_by``: the first rule, in estimated order, that rejects the row (null: it stays)."""
+def cascade(measured: DataFrame, rules: list[Rule], sample: DataFrame) -> DataFrame:
+    """``measured`` with ``rejected_by``: the first rule, in the order estimated on ``sample``, that rejects the row
+    (null: it stays)."""
     verdict = None
-    for rule in order_rules(measured, rules, rows):
+    for rule in order_rules(sample, rules):
         hit = F.coalesce(rule.rejects, F.lit(False))
         verdict = F.when(hit, rule.name) if verdict is None else verdict.when(hit, rule.name)
     return measured.withColumn("rejected_by", verdict if verdict is not None else F.lit(None).cast("string"))
@@ -155,7 +154,9 @@ def cascade(measured: DataFrame, rules: list[Rule], rows: int) -> DataFrame:
 
 def judge(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``rejected_by`` and ``kept``."""
+    # sampled before it is measured: only the sample's texts are
+    sample = measures(docs.sample(False, min(1.0, SAMPLE_ROWS / max(docs.count(), 1)), 5), text_col)
     measured = measures(docs, text_col).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    judged = cascade(measured, default_rules(text_col) if rules is None else rules, docs.count())
+    judged = cascade(measured, default_rules(text_col) if rules is None else rules, sample)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
