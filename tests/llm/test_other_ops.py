@@ -149,6 +149,55 @@ def test_exchange_finds_the_classes_and_rows_sum_to_one():
     assert np.allclose((10 ** class_lm.transitions(b, cls, 5)).sum(axis=1), 1)
 
 
+def test_every_training_word_finds_a_class_by_its_neighbours(spark):
+    # 600 words are more frequent than the 400 that share their ending; x stands among the first half, y among the second
+    rng = random.Random(3)
+    p, q = [f"p{k}" for k in range(300)], [f"q{k}" for k in range(300)]
+    x, y = [f"x{k}zz" for k in range(200)], [f"y{k}zz" for k in range(200)]
+
+    def text(frequent, rare):
+        return " ".join(w for v in rare for w in (*rng.sample(frequent, 6), v))
+    docs = [text(*(p, rng.sample(x, 8)) if k % 2 else (q, rng.sample(y, 8))) for k in range(360)]
+    one, two, left, right = x[:8], y[:8], rng.sample(p, 8), rng.sample(q, 8)
+    pairs = lambda a, b: " ".join(w for pair in zip(a, b) for w in pair)
+    docs += [f"{pairs(left, one)} {pairs(right, two)}", f"{pairs(left, two)} {pairs(right, one)}"]
+    made = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in class_lm.score(made, F.col("doc_id") >= 360).collect()}
+    assert got[360].base_score == pytest.approx(got[361].base_score) and got[360].n_tokens == 33
+    assert got[360].score > got[361].score + 1
+
+
+def test_a_move_to_the_best_class_raises_the_likelihood():
+    rng = np.random.default_rng(8)
+    words, classes = 30, 5
+    b = rng.integers(0, 40, (words, words)) * (rng.random((words, words)) < 0.3)
+    np.fill_diagonal(b, 0)
+    cls = rng.integers(0, classes - 1, words)
+
+    def table(cls):
+        member = np.eye(classes, dtype=np.int64)[cls]
+        return member.T @ b @ member
+    b[0, cls == cls[0]] = b[cls == cls[0], 0] = 0      # no cell changes twice when word 0 leaves its class
+    member = np.eye(classes, dtype=np.int64)[cls]
+    right, left = b[0] @ member, b[:, 0] @ member
+    spare = words - 1                                  # an end token evens out what precedes and what follows word 0
+    cls[spare] = classes - 1
+    member = np.eye(classes, dtype=np.int64)[cls]
+    b[0, spare] = b[spare, 0] = 0
+    b[0, spare] = max(0, b[:, 0].sum() - b[0].sum())
+    b[spare, 0] = max(0, b[0].sum() - b[:, 0].sum())
+    sides = np.concatenate([b[:, 0] @ member, b[0] @ member])
+    side = np.flatnonzero(sides)
+    found = class_lm.best_classes(table(cls), cls, b.sum(axis=1), np.zeros(len(side), dtype=int), side, sides[side])
+    others = [k for k in range(classes - 1) if sides[k] + sides[classes + k] == 0]
+    each = {k: class_lm.likelihood(table(np.concatenate([[k], cls[1:]]))) for k in range(classes - 1)}
+    assert (found[1:] == cls[1:]).all() and each[found[0]] > each[cls[0]] and cls[0] in others
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert class_lm.class_count(0) == 33 and class_lm.class_count(400_000) == 75 and class_lm.class_count(100_000_000) == 465
+
+
 # 6. n-gram join
 
 def _brute_components(texts, size=4, percent=85):
