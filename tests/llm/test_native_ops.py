@@ -142,6 +142,16 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.taken_rows(docs).count() == a.selectExpr("sum(size(draws))").first()[0]
 
 
+def test_taken_rows_follow_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    docs = spark.createDataFrame([(i, f"word {i} " * 20, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    draws = [(d.shard, d.place, r.doc_id) for r in mixing.mix(docs).collect() for d in r.draws]
+    assert len({d[0] for d in draws}) > 2
+    got = mixing.taken_rows(docs)
+    assert got.columns == docs.columns
+    assert [r.doc_id for r in got.collect()] == [d[2] for d in sorted(draws)]
+
+
 def test_mix_odd_rows(odd_docs):
     got = mixing.mix(odd_docs)
     assert got.count() == odd_docs.count() and got.filter("size is null or taken is null or target is null").count() == 0

@@ -12,8 +12,8 @@ blocks. Inside a shard the documents are ordered by another hash.
 
 Words are counted in one pass into a narrow table. Sources, blocks and
 shards are bounded in number, so only their totals reach the driver, and the
-block plan is broadcast; no document is shuffled or collected, whatever the
-skew of the sources.
+block plan is broadcast; the plan shuffles and collects no document, whatever
+the skew of the sources. Writing the mix shuffles the documents it takes.
 
 Defined results: null and empty texts have size 0 and are taken with their
 block; sources go by code point, null last; a source of size 0 takes 0. With
@@ -213,11 +213,15 @@ def _fillers(tagged: DataFrame, rest_blocks: list[int], cut: dict[int, int], gap
 
 
 def taken_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """The mix itself: a row of ``docs`` per time it is taken, with all its columns."""
+    """The mix itself: a row of ``docs`` per draw, with all its columns, shard after shard and each in the order of ``place``.
+
+    Ranges of (shard, place) are the partitions, so a shard larger than a task is cut, in order."""
     plan = (mix(docs, id_col, text_col, source_col, seed).filter(F.size("draws") > 0)
-            .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.size("draws").alias("__times")).distinct())
+            .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draws").alias("__draws")).distinct())
     joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    drawn = joined.withColumn("__draw", F.explode("__draws"))
+    return (drawn.repartitionByRange("__draw.shard", "__draw.place").sortWithinPartitions("__draw.shard", "__draw.place")
+            .select(*docs.columns))
 
 
 def _constants(spark, schema: str, rows: list[tuple]) -> DataFrame:
