@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txrisk.operators.behavior import behavior_features
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def pandas_reference(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from txrisk.plans.jobs import build_train_set_job, subset_job, summarize_job, tr
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS, TRANSFER_RAW_COLUMNS
 from txrisk.sources.io import write_csv, write_parquet
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_csv_to_parquet_to_model(spark, tmp_dir):

@@ -13,7 +13,7 @@ from txrisk.operators.transfer import transfer_features
 from txrisk.plans import fixtures as fx
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_topk_rare_and_unseen(spark):

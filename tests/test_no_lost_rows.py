@@ -19,7 +19,7 @@ from txrisk.sources import kafka_reader_options, bus_config
 from txrisk.sources.io import read_csv, write_csv
 from txrisk.streaming.job import run_bounded, start
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_split_keeps_rows_without_id(spark):

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 NAMES = ["transfer_features", "rolling_30d", "validate_requests", "average_precision", "stratified_split",
          "topk_categories"]

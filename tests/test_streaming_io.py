@@ -15,7 +15,7 @@ from txrisk.schemas import L1_RAW, TRANSFER_FEATURE_COLUMNS
 from txrisk.sources import bus_config, kafka_reader_options, read_csv, write_csv
 from txrisk.streaming.job import run_bounded
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 EPOCH_TEXT = "1970-01-01T00:00:00.000000Z"
 
