@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, warc, weak_quality
+from txrisk.llm import class_lm, exact_dedup, filter_audit, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, vector_codes, warc, weak_quality
 from txrisk.llm.common import id_remainder
 
 # The URL rules of the contract (verdict, host, path).
@@ -78,11 +78,56 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_source_mix, op3_url_filter, op4_warc_chunks, op5_class_lm, op6_ngram_join,
-                            op7_exact_dedup, op8_weak_quality, op9_packing, op10_rule_cascade)}
+                            op7_exact_dedup, op8_weak_quality, op9_packing, op10_rule_cascade,
+                            op12_vector_codes, op13_filter_audit)}
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds as a chain of tables: assignments a<r>, means m<r>, codebooks c<r>."""
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, p, min_by(e, d * {entries} + e) AS e, min(d) AS d
+            FROM (SELECT vec_id, parts.p, e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(parts.x, c.x)]) AS d
+                  FROM parts JOIN c{r} c ON parts.p = c.p) GROUP BY vec_id, p)"""
+
+    def moved(r: int) -> str:
+        return f"""m{r} AS MATERIALIZED (
+            SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+            FROM (SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n
+                  FROM (SELECT a.p, a.e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r} a JOIN parts ON a.vec_id = parts.vec_id AND a.p = parts.p)
+                  GROUP BY p, e, i) GROUP BY p, e),
+        c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.e = m.e)"""
+
+    chain = ",\n        ".join(f"{assigned(r)},\n        {moved(r)}" for r in range(rounds))
+    return f"""
+        WITH whole AS MATERIALIZED (
+            SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+            FROM (SELECT vec_id, v, unnest(range({parts})) AS p FROM whole)),
+        c0 AS MATERIALIZED (
+            SELECT p, e, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM whole ORDER BY vec_id LIMIT {entries}) f
+            JOIN parts ON f.vec_id = parts.vec_id),
+        {chain},
+        {assigned(rounds)},
+        books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS sha FROM c{rounds}),
+        coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT whole.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+        FROM whole JOIN coded ON whole.vec_id = coded.vec_id, books"""
+
 
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op10_rule_cascade": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
                           [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w,
@@ -106,6 +151,30 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT rejected AS kept
         FROM v""",
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+                          [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+        f AS (SELECT part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+                     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+                     regexp_matches(text, '[#$%&*|]') AS d,
+                     coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e,
+                     coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+                     coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic FROM t),
+        g AS (SELECT part, [x for x in [CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+                                        CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END] if x IS NOT NULL] AS fails, good, toxic FROM f),
+        x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM x p, x q, x r, x s, x u
+              WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+        first_fail AS (SELECT part, filter_order, fails, good, toxic,
+                              coalesce(list_min([instr(filter_order, y) for y in fails]), 9) AS fell FROM g, o),
+        s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter,
+                     count(*) FILTER (fell > step) AS kept, count(*) FILTER (fell = step) AS removed,
+                     count(*) FILTER (fell < step AND list_contains(fails, substr(filter_order, step, 1))) AS redundant,
+                     count(*) FILTER (fails = [substr(filter_order, step, 1)]) AS unique_fails,
+                     count(*) FILTER (fell = step AND good) AS good_lost, count(*) FILTER (fell = step AND toxic) AS toxic_lost
+              FROM first_fail, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step) GROUP BY part, filter_order, step)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM s""",
     "op3_url_filter": r"""
         WITH parts AS (
           SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
