@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import class_lm, exact_dedup, filter_audit, language_id, mixing, ngram_join, packing, rule_cascade, url_filter, vector_codes, warc, weak_quality
+from txrisk.llm import class_lm, exact_dedup, filter_audit, language_id, mixing, ngram_join, packing, repeated_passages, rule_cascade, url_filter, vector_codes, warc, weak_quality
 from txrisk.llm.common import id_remainder
 
 # The URL rules of the contract (verdict, host, path).
@@ -78,6 +78,11 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = repeated_passages.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -89,7 +94,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_source_mix, op3_url_filter, op4_warc_chunks, op5_class_lm, op6_ngram_join,
                             op7_exact_dedup, op8_weak_quality, op9_packing, op10_rule_cascade,
-                            op12_vector_codes, op13_filter_audit)}
+                            op11_repeated_passages, op12_vector_codes, op13_filter_audit)}
 
 def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The rounds as a chain of tables: assignments a<r>, means m<r>, codebooks c<r>."""
@@ -127,6 +132,17 @@ def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str
 
 
 ORACLE: dict[str, str] = {
+    "op11_repeated_passages": r"""
+        WITH t AS MATERIALIZED (
+            SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+        covered AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id),
+        words AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t)),
+        kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n
+                 FROM words LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM covered) c USING (doc_id, p) WHERE c.p IS NULL GROUP BY words.doc_id)
+        SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id""",
     "op12_vector_codes": _vector_codes_sql(),
     "op10_rule_cascade": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
