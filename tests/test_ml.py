@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from txrisk.ml import encoders as EN
 from txrisk.ml import prep as PR
@@ -74,66 +75,134 @@ def test_class_weight_requires_positive(spark):
         TN.with_weights(df).collect()
 
 
-def _brute_shapley(tm, x, used):
-    """Path-dependent Shapley by enumerating all subsets of the used features."""
+def _expected(nodes, at, x, known):
+    """The tree's output when only the features ``known`` of ``x`` are known, straight from its nodes."""
+    n = nodes[at]
+    if n["feature"] is None:
+        return n["value"]
+    kids = nodes[n["left"]], nodes[n["right"]]
+    if n["feature"] in known:
+        v = x[n["feature"]]
+        if n["left_categories"] is not None:
+            left = not math.isnan(v) and int(v) in n["left_categories"]
+        else:
+            left = v <= n["threshold"]
+        return _expected(nodes, n["left"] if left else n["right"], x, known)
+    return sum(k["cover"] / n["cover"] * _expected(nodes, i, x, known) for k, i in zip(kids, (n["left"], n["right"])))
+
+
+def _brute_shapley(model, x):
+    """(contributions by feature, bias, margin) by enumerating all subsets of each tree's features."""
     from itertools import combinations
-
-    def tree_value(tree, S):
-        # rebuild per-leaf probabilities: leaf reached with prob prod over path nodes
-        total = 0.0
-        L = len(tree["v"])
-        for li in range(L):
-            p = 1.0
-            for j in range(tree["feat"].shape[1]):
-                f = tree["feat"][li, j]
-                if f < 0:
-                    continue
-                if f in S:
-                    ok = True
-                    for c in range(tree["cf"].shape[2]):
-                        if tree["cf"][li, j, c] < 0:
-                            continue
-                        mask = tree["cm"][li, j, c]
-                        xv = x[f]
-                        inl = ((mask >> int(xv)) & 1) == 1 if mask > 0 else xv <= tree["ct"][li, j, c]
-                        ok &= inl if tree["cl"][li, j, c] else not inl
-                    p *= 1.0 if ok else 0.0
-                else:
-                    p *= tree["zero"][li, j]
-            total += tree["v"][li] * p
-        return total
-
-    def f(S):
-        return sum(2 * t["w"] * tree_value(t, S) for t in tm["trees"])
-
-    M = len(used)
-    phi = {}
-    for i in used:
-        others = [u for u in used if u != i]
-        acc = 0.0
-        for s in range(M):
-            w = math.factorial(s) * math.factorial(M - s - 1) / math.factorial(M)
-            for S in combinations(others, s):
-                acc += w * (f(set(S) | {i}) - f(set(S)))
-        phi[i] = acc
-    return phi
+    phi, bias, margin = {}, 0.0, 0.0
+    for t, weight in enumerate(model.weights):
+        nodes = {n["node"]: n for n in model.nodes if n["tree"] == t}
+        used = sorted({n["feature"] for n in nodes.values() if n["feature"] is not None})
+        f = lambda known: model.scale * weight * _expected(nodes, 0, x, set(known))  # noqa: B023, E731
+        bias, margin, m = bias + f(()), margin + f(used), len(used)
+        for i in used:
+            others = [u for u in used if u != i]
+            for s in range(m):
+                w = math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)
+                phi[i] = phi.get(i, 0.0) + sum(w * (f((*c, i)) - f(c)) for c in combinations(others, s))
+    return phi, bias, margin
 
 
 def test_contributions_equal_brute_force_shapley(spark):
     from pyspark.ml.functions import vector_to_array
-    from txrisk.ml.explain import contributions, gbt_stage, tree_leaves
+    from txrisk.ml import tree_tables as TT
     data = transfer_features(fx.transfers(spark, SF_SMALL), keep=("event_id", "fraud_label")) \
         .withColumnRenamed("fraud_label", "label")
     model = TN.fit(data, TRANSFER_FEATURE_COLUMNS, TN.Profile(trees=3, step=0.3, depth=3, subsample=1.0,
                                                              feature_fraction=1.0))
-    tm = tree_leaves(gbt_stage(model), spark)
+    trees = model.stages[-1].model()
     X = np.array([r[0] for r in TN.score(model, data).select(vector_to_array("features")).limit(5).collect()])
-    phi, _ = contributions(X, tm, X.shape[1])
-    used = sorted({int(f) for t in tm["trees"] for f in t["feat"].ravel() if f >= 0})
+    phi, bias = TT.contributions(X, TT.games(trees), X.shape[1])
     for r in range(len(X)):
-        ref = _brute_shapley(tm, X[r], used)
-        for i in used:
-            assert abs(phi[r, i] - ref[i]) < 1e-9
+        ref, ref_bias, ref_margin = _brute_shapley(trees, X[r])
+        assert abs(bias[r] - ref_bias) < 1e-9 and abs(bias[r] + phi[r].sum() - ref_margin) < 1e-9
+        assert all(abs(phi[r, i] - ref.get(i, 0.0)) < 1e-9 for i in range(X.shape[1]))
+
+
+def _random_model(seed, depth, n_categories):
+    """Random trees over two numbers, one category of ``n_categories`` values and a number with repeated splits."""
+    import random
+
+    from txrisk.ml.tree_tables import TreeModel
+    rnd = random.Random(seed)
+    nodes = []
+
+    def grow(tree, at, level, cover, free):
+        if level == depth or cover < 4 or rnd.random() < 0.1:
+            nodes.append({"tree": tree, "node": at, "feature": None, "threshold": None, "left_categories": None, "n_categories": None,
+                          "left": None, "right": None, "value": rnd.uniform(-1, 1), "cover": cover})
+            return free
+        f = rnd.randrange(4)
+        cats = rnd.sample(range(n_categories), n_categories // 3) if f == 2 else None
+        a = float(rnd.randrange(1, int(cover)))
+        nodes.append({"tree": tree, "node": at, "feature": f, "threshold": None if cats else rnd.uniform(-1, 1), "left_categories": cats,
+                      "n_categories": n_categories if cats else None, "left": free, "right": free + 1, "value": 0.0, "cover": cover})
+        return grow(tree, nodes[-1]["right"], level + 1, cover - a, grow(tree, nodes[-1]["left"], level + 1, a, free + 2))
+
+    for t in range(4):
+        grow(t, 0, 0, 1000.0, 1)
+    return TreeModel(["a", "b", "cat", "d"], nodes, [rnd.uniform(0.1, 1) for _ in range(4)])
+
+
+def test_plan_and_arrays_agree_with_brute_force_on_100_categories(spark):
+    import random
+
+    from txrisk.ml import tree_tables as TT
+    rnd = random.Random(3)
+    for seed in (1, 2):
+        model = TT.TreeModel.from_json(_random_model(seed, 4, 100).to_json())
+        x = [[rnd.uniform(-1.5, 1.5), rnd.uniform(-1.5, 1.5), float(rnd.randrange(-1, 104)), rnd.uniform(-1.5, 1.5)] for _ in range(25)]
+        x += [[float("nan")] * 4, [0.0, float("nan"), 99.0, float("inf")]]
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, v array<double>")
+        df = df.unionByName(spark.createDataFrame([(99, [None] * 4)], "id int, v array<double>"))
+        out = {r.id: r for r in TT.with_contributions(df, model, F.col("v")).collect()}
+        phi, bias = TT.contributions(np.array(x), TT.games(model), 4)
+        for i, v in enumerate(x):
+            ref, ref_bias, ref_margin = _brute_shapley(model, v)
+            got = [c.value for c in out[i].contribs]
+            assert all(abs(got[f] - ref.get(f, 0.0)) < 1e-9 and abs(phi[i, f] - got[f]) < 1e-9 for f in range(4))
+            assert abs(out[i].margin - ref_margin) < 1e-9 and abs(out[i].bias - ref_bias) < 1e-9 and abs(bias[i] - ref_bias) < 1e-9
+            assert abs(out[i].probability - 1 / (1 + math.exp(-ref_margin))) < 1e-9
+        assert abs(out[99].margin - out[len(x) - 2].margin) < 1e-12         # null counts as NaN: right at every split
+
+
+def test_tables_hold_the_model(spark, tmp_dir):
+    from pyspark.ml import PipelineModel
+    from txrisk.ml import tree_tables as TT
+    from txrisk.plans.fixed_models import transfer_model
+    model = transfer_model()
+    paths = model.path_table(spark)
+    leaves = sum(n["feature"] is None for n in model.nodes)
+    assert model.node_table(spark).count() == len(model.nodes) and paths.select("tree", "leaf").distinct().count() == leaves
+    shares = paths.groupBy("tree", "leaf").agg(F.product("share").alias("p")).groupBy("tree").agg(F.sum("p").alias("p")).collect()
+    assert all(abs(r.p - 1) < 1e-12 for r in shares)
+    stage = TT.TreeArrays(tables=model.to_json())
+    PipelineModel([stage]).write().overwrite().save(f"{tmp_dir}/trees")
+    assert PipelineModel.load(f"{tmp_dir}/trees").stages[0].model() == model
+
+
+def test_explaining_writes_nothing_and_both_ways_agree(spark):
+    import os
+
+    from txrisk.session import checkpoint_dir
+    data = transfer_features(fx.transfers(spark, SF_SMALL), keep=("event_id", "fraud_label")).withColumnRenamed("fraud_label", "label")
+    model = TN.fit(data, TRANSFER_FEATURE_COLUMNS, "fast")
+    names = PR.feature_names(model, *PR.split_columns(data, TRANSFER_FEATURE_COLUMNS))
+    scored = TN.score(model, data)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = sorted(os.listdir(folder))
+    in_plan, in_batches = ({r.event_id: r for r in explain(model, scored, names, ["event_id"], in_plan=w).collect()} for w in (True, False))
+    assert sorted(os.listdir(folder)) == before
+    assert "MapInPandas" not in explain(model, scored, names, ["event_id"])._jdf.queryExecution().executedPlan().toString()
+    for k, a in in_plan.items():
+        b = in_batches[k]
+        assert abs(a.margin_sum - b.margin_sum) < 1e-9
+        assert all(abs(x.value - y.value) < 1.1e-4 for x, y in zip(a.top, b.top, strict=True))
 
 
 def test_topk_large_dictionary_uses_join(spark):

@@ -2,18 +2,21 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from txrisk.ml import prep as PR
 from txrisk.ml import train as TN
-from txrisk.ml.scoring import evaluate
+from txrisk.ml.scoring import evaluate, judge_requests, valid_results
 from txrisk.operators.legacy import subset_rename
 from txrisk.operators.transfer import transfer_features
-from txrisk.operators.validation import split_valid, validate_requests
+from txrisk.operators.validation import split_valid, validate_requests, with_outcome, write_outcomes
 from txrisk.plans import fixtures as fx
 from txrisk.schemas import L1_RAW, TRANSFER_FEATURE_COLUMNS
 from txrisk.sources import bus_config, kafka_reader_options, read_csv, write_csv
-from txrisk.streaming.job import run_bounded
+from txrisk.plans.fixed_models import transfer_model
+from txrisk.streaming import job
+from txrisk.streaming.job import committed, committed_rejected, committed_results, run_bounded
 
 from sf_paths import SF_SMALL
 
@@ -28,25 +31,86 @@ def _model(spark):
     return model, PR.feature_names(model, num, cat)
 
 
+COLS = ["event_id", "transactionId", "riskScore", "riskLevel", "recommendedAction"]
+
+
+def _messages(spark, tmp_dir, files=3):
+    src = os.path.join(tmp_dir, "in")
+    fx.requests_json(spark, SF_SMALL).select("event_id", "value").repartition(files).write.parquet(src)
+    return src
+
+
+def _stream(spark, src):
+    return spark.readStream.schema("event_id long, value string").option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def _rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()))
+
+
 def test_stream_equals_batch_and_restart(spark, tmp_dir):
     model, names = _model(spark)
-    msgs = fx.requests_json(spark, SF_SMALL).select("event_id", "value")
-    src = os.path.join(tmp_dir, "in")
-    msgs.repartition(3).write.parquet(src)
-    out, quarantine, ckpt = (os.path.join(tmp_dir, d) for d in ("out", "quarantine", "ckpt"))
-    stream = spark.readStream.schema("event_id long, value string").option("maxFilesPerTrigger", 1).parquet(src)
-    run_bounded(stream, model, names, out, quarantine, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
-    streamed = spark.read.parquet(out).drop("batch_id")
+    src = _messages(spark, tmp_dir)
+    out, ckpt = (os.path.join(tmp_dir, d) for d in ("out", "ckpt"))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    run_bounded(_stream(spark, src), model, names, out, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held           # no batch leaves a cached table
+    batch = judge_requests(model, spark.read.parquet(src), names, keep=("event_id",), evaluated_at=F.lit(EPOCH_TEXT))
+    assert _rows(committed_results(spark, out), *COLS) == _rows(batch.filter("is_valid"), *COLS)
+    told = _rows(committed_rejected(spark, out), "event_id", "errors")
+    assert told == _rows(batch.filter("NOT is_valid"), "event_id", "errors") and len(told) > 0
+    assert {"event_id", "value", "errors"} <= set(committed_rejected(spark, out).columns)       # the message as it came
     valid, rejected = split_valid(validate_requests(spark.read.parquet(src)))
-    batch = evaluate(model, valid, names, evaluated_at=F.lit(EPOCH_TEXT))
-    cols = ["transactionId", "riskScore", "riskLevel", "recommendedAction"]
-    assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
-    q = spark.read.parquet(quarantine)
-    assert q.count() == rejected.count() > 0 and q.filter("errors = ''").count() == 0
+    typed = evaluate(model, valid, names, keys=("event_id", "transaction_id"), evaluated_at=F.lit(EPOCH_TEXT))
+    assert _rows(typed, *COLS) == _rows(batch.filter("is_valid"), *COLS) and rejected.count() == len(told)
     # restart on the same checkpoint: nothing new, no duplicates
-    run_bounded(spark.readStream.schema("event_id long, value string").parquet(src), model, names, out,
-                quarantine, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
-    assert spark.read.parquet(out).count() == streamed.count()
+    run_bounded(_stream(spark, src), model, names, out, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
+    assert committed(spark, out).count() == batch.count()
+
+
+@pytest.mark.parametrize("dies", ["before the manifest", "after the manifest"])
+def test_killed_between_the_sinks_and_replayed(spark, tmp_dir, monkeypatch, dies):
+    model = transfer_model()
+    src = _messages(spark, tmp_dir)
+    out, ckpt = (os.path.join(tmp_dir, d) for d in ("out", "ckpt"))
+    commit, calls = job.commit_batch, []
+
+    def dying(spark, output, batch_id, attempt):
+        calls.append(batch_id)
+        if dies == "after the manifest":
+            commit(spark, output, batch_id, attempt)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        if dies == "before the manifest":
+            commit(spark, output, batch_id, attempt)
+
+    monkeypatch.setattr(job, "commit_batch", dying)
+    with pytest.raises(Exception, match="killed"):
+        run_bounded(_stream(spark, src), model, model.names, out, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
+    if dies == "before the manifest":       # written, not committed: not seen by readers
+        assert committed(spark, out).select("batch_id").distinct().count() == 1
+    monkeypatch.setattr(job, "commit_batch", commit)
+    run_bounded(_stream(spark, src), model, model.names, out, checkpoint=ckpt, evaluated_at=F.lit(EPOCH_TEXT))
+    assert len(os.listdir(os.path.join(out, "batches", "batch_id=1"))) == 2          # two attempts, one counts
+    batch = judge_requests(model, spark.read.parquet(src), model.names, keep=("event_id",), evaluated_at=F.lit(EPOCH_TEXT))
+    assert _rows(committed(spark, out), "event_id", "is_valid", "errors") == _rows(batch, "event_id", "is_valid", "errors")
+    assert _rows(committed_results(spark, out), *COLS) == _rows(batch.filter("is_valid"), *COLS)
+
+
+def test_both_outcomes_from_one_pass(spark, tmp_dir):
+    checked = validate_requests(fx.requests_json(spark, SF_SMALL))
+    path = os.path.join(tmp_dir, "outcomes")
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: reads.add(1) or v, "string")
+    raw = fx.requests_json(spark, SF_SMALL).withColumn("value", seen("value"))
+    write_outcomes(validate_requests(raw), path)
+    n = raw.count()
+    assert reads.value == n                   # each message was read once
+    back = spark.read.parquet(path).withColumn("is_valid", F.col("is_valid").cast("boolean"))
+    assert _rows(back.filter("is_valid"), "event_id") == _rows(checked.filter("is_valid"), "event_id")
+    assert back.filter("NOT is_valid AND errors = ''").count() == 0 and back.count() == n
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parse_json")
+    assert parses(with_outcome(checked, True)) == parses(checked)           # choosing an outcome evaluates nothing twice
 
 
 def test_csv_round_trip_and_subset_pruning(spark, tmp_dir):
@@ -72,8 +136,8 @@ def test_result_messages_shape(spark):
     import json
     from txrisk.ml.scoring import result_json
     model, names = _model(spark)
-    valid, _ = split_valid(validate_requests(fx.requests_json(spark, SF_SMALL)))
-    msgs = result_json(evaluate(model, valid, names, evaluated_at=F.lit(EPOCH_TEXT))).collect()
+    judged = judge_requests(model, fx.requests_json(spark, SF_SMALL), names, evaluated_at=F.lit(EPOCH_TEXT))
+    msgs = result_json(valid_results(judged)).collect()
     assert msgs
     for m in msgs[:100]:
         body = json.loads(m["value"])

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txrisk.schemas import LEGACY_FLAG_THRESHOLD, RISK_BANDS
+
 __all__ = [
     "ZERO_MODES", "nan_to_null", "safe_denominator", "capped_ratio", "cap", "parse_timestamp",
     "to_micros", "txn_hour", "txn_day_of_week", "txn_month", "flag", "is_new_card",
@@ -113,13 +115,25 @@ def velocity_burst(v24: Column, v7: Column, mode: str = "null_or_zero", upper: f
     return cap(v24 / safe_denominator(v7, 0.01, mode), upper)
 
 
+def _by_band(score: Column, field: int) -> Column:
+    out = F.lit(RISK_BANDS[-1][field])
+    for band in reversed(RISK_BANDS[:-1]):
+        out = F.when(score < band[0], band[field]).otherwise(out)
+    return out
+
+
 def risk_level(score: Column) -> Column:
     """Decided on the unrounded score."""
-    return (F.when(score < 0.30, "LOW").when(score < 0.70, "MEDIUM").otherwise("HIGH"))
+    return _by_band(score, 1)
 
 
 def recommended_action(score: Column) -> Column:
-    return (F.when(score < 0.30, "APPROVE").when(score < 0.70, "HOLD").otherwise("BLOCK"))
+    return _by_band(score, 2)
+
+
+def is_flagged(score: Column, threshold: float = LEGACY_FLAG_THRESHOLD) -> Column:
+    """The legacy service's flag."""
+    return score >= threshold
 
 
 def rounded_score(score: Column) -> Column:

@@ -1,185 +1,84 @@
-"""Per-row feature contributions of a Spark GBT model.
-
-Exact path-dependent Shapley values (TreeSHAP definition). A tree's
-output conditioned on a feature set S is a sum over leaves of
-``v * prod(node in path: feature in S ? [x goes this way] : cover share)``,
-so by linearity each leaf is a small game whose players are the distinct
-features on its path (at most ``depth``). Leaves are padded to ``depth``
-players with dummies (which get zero), the Shapley sum over subsets is
-evaluated with a polynomial in one variable, and everything is numpy over
-(leaves x rows) per tree inside ``mapInPandas``. Tree arrays are read from
-the saved model (bounded by trees x 2^depth nodes) and broadcast.
-
-Margins: Spark's GBT probability is 1 / (1 + exp(-2 F)), F = sum w_t tree_t,
-so contributions are reported on the margin 2F; bias + sum = margin.
+"""Per-row feature contributions of a boosted tree model.
+
+Exact path-dependent Shapley values on the margin scale (bias + sum =
+margin), from the tree tables that the pipeline carries
+(:mod:`txrisk.ml.tree_tables`). Small models are explained inside the row by
+array functions; larger ones in Arrow batches over broadcast arrays.
 """
 
 from __future__ import annotations
 
-import math
-import os
-
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txrisk.session import checkpoint_dir
+from txrisk.ml import tree_tables as TT
+from txrisk.operators.topk import top_abs, top_positive
 
 
 def gbt_stage(model: PipelineModel) -> GBTClassificationModel:
     return [s for s in model.stages if isinstance(s, GBTClassificationModel)][-1]
 
 
-def tree_leaves(gbt: GBTClassificationModel, spark) -> dict:
-    """Leaves of every tree as padded arrays (driver side, bounded by model size)."""
-    path = os.path.join(checkpoint_dir(spark), f"gbt-{gbt.uid}")
-    gbt.write().overwrite().save(path)
-    rows = spark.read.parquet(os.path.join(path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.prediction", F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
-        "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("cats"),
-        F.col("nodeData.split.numCategories").alias("ncat")).collect()
-    weights = list(gbt.treeWeights)
-    depth = max(gbt.getMaxDepth(), 1)
-    by_tree: dict[int, dict[int, tuple]] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
-    trees = []
-    for t in sorted(by_tree):
-        nodes = by_tree[t]
-        leaves = []
-
-        def walk(nid, conds):
-            n = nodes[nid]
-            if n["leftChild"] < 0:
-                leaves.append((n["prediction"], conds))
-                return
-            # categorical split: bit mask of the categories going left
-            mask = 0
-            if n["ncat"] is not None and n["ncat"] >= 0:
-                for c in n["cats"]:
-                    mask |= 1 << int(c)
-            for child, left in ((n["leftChild"], True), (n["rightChild"], False)):
-                share = nodes[child]["cover"] / n["cover"] if n["cover"] > 0 else 0.0
-                walk(child, conds + [(n["featureIndex"], n["threshold"], left, share, mask)])
-
-        walk(0, [])
-        L = len(leaves)
-        feat = np.full((L, depth), -1, dtype=np.int64)
-        zero = np.ones((L, depth))
-        # conditions per (leaf, player): up to depth (feature, threshold, left) triples
-        cf = np.full((L, depth, depth), -1, dtype=np.int64)
-        ct = np.zeros((L, depth, depth))
-        cl = np.zeros((L, depth, depth), dtype=bool)
-        cm = np.zeros((L, depth, depth), dtype=np.int64)
-        vals = np.zeros(L)
-        for li, (v, conds) in enumerate(leaves):
-            vals[li] = v
-            players: list[int] = []
-            for ci, (f, thr, left, share, mask) in enumerate(conds):
-                if f not in players:
-                    players.append(f)
-                j = players.index(f)
-                feat[li, j] = f
-                zero[li, j] *= share
-                cf[li, j, ci], ct[li, j, ci], cl[li, j, ci], cm[li, j, ci] = f, thr, left, mask
-        trees.append({"w": weights[t], "v": vals, "feat": feat, "zero": zero, "cf": cf, "ct": ct, "cl": cl,
-                      "cm": cm})
-    return {"depth": depth, "trees": trees}
-
-
-def _shapley_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
-
-
-def contributions(X: np.ndarray, model: dict, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phi [rows x features], bias [rows]) on the margin scale."""
-    n, d = X.shape[0], model["depth"]
-    w = _shapley_weights(d)
-    phi = np.zeros((n, n_features))
-    bias = 0.0
-    for tree in model["trees"]:
-        L = len(tree["v"])
-        # one[l, r, j]: row r satisfies every condition of player j on leaf l
-        one = np.ones((L, n, d))
-        cf, ct, cl, cm = tree["cf"], tree["ct"], tree["cl"], tree["cm"]
-        for j in range(d):
-            for c in range(d):
-                f = cf[:, j, c]
-                active = f >= 0
-                if not active.any():
-                    continue
-                xv = X[:, np.where(active, f, 0)].T  # (L, n)
-                mask = cm[:, j, c][:, None]
-                in_left = np.where(mask > 0,
-                                   (np.right_shift(mask, np.clip(xv, 0, 62).astype(np.int64)) & 1) == 1,
-                                   xv <= ct[:, j, c][:, None])
-                go = np.where(cl[:, j, c][:, None], in_left, ~in_left)
-                one[:, :, j] *= np.where(active[:, None], go, 1.0)
-        real = tree["feat"] >= 0
-        one = np.where(real[:, None, :], one, 1.0)
-        zero = np.broadcast_to(tree["zero"][:, None, :], (L, n, d))
-        scale = 2.0 * tree["w"]
-        bias += scale * float(np.sum(tree["v"] * np.prod(tree["zero"], axis=1)))
-        for j in range(d):
-            # coefficients of prod_{k != j} (zero_k + one_k t), shape (L, n, d)
-            coef = np.zeros((L, n, d))
-            coef[:, :, 0] = 1.0
-            for k in range(d):
-                if k == j:
-                    continue
-                shifted = np.zeros_like(coef)
-                shifted[:, :, 1:] = coef[:, :, :-1] * one[:, :, k:k + 1]
-                coef = coef * zero[:, :, k:k + 1] + shifted
-            total = (coef * w).sum(axis=2) * (one[:, :, j] - zero[:, :, j])  # (L, n)
-            contrib = (tree["v"][:, None] * total) * scale
-            fj = tree["feat"][:, j]
-            for f in np.unique(fj[fj >= 0]):
-                phi[:, f] += contrib[fj == f].sum(axis=0)
-    return phi, np.full(n, bias)
-
-
-def explain(model: PipelineModel, scored: DataFrame, names: list[str], keys: list[str], top_k: int = 5,
-            features_col: str = "features") -> DataFrame:
+def tree_model(model: PipelineModel | TT.TreeModel, names: list[str], spark) -> TT.TreeModel:
+    """The model's tables: as given, from the pipeline's stage, or flattened now (a pipeline fitted elsewhere)."""
+    if isinstance(model, TT.TreeModel):
+        return model
+    stored = [s for s in model.stages if isinstance(s, TT.TreeArrays)]
+    return stored[-1].model() if stored else TT.from_gbt(gbt_stage(model), names, spark)
+
+
+def explain(model: PipelineModel | TT.TreeModel, scored: DataFrame, names: list[str], keys: list[str], top_k: int = 5,
+            features_col: str = "features", in_plan: bool | None = None) -> DataFrame:
     """keys + ``bias`` + ``margin_sum`` + ``top`` (array<struct<feature, value>>, |value| desc,
-    then feature position, rounded to 4 digits)."""
-    spark = scored.sparkSession
-    tm = tree_leaves(gbt_stage(model), spark)
-    bc = spark.sparkContext.broadcast(tm)
-    nf = len(names)
-    key_fields = [scored.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [
+    then feature position, rounded to 4 digits). ``features_col``: a vector or an array of doubles."""
+    trees = tree_model(model, names, scored.sparkSession)
+    is_array = isinstance(scored.schema[features_col].dataType, T.ArrayType)
+    values = F.col(features_col) if is_array else vector_to_array(F.col(features_col))
+    if in_plan is None:
+        in_plan = TT.cells(trees) <= TT.PLAN_CELLS
+    if in_plan:
+        out = TT.with_contributions(scored.select(*keys, values.alias("_values")), trees, F.col("_values"))
+        return out.select(*keys, "bias", F.col("margin").alias("margin_sum"), top_abs(F.col("contribs"), top_k).alias("top"))
+    return _explain_in_batches(trees, scored.select(*keys, values.alias("_x")), names, keys, top_k)
+
+
+def _explain_in_batches(trees: TT.TreeModel, source: DataFrame, names: list[str], keys: list[str], top_k: int) -> DataFrame:
+    tables = source.sparkSession.sparkContext.broadcast(TT.games(trees))       # bounded by the model
+    n = len(names)
+    schema = T.StructType([source.schema[k] for k in keys] + [
         T.StructField("bias", T.DoubleType()), T.StructField("margin_sum", T.DoubleType()),
         T.StructField("top", T.ArrayType(T.StructType([T.StructField("feature", T.StringType()),
                                                        T.StructField("value", T.DoubleType())])))])
-    name_arr = np.array(names)
 
     def run(batches):
-        m = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.vstack(pdf["_x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, nf))
-            phi, bias = contributions(X, m, nf)
-            order = np.lexsort((np.broadcast_to(np.arange(nf), phi.shape), -np.abs(phi)), axis=1)[:, :top_k]
-            top = [[{"feature": name_arr[i], "value": round(float(p[i]), 4)} for i in o] for p, o in zip(phi, order)]
+            phi, bias = TT.contributions(np.vstack(pdf["_x"].to_numpy()).astype(float), tables.value, n)
+            order = np.lexsort((np.broadcast_to(np.arange(n), phi.shape), -np.abs(phi)), axis=1)[:, :top_k]
             out = pdf[keys].copy()
             out["bias"] = bias
             out["margin_sum"] = bias + phi.sum(axis=1)
-            out["top"] = top
+            out["top"] = [[{"feature": names[i], "value": round(float(p[i]), 4)} for i in o] for p, o in zip(phi, order, strict=True)]
             yield out
 
-    src = scored.select(*keys, vector_to_array(F.col(features_col)).alias("_x"))
-    return src.mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)
+
+
+def importances(model: PipelineModel, names: list[str], top_k: int = 5) -> Column:
+    """Fallback explanation as a constant array: top positive split-gain importances."""
+    gains = gbt_stage(model).featureImportances.toArray()
+    every = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(g)).alias("value")) for n, g in zip(names, gains, strict=False)])
+    return top_positive(every, top_k)
 
 
 def global_importances(model: PipelineModel, names: list[str], top_k: int = 5) -> list[tuple[str, float]]:
-    """Fallback explanation: top positive split-gain importances."""
-    imp = gbt_stage(model).featureImportances.toArray()
-    order = np.argsort(-imp, kind="stable")[:top_k]
-    return [(names[i], round(float(imp[i]), 4)) for i in order if imp[i] > 0]
+    """The same as a list, for a report."""
+    gains = gbt_stage(model).featureImportances.toArray()
+    order = np.argsort(-gains, kind="stable")[:top_k]
+    return [(names[i], round(float(gains[i]), 4)) for i in order if gains[i] > 0]

@@ -18,8 +18,8 @@ def subset_rename(df: DataFrame, mapping: dict[str, str] = SUBSET_RENAME) -> Dat
     return df.select(*[F.col(src).alias(dst) for src, dst in mapping.items()])
 
 
-def legacy_features(df: DataFrame, on_invalid: str = "fail") -> DataFrame:
-    """L3: raw legacy columns -> feature list with hour / weekday / month."""
+def legacy_features(df: DataFrame, on_invalid: str = "fail", keep: tuple[str, ...] = ()) -> DataFrame:
+    """L3: raw legacy columns -> (keep columns +) the feature list with hour / weekday / month."""
     require_columns(df, LEGACY_RAW_COLUMNS, "legacy transactions")
     ts = checked_timestamp(df, "timestamp", on_invalid)
     doubles = ("amount", "account_balance", "daily_transaction_count", "avg_transaction_amount_7d",
@@ -31,23 +31,15 @@ def legacy_features(df: DataFrame, on_invalid: str = "fail") -> DataFrame:
         "is_weekend": F.col("is_weekend").cast("int"),
         "txn_hour": S.txn_hour(ts), "txn_day_of_week": S.txn_day_of_week(ts), "txn_month": S.txn_month(ts),
     })
-    return out.select(*LEGACY_FEATURE_COLUMNS)
+    return out.select(*keep, *LEGACY_FEATURE_COLUMNS)
 
 
 def legacy_training_table(subset: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Subset layout -> the legacy features and the target ``is_fraud``."""
     df = subset.withColumnRenamed("transaction_amount", "amount")
     require_columns(df, LEGACY_RAW_COLUMNS + ["fraud_label"], "subset")
-    ts = checked_timestamp(df, "timestamp")
-    doubles = ("amount", "account_balance", "daily_transaction_count", "avg_transaction_amount_7d",
-               "failed_transaction_count_7d", "card_age", "risk_score")
-    out = df.withColumns({c: S.nan_to_null(F.col(c).cast("double")) for c in doubles}).withColumns({
-        "user_id": F.col("user_id").cast("string"),
-        "previous_fraudulent_activity": F.col("previous_fraudulent_activity").cast("int"),
-        "is_weekend": F.col("is_weekend").cast("int"),
-        "txn_hour": S.txn_hour(ts), "txn_day_of_week": S.txn_day_of_week(ts), "txn_month": S.txn_month(ts),
-        "is_fraud": F.col("fraud_label").cast("int"),
-    })
-    return out.select(*keep, *LEGACY_FEATURE_COLUMNS, "is_fraud")
+    out = legacy_features(df, keep=(*keep, "fraud_label"))
+    return out.select(*keep, *LEGACY_FEATURE_COLUMNS, F.col("fraud_label").cast("int").alias("is_fraud"))
 
 
 OLD_LAYOUT_MARKER = "transaction_amount"

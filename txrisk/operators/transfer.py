@@ -71,11 +71,6 @@ def transfer_features(df: DataFrame, zero_mode: str = "null_or_zero", on_invalid
 
 def split_on_timestamp(df: DataFrame, column: str = "timestamp") -> tuple[DataFrame, DataFrame]:
     """Quarantine mode of the time parser: (rows with a parsable timestamp,
-    rows without one plus a ``reason``). Both read one persisted parse."""
-    from pyspark import StorageLevel
-    parsed = df.withColumn("_ts_ok", checked_timestamp(df, column, "keep").isNotNull()) \
-               .persist(StorageLevel.MEMORY_AND_DISK)
-    valid = parsed.filter(F.col("_ts_ok")).drop("_ts_ok")
-    rejected = parsed.filter(~F.col("_ts_ok")).drop("_ts_ok") \
-                     .withColumn("reason", F.lit(f"{column}:invalid"))
-    return valid, rejected
+    rows without one plus a ``reason``)."""
+    parsed = checked_timestamp(df, column, "keep").isNotNull()
+    return df.filter(parsed), df.filter(~parsed).withColumn("reason", F.lit(f"{column}:invalid"))

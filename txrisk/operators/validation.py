@@ -140,14 +140,22 @@ def strict_payload(df: DataFrame, value: str = "value") -> DataFrame:
     return validate_json(df, value, LEGACY_PAYLOAD_FIELDS, strict=True, accept_snake=False)
 
 
+def with_outcome(checked: DataFrame, valid: bool, flag: str = "is_valid") -> DataFrame:
+    """The rows whose ``flag`` equals ``valid``.
+
+    A generator, not a filter: the optimizer would move a filter below the
+    staged projections, inline the whole error expression into it and
+    evaluate everything twice."""
+    row = F.array(F.struct(*checked.columns))
+    return checked.select(F.inline(F.when(F.col(flag) == valid, row).otherwise(F.slice(row, 1, 0))))
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with reasons).
-
-    The validated table is persisted first: both outputs read it once, and
-    the filters apply to the cached relation. (Pushed below the staged
-    projections, a filter on ``is_valid`` would inline the whole error
-    expression into every stage.) Lost cache blocks are recomputed.
-    """
-    from pyspark import StorageLevel
-    base = validated.persist(StorageLevel.MEMORY_AND_DISK)
-    return base.filter(F.col("is_valid")), base.filter(~F.col("is_valid"))
+    """(valid rows, rejected rows with reasons). Nothing is cached, so each side reads the input;
+    :func:`write_outcomes` gets both from one pass."""
+    return with_outcome(validated, True), with_outcome(validated, False)
+
+
+def write_outcomes(checked: DataFrame, path: str, mode: str = "error") -> None:
+    """Valid and rejected rows by one job, as ``is_valid=true`` and ``is_valid=false`` below ``path``."""
+    checked.write.mode(mode).partitionBy("is_valid").parquet(path)

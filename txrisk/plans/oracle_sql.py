@@ -350,7 +350,7 @@ _FALSE = "('0','off','f','false','n','no')"
 _DUCK_TYPES = {"str": "VARCHAR", "float": "DOUBLE", "int": "BIGINT", "bool": "BOOLEAN"}
 
 
-def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool) -> str:
+def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool, digits: int = 6) -> str:
     """Staged CTEs: raw JSON type/text per field -> kind -> coerced value ->
     error code -> errors and typed columns (each stage reads the previous)."""
     specs = [(f[0], f[0], f[1], True, None, False) if len(f) == 2 else f for f in fields]
@@ -396,7 +396,7 @@ def _validation_sql(source_cte: str, fields, strict: bool, accept_snake: bool) -
         codes.append(code + f"END AS c_{snake}")
         errs.append(f"CASE WHEN c_{snake} IS NOT NULL THEN '{alias}:' || c_{snake} END")
         typed = f"CASE WHEN is_obj AND c_{snake} IS NULL THEN val_{snake} END"
-        cols.append(f"round({typed}, 6) AS {snake}" if kind == "float" else f"{typed} AS {snake}")
+        cols.append(f"round({typed}, {digits}) AS {snake}" if kind == "float" else f"{typed} AS {snake}")
     base_err = "concat_ws(';', " + ", ".join(errs) + ")"
     if strict:
         known_list = "[" + ", ".join(f"'{x}'" for x in known) + "]"
@@ -587,3 +587,125 @@ SELECT event_id, """ + ",\n  ".join(
     f"round((coalesce(CAST({_FEAT_ALIAS.get(c, c)} AS DOUBLE), m['{c}'].med) - m['{c}'].mean) / "
     f"CASE WHEN m['{c}'].std = 0 OR m['{c}'].std IS NULL THEN 1.0 ELSE m['{c}'].std END, 6) + 0.0 AS {c}"
     for c in _NUMERIC) + "\nFROM feat, p"
+
+
+# ---- constant tree models: paths walked down from the nodes, Shapley values over all subsets of a tree's features ----
+
+from txrisk.plans import fixed_models as _fixed  # noqa: E402
+
+
+def _model_ctes(trees, weights, categories, columns: dict[str, str], source: str) -> str:
+    """CTEs ``reached`` (event_id, margin, bias) and ``phi`` (event_id, feature, value, place) for the rows of ``source``."""
+    def lit(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, list) else repr(v)
+
+    nodes = ",\n".join("(" + ", ".join([lit(t), lit(n), lit(f), f"{lit(thr)}::DOUBLE", f"{lit(cats)}::VARCHAR[]", lit(a), lit(b),
+                                        f"{lit(v)}::DOUBLE", lit(c), lit(weights[t])]) + ")"
+                       for t, n, f, thr, cats, a, b, v, c in _fixed.node_rows(trees, categories))
+    used = sorted({f for _, _, f, *_ in _fixed.node_rows(trees, categories) if f})
+    xs = "\n  UNION ALL ".join(
+        f"SELECT event_id, '{f}' AS feature, " + (f"NULL::DOUBLE AS num, {columns[f]}::VARCHAR AS cat" if f in categories
+                                                  else f"{columns[f]}::DOUBLE AS num, NULL::VARCHAR AS cat") + f" FROM {source}" for f in used)
+    places = ", ".join(f"('{f}', {i})" for i, f in enumerate(columns))
+    return f"""
+nodes(tree, node, feature, thr, cats, l, r, value, cover, weight) AS (VALUES {nodes}),
+walk AS (
+  SELECT tree, 0 AS node, []::STRUCT(feature VARCHAR, thr DOUBLE, cats VARCHAR[], went_left BOOLEAN, share DOUBLE)[] AS conds FROM nodes WHERE node = 0
+  UNION ALL
+  SELECT n.tree, c.node, list_append(conds, {{'feature': n.feature, 'thr': n.thr, 'cats': n.cats, 'went_left': c.node = n.l, 'share': c.cover / n.cover}})
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN nodes c ON c.tree = n.tree AND c.node IN (n.l, n.r)
+), leaf AS MATERIALIZED (
+  SELECT w.tree, w.node AS leaf, 2 * n.weight * n.value AS value, conds FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NULL
+), cond AS (SELECT tree, leaf, unnest(conds, recursive := true) FROM leaf
+), x AS MATERIALIZED ({xs}
+), met AS MATERIALIZED (
+  SELECT event_id, tree, leaf, c.feature, product(share) AS share,
+         bool_and(went_left = coalesce(CASE WHEN cats IS NULL THEN num <= thr ELSE list_contains(cats, cat) END, false)) AS ok
+  FROM cond c JOIN x ON x.feature = c.feature GROUP BY event_id, tree, leaf, c.feature
+), player AS (SELECT tree, feature, row_number() OVER (PARTITION BY tree ORDER BY feature) - 1 AS i, count(*) OVER (PARTITION BY tree) AS m
+              FROM (SELECT DISTINCT tree, feature FROM cond)
+), coalition AS (SELECT tree, unnest(range(1::BIGINT << m)) AS s FROM (SELECT DISTINCT tree, m FROM player)
+), worth AS MATERIALIZED (
+  SELECT event_id, q.tree AS tree, s, sum(p * value) AS v
+  FROM (SELECT event_id, met.tree, leaf, s, product(CASE WHEN (s >> i) & 1 = 1 THEN ok::INT ELSE share END) AS p
+        FROM met JOIN player ON player.tree = met.tree AND player.feature = met.feature JOIN coalition ON coalition.tree = met.tree
+        GROUP BY event_id, met.tree, leaf, s) q
+  JOIN leaf ON leaf.tree = q.tree AND leaf.leaf = q.leaf GROUP BY event_id, q.tree, s
+), shapley AS (
+  SELECT a.event_id, feature, sum((b.v - a.v) * factorial(bit_count(a.s)::INT) * factorial((m - 1 - bit_count(a.s))::INT) / factorial(m::INT)) AS value
+  FROM worth a JOIN player p ON p.tree = a.tree AND (a.s >> i) & 1 = 0
+  JOIN worth b ON b.event_id = a.event_id AND b.tree = a.tree AND b.s = a.s + (1::BIGINT << i) GROUP BY a.event_id, feature
+), place(feature, pos) AS (VALUES {places}
+), phi AS MATERIALIZED (
+  SELECT e.event_id, place.feature, pos, coalesce(value, 0.0)::DOUBLE AS value
+  FROM (SELECT DISTINCT event_id FROM met) e CROSS JOIN place LEFT JOIN shapley ON shapley.event_id = e.event_id AND shapley.feature = place.feature
+), reached AS MATERIALIZED (
+  SELECT event_id, sum(v) FILTER (s = last) AS margin, sum(v) FILTER (s = 0) AS bias
+  FROM (SELECT *, max(s) OVER (PARTITION BY tree) AS last FROM worth) GROUP BY event_id
+), ranked AS MATERIALIZED (
+  SELECT event_id, feature, value, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(value), 12) DESC, pos) AS rank FROM phi
+), top AS (SELECT * FROM ranked WHERE rank <= 5)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TRANSFER_COLUMNS = {c: {"is_new_receiver": "new_recv_i", "previous_fraud_flag": "prev_flag_i", "is_weekend": "weekend_i"}.get(c, c) for c in _L5}
+_TREES = _recursive(with_ctes(TRANSFERS_CTE, FEATURES_CTE, _model_ctes(
+    _fixed.TRANSFER_TREES, _fixed.TRANSFER_WEIGHTS, _fixed.TRANSFER_CATEGORIES, _TRANSFER_COLUMNS, "feat")))
+ORACLE["tree_scores"] = _TREES + """
+SELECT event_id, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS probability FROM reached"""
+ORACLE["tree_contributions"] = _TREES + """
+SELECT event_id, round(bias, 6) AS bias, round(margin, 6) AS margin_sum, CAST(rank AS INTEGER) AS rank, feature, round(value, 4) AS contribution
+FROM top JOIN reached USING (event_id)"""
+ORACLE["tree_importance_table"] = _TREES + """
+SELECT feature, round(avg(abs(value)), 6) AS mean_abs, round(avg(value), 6) AS mean FROM phi GROUP BY feature"""
+
+# the message's fields -> online features (denominators of zero or less count as 1, velocity as 0.01)
+_ONLINE_CTE = """
+online AS (
+  SELECT event_id, least(transaction_amount / CASE WHEN avg_transaction_amount_7d > 0 THEN avg_transaction_amount_7d ELSE 1.0 END, 100.0) AS amount_to_avg_ratio,
+    least(transaction_amount / CASE WHEN account_balance_before > 0 THEN account_balance_before ELSE 1.0 END, 1.0) AS balance_drain_ratio,
+    transaction_count_24h / 24.0 AS velocity_24h, transaction_count_7d / 168.0 AS velocity_7d,
+    least((transaction_count_24h / 24.0) / CASE WHEN transaction_count_7d > 0 THEN transaction_count_7d / 168.0 ELSE 0.01 END, 50.0) AS velocity_burst,
+    card_age_months, card_type, is_new_receiver::INT AS is_new_receiver, (card_age_months < 3)::INT AS is_new_card,
+    (transaction_amount % 100 = 0)::INT AS is_round_amount, (transaction_amount > 5000)::INT AS is_large_amount,
+    (hour(t) < 6 OR hour(t) > 22)::INT AS is_off_hours, previous_fraud_flag::INT AS previous_fraud_flag, is_weekend::INT AS is_weekend,
+    hour(t) AS txn_hour, isodow(t) - 1 AS txn_day_of_week
+  FROM (SELECT *, strptime("timestamp", '%Y-%m-%dT%H:%M:%SZ') AS t FROM val WHERE is_valid))"""
+_REQUESTS = _validation_sql(with_ctes(TRANSFERS_CTE, REQUESTS_CTE), _RF, strict=False, accept_snake=True, digits=15)
+_EVALUATE = f"WITH RECURSIVE val AS MATERIALIZED ({_REQUESTS}), {_ONLINE_CTE}, " + _model_ctes(
+    _fixed.TRANSFER_TREES, _fixed.TRANSFER_WEIGHTS, _fixed.TRANSFER_CATEGORIES, {c: c for c in _L5}, "online") + """
+, shown AS (
+  SELECT event_id, '{' || string_agg('"' || feature || '":' || CASE
+      WHEN c <> 0 AND abs(c) < 0.001 THEN printf('%.1fE-4', c * 10000) ELSE CAST(c AS VARCHAR) END, ',' ORDER BY rank) || '}' AS importance
+  FROM (SELECT *, round(value, 4) + 0.0 AS c FROM top) GROUP BY event_id
+), decided AS (
+  SELECT val.event_id, is_valid, errors, CASE WHEN is_valid THEN transaction_id END AS "transactionId", round(p, 4) AS "riskScore",
+    CASE WHEN p < 0.30 THEN 'LOW' WHEN p < 0.70 THEN 'MEDIUM' WHEN p >= 0.70 THEN 'HIGH' END AS "riskLevel",
+    CASE WHEN p < 0.30 THEN 'APPROVE' WHEN p < 0.70 THEN 'HOLD' WHEN p >= 0.70 THEN 'BLOCK' END AS "recommendedAction",
+    CASE WHEN is_valid THEN '1970-01-01T00:00:00.000000Z' END AS "evaluatedAt", importance AS "featureImportance"
+  FROM val LEFT JOIN (SELECT event_id, 1 / (1 + exp(-margin)) AS p FROM reached) r ON r.event_id = val.event_id
+  LEFT JOIN shown ON shown.event_id = val.event_id)"""
+ORACLE["tree_evaluate"] = _EVALUATE + """
+SELECT * FROM decided"""
+ORACLE["tree_result_json"] = _EVALUATE + """
+SELECT "transactionId" AS key, '{"transactionId":"' || "transactionId" || '","riskScore":' || CASE
+    WHEN "riskScore" <> 0 AND "riskScore" < 0.001 THEN printf('%.1fE-4', "riskScore" * 10000) ELSE CAST("riskScore" AS VARCHAR) END
+  || ',"riskLevel":"' || "riskLevel" || '","recommendedAction":"' || "recommendedAction" || '","evaluatedAt":"' || "evaluatedAt"
+  || '","featureImportance":' || "featureImportance" || '}' AS value
+FROM decided WHERE is_valid"""
+
+_LEGACY_COLUMNS = ["user_id", "amount", "account_balance", "previous_fraudulent_activity", "daily_transaction_count",
+                   "avg_transaction_amount_7d", "failed_transaction_count_7d", "card_type", "card_age", "risk_score", "is_weekend",
+                   "txn_hour", "txn_day_of_week", "txn_month"]
+_PAYLOADS = _validation_sql(with_ctes(TRANSFERS_CTE, LEGACY_RAW_CTE, LEGACY_PAYLOAD_CTE), _LP, strict=True, accept_snake=False, digits=15)
+ORACLE["legacy_scoring"] = f"""WITH RECURSIVE val AS MATERIALIZED ({_PAYLOADS}), taken AS (
+  SELECT *, hour(t) AS txn_hour, isodow(t) - 1 AS txn_day_of_week, month(t) AS txn_month
+  FROM (SELECT *, strptime("timestamp", '%Y-%m-%d %H:%M:%S') AS t FROM val WHERE is_valid)), """ + _model_ctes(
+    _fixed.LEGACY_TREES, _fixed.LEGACY_WEIGHTS, _fixed.LEGACY_CATEGORIES, {c: c for c in _LEGACY_COLUMNS}, "taken") + """
+SELECT val.event_id, defect, is_valid, errors, round(p, 6) AS anomaly_score, p >= 0.5 AS is_flagged, CAST(rank AS INTEGER) AS rank, feature,
+  round(value, 6) AS contribution
+FROM val LEFT JOIN (SELECT event_id, 1 / (1 + exp(-margin)) AS p FROM reached) r ON r.event_id = val.event_id
+LEFT JOIN top ON top.event_id = val.event_id"""

@@ -17,6 +17,7 @@ from txrisk.ml import prep as PR
 from txrisk.ml import scoring as SC
 from txrisk.ml import train as TN
 from txrisk.ml.explain import explain as _explain
+from txrisk.ml.tree_tables import with_contributions
 from txrisk.operators import aggregates as A
 from txrisk.operators import legacy as lg
 from txrisk.operators import metrics as Mx
@@ -28,6 +29,7 @@ from txrisk.operators.patterns import pattern_tags as _pattern_tags
 from txrisk.operators.split import stratified_split as _split
 from txrisk.operators.timeframes import half_up_mean
 from txrisk.operators.validation import validate_requests as _validate
+from txrisk.plans import fixed_models as fixed
 from txrisk.plans import fixtures as fx
 from txrisk.plans.util import round_doubles
 from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS, TRANSFER_FEATURE_COLUMNS
@@ -183,7 +185,7 @@ def pattern_tags(spark, sf_dir):
 @query
 def flag_threshold(spark, sf_dir):
     s = fx.scores(spark, sf_dir)
-    return s.select("event_id", "score", (F.col("score") >= 0.5).alias("is_flagged"))
+    return s.select("event_id", "score", S.is_flagged(F.col("score")).alias("is_flagged"))
 
 
 @query
@@ -369,21 +371,75 @@ def explain_scores(spark, sf_dir):
         F.col("t.feature").alias("feature"), F.col("t.value").alias("contribution"))
 
 
-def _valid_requests(spark, sf_dir):
-    valid, _rejected = V.split_valid(_validate(fx.requests_json(spark, sf_dir)))
-    return valid
+EVALUATED_AT = "1970-01-01T00:00:00.000000Z"
+
+
+def _judged(spark, sf_dir, model, names):
+    return SC.judge_requests(model, fx.requests_json(spark, sf_dir), names, keep=("event_id",), evaluated_at=F.lit(EVALUATED_AT))
 
 
 @query
 def evaluate_batch(spark, sf_dir):
-    model, names = _trained(spark, sf_dir)
-    return SC.evaluate(model, _valid_requests(spark, sf_dir), names, keys=("event_id", "transaction_id"),
-                       evaluated_at=F.lit("1970-01-01T00:00:00.000000Z"))
+    """Every message: its decision, or the reasons why it has none."""
+    return _judged(spark, sf_dir, *_trained(spark, sf_dir))
 
 
 @query
 def result_json(spark, sf_dir):
-    model, names = _trained(spark, sf_dir)
-    res = SC.evaluate(model, _valid_requests(spark, sf_dir), names, keys=("event_id", "transaction_id"),
-                      evaluated_at=F.lit("1970-01-01T00:00:00.000000Z"))
-    return SC.result_json(res)
+    return SC.result_json(SC.valid_results(_judged(spark, sf_dir, *_trained(spark, sf_dir))))
+
+
+# ---- the same on constant models, which SQL can follow (M9, M10, M12, O4, F23, P12) ----
+
+
+def _ranked(df, top, keys):
+    """A row per (keys, rank) of an explanation; rows without one have a single row with NULLs."""
+    return TK.explode_ranked(df, top, keys, outer=True)
+
+
+@query
+def tree_scores(spark, sf_dir):
+    model = fixed.transfer_model()
+    feats = _features(spark, sf_dir)
+    return round_doubles(with_contributions(feats, model, model.values(feats)).select("event_id", "margin", "probability"))
+
+
+@query
+def tree_contributions(spark, sf_dir):
+    model = fixed.transfer_model()
+    feats = _features(spark, sf_dir)
+    ex = _explain(model, feats.withColumn("features", model.values(feats)), model.names, ["event_id"])
+    return round_doubles(_ranked(ex, "top", ["event_id", "bias", "margin_sum"]))
+
+
+@query
+def tree_importance_table(spark, sf_dir):
+    """Mean absolute contribution of every feature over all events."""
+    model = fixed.transfer_model()
+    feats = _features(spark, sf_dir)
+    out = with_contributions(feats, model, model.values(feats)).select(F.inline("contribs"))
+    return round_doubles(out.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean")))
+
+
+@query
+def tree_evaluate(spark, sf_dir):
+    """Every message of the stream's layout with its decision, or the reasons why it has none."""
+    model = fixed.transfer_model()
+    out = _judged(spark, sf_dir, model, model.names)
+    return out.withColumn("featureImportance", F.to_json("featureImportance"))
+
+
+@query
+def tree_result_json(spark, sf_dir):
+    model = fixed.transfer_model()
+    return SC.result_json(SC.valid_results(_judged(spark, sf_dir, model, model.names)))
+
+
+@query
+def legacy_scoring(spark, sf_dir):
+    """Strict legacy payloads through their own model: score, flag and ranked contributions, or the reasons against."""
+    model = fixed.legacy_model()
+    out = SC.judge_payloads(model, fx.legacy_payload_json(spark, sf_dir), model.names, keep=("event_id", "defect"))
+    top = F.transform(F.map_entries("explain"), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("value")))
+    ranked = _ranked(out.withColumn("top", top), "top", ["event_id", "defect", "is_valid", "errors", "anomaly_score", "is_flagged"])
+    return round_doubles(ranked)
