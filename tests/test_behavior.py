@@ -42,7 +42,7 @@ def test_ties_nulls_single_rows(spark):
     ]
     pdf = pd.DataFrame(rows, columns=["row_id", "user_id", "amount", "timestamp"])
     df = spark.createDataFrame(rows, "row_id long, user_id long, amount double, timestamp string")
-    out = behavior_features(df, tiebreak="row_id", bucket_days=60).toPandas()
+    out = behavior_features(df, tiebreak="row_id").toPandas()
     _compare(out, pandas_reference(pdf))
     single = out.set_index("row_id").loc[6]
     assert single.amount_zscore == 0 and np.isnan(single.user_std_30d) and single.txn_count_7d == 1
@@ -51,24 +51,23 @@ def test_ties_nulls_single_rows(spark):
     assert const.amount_zscore == 0 and const.user_std_30d == 0
 
 
-def test_orders_against_pandas_with_small_buckets(spark):
+def test_orders_against_pandas(spark):
     orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("timestamp"))
     pdf = orders.toPandas().sort_values("row_id").reset_index(drop=True)
-    # a bucket as short as the look-back splits every user into many buckets
-    out = behavior_features(orders, tiebreak="row_id", bucket_days=30).toPandas()
+    out = behavior_features(orders, tiebreak="row_id", slice_hours=12).toPandas()
     _compare(out, pandas_reference(pdf))
 
 
 def test_one_row_shuffle(spark):
-    """Rows cross the network once (on (user, bucket)); the rest are summaries."""
+    """Rows cross the network once (on (user, slice)); the rest are summaries."""
     df = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("timestamp"))
     plan = behavior_features(df, tiebreak="row_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(user_id#") >= 1
-    assert "Generate explode" in plan  # bucket copies
+    assert "Generate explode" in plan  # slice copies
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
@@ -89,17 +88,17 @@ def test_hot_user_across_buckets_and_boundaries(spark):
         rid += 1
     pdf = pd.DataFrame(rows, columns=["row_id", "user_id", "amount", "timestamp"])
     df = spark.createDataFrame(pdf.assign(timestamp=pdf.timestamp.dt.strftime("%Y-%m-%d %H:%M:%S")))
-    out = behavior_features(df, tiebreak="row_id", bucket_days=30).toPandas()
+    out = behavior_features(df, tiebreak="row_id", slice_hours=168 / 7).toPandas()
     _compare(out, pandas_reference(pdf))
 
 
-def test_buckets_narrower_than_lookback(spark):
-    """3-day buckets under 30-day windows: many context copies, same results."""
+def test_narrow_slices(spark):
+    """Slices of an hour under 30-day windows: same results."""
     orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("timestamp"))
     pdf = orders.toPandas().sort_values("row_id").reset_index(drop=True)
-    out = behavior_features(orders, tiebreak="row_id", bucket_days=3).toPandas()
+    out = behavior_features(orders, tiebreak="row_id", slice_hours=1).toPandas()
     _compare(out, pandas_reference(pdf))
 
 
@@ -108,3 +107,35 @@ def test_null_user_is_refused(spark):
     df = spark.createDataFrame([(1, None, 1.0, "2024-01-01 00:00:00")], "row_id long, user_id long, amount double, timestamp string")
     with pytest.raises(Exception, match="user id contains NULL"):
         behavior_features(df, tiebreak="row_id").collect()
+
+
+def test_user_with_a_third_of_the_rows_inside_a_week(spark):
+    """No task gets a large share of a hot user, and the result is right with many equal instants."""
+    import random
+
+    from txrisk.operators import timeframes as tf
+    rnd = random.Random(8)
+    rows = [(i, 1, rnd.choice([None, 1e9 + rnd.random(), 1e9]), rnd.randrange(7 * 86400 // 600) * 600) for i in range(1000)]
+    rows += [(1000 + i, 2 + i % 97, rnd.uniform(0, 1e-9), rnd.randrange(90 * 86400)) for i in range(2000)]
+    pdf = pd.DataFrame(rows, columns=["row_id", "user_id", "amount", "s"])
+    pdf["timestamp"] = pd.to_datetime(pdf.s + 1_600_000_000, unit="s").dt.strftime("%Y-%m-%d %H:%M:%S")
+    df = spark.createDataFrame(pdf.drop(columns="s"))
+    copies = tf.slice_copies(df.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp"))), "_us", tf.DAY_US // 24,
+                             [30 * tf.DAY_US, 7 * tf.DAY_US], ["user_id"])
+    largest = copies.groupBy("user_id", tf.SLICE).count().agg(F.max("count")).first()[0]
+    assert largest < 0.02 * copies.count()
+    out = behavior_features(df, tiebreak="row_id", slice_hours=1).toPandas()
+    exact = pdf.groupby("user_id").amount.count()
+    assert (out.user_mean_30d[out.user_id > 1] > 0).all() and len(exact)          # tiny amounts do not vanish
+    ref = pandas_reference(pdf)
+    got, exp = out.set_index("row_id").sort_index(), ref.set_index("row_id").sort_index()
+    assert (got.txn_count_7d == exp.txn_count_7d).all()
+    hot, brute = got[got.user_id == 1], []
+    stamps, amounts = pd.to_datetime(hot.timestamp).to_numpy(), hot.amount.to_numpy()
+    for i, (at, ident) in enumerate(zip(stamps, hot.index, strict=True)):
+        seen = (stamps > at - np.timedelta64(30, "D")) & ((stamps < at) | ((stamps == at) & (hot.index <= ident)))
+        x = amounts[seen]
+        x = x[~np.isnan(x)]
+        brute.append((x.mean() if len(x) else np.nan, x.std(ddof=1) if len(x) > 1 else np.nan))
+    assert np.allclose(hot.user_mean_30d.to_numpy(), [b[0] for b in brute], rtol=1e-14, equal_nan=True)
+    assert np.allclose(hot.user_std_30d.to_numpy(), [b[1] for b in brute], atol=1e-6, equal_nan=True)      # of amounts near 1e9

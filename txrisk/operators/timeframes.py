@@ -13,6 +13,11 @@ the whole key partition, and only primary rows are kept afterwards.
 Quantities that look arbitrarily far back (previous row, running "any")
 are completed from a per-``(key, bucket)`` summary, which has one row per
 bucket and is tiny compared with the rows.
+
+Windows that are long against the time in which a key may be hot are cut into
+slices instead (second half of this module): a slice may be far narrower than
+the window at a fixed cost of one copy of each row per window length, since
+whole slices enter as mergeable moments (n, mean, M2).
 """
 
 from __future__ import annotations
@@ -57,39 +62,6 @@ def frame_rows(key: str, order: list[str], lo, hi):
     return Window.partitionBy(key, BUCKET).orderBy(*order).rowsBetween(lo, hi)
 
 
-def peers_up_to_row(key: str, us: str, tiebreak: str):
-    """Rows with the same key and instant, up to and including this row."""
-    return (Window.partitionBy(key, BUCKET, us).orderBy(tiebreak)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def trailing_moments(value: str, key: str, us: str, tiebreak: str, length_us: int) -> dict[str, Column]:
-    """count / mean / sample std of ``value`` over the left-open window
-    ``(t - length, t]`` where equal instants count only up to this row
-    (position order given by ``tiebreak``).
-
-    Two frames are merged: A = strictly earlier instants in range,
-    B = same-instant peers up to this row. Pairwise merge of (n, mean, M2).
-    """
-    v = F.col(value).cast("double")
-    exact = F.col(value).cast(EXACT)
-    wa = frame_by_time(key, us, -length_us + 1, -1)
-    wb = peers_up_to_row(key, us, tiebreak)
-    na, ma, va = F.count(v).over(wa), F.avg(v).over(wa), F.var_pop(v).over(wa)
-    nb, mb, vb = F.count(v).over(wb), F.avg(v).over(wb), F.var_pop(v).over(wb)
-    n = na + nb
-    # exact sum: the mean does not depend on summation order
-    total_exact = F.coalesce(F.sum(exact).over(wa), F.lit(0).cast(EXACT)) + \
-        F.coalesce(F.sum(exact).over(wb), F.lit(0).cast(EXACT))
-    total_exact = total_exact.cast(EXACT)
-    mean = F.when(n > 0, total_exact.cast("double") / n)
-    delta = F.coalesce(ma - mb, F.lit(0.0))
-    m2 = (F.coalesce(va * na, F.lit(0.0)) + F.coalesce(vb * nb, F.lit(0.0))
-          + F.when(n > 0, delta * delta * na * nb / n).otherwise(F.lit(0.0)))
-    std = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)))
-    return {"count": n, "mean": mean, "std": std, "sum": total_exact}
-
-
 def bucket_carry(df: DataFrame, key: str, us: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Per (key, bucket) summary of primary rows plus what earlier buckets carry.
 
@@ -105,6 +77,77 @@ def bucket_carry(df: DataFrame, key: str, us: str, extra: dict[str, Column] | No
     return summary.select(*cols)
 
 
+# ---- long windows in slices: rows meet only at the two edges of their frame ----
+
+SLICE = "_slice"
+KIND = "_kind"              # 0: a row in its own slice; i: its copy, moved on by the i-th window length
+AT = "_at"
+
+
+def slice_copies(df: DataFrame, us: str, slice_us: int, lengths_us: list[int], context: list[str]) -> DataFrame:
+    """Each row in its slice, and once more per window length, moved on by that length.
+
+    A frame ``(t - length, t]`` is the end of the slice that ``t - length``
+    falls into, the whole slices between, and the own slice up to the row.
+    When the slice width divides the length, the row moved on by the length
+    lands in the slice of the frame's right edge, and belongs to the frame of
+    exactly the rows before it. Copies keep only the columns ``context``.
+    """
+    if any(n % slice_us for n in lengths_us):
+        raise ValueError("the slice width must divide every window length")
+    home = _floor_div(F.col(us), F.lit(slice_us).cast("long"))
+    copies = [F.struct(F.lit(i).alias("kind"), (home + F.lit(n // slice_us)).alias("slice"), (F.col(us) + F.lit(n)).alias("at"))
+              for i, n in enumerate([0, *lengths_us])]
+    own = F.col("_c.kind") == 0
+    kept = [F.col(c) if c in context else F.when(own, F.col(c)).alias(c) for c in df.columns]
+    return (df.withColumn("_c", F.explode(F.array(*copies)))
+            .select(*kept, F.col("_c.kind").alias(KIND), F.col("_c.slice").alias(SLICE), F.col("_c.at").alias(AT)))
+
+
+def _moments(v: Column, over) -> dict[str, Column]:
+    """Count, mean and sum of squared deviations of the non-null ``v``, ready to be merged."""
+    n = F.count(v).over(over)
+    return {"n": n, "mean": F.avg(v).over(over), "m2": F.var_pop(v).over(over) * n}
+
+
+def edge_moments(value: str, key: str, tiebreak: str, window: int) -> dict[str, dict[str, Column]]:
+    """Inside (key, slice): ``left``, the copies of window number ``window`` after this row, and ``own``, the slice's rows
+    up to this one (equal instants in the order of ``tiebreak``)."""
+    part = Window.partitionBy(key, SLICE)
+    after = part.orderBy(F.col(AT).desc()).rangeBetween(Window.unboundedPreceding, -1)       # a running frame from the slice's end
+    upto = part.orderBy(AT, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    only = lambda kind: F.when(F.col(KIND) == kind, F.col(value))
+    return {"left": _moments(only(window), after), "own": _moments(only(0), upto)}
+
+
+def merge_moments(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Moments of two disjoint sets of rows (pairwise update: no difference of large sums)."""
+    n = a["n"] + b["n"]
+    delta = F.coalesce(b["mean"] - a["mean"], F.lit(0.0))
+    mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(a["mean"] + delta * b["n"] / n)
+    cross = F.when((a["n"] > 0) & (b["n"] > 0), delta * delta * a["n"] * b["n"] / n).otherwise(0.0)
+    return {"n": n, "mean": mean, "m2": F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0)) + cross}
+
+
+def slice_sum(value: Column, key: str, slices: int, zero: Column) -> Column:
+    """The sum over the ``slices - 1`` slices before each slice of the key."""
+    if slices < 2:
+        return zero
+    between = Window.partitionBy(key).orderBy(SLICE).rangeBetween(-(slices - 1), -1)
+    return F.coalesce(F.sum(value).over(between), zero)
+
+
+def whole_slices(summary: DataFrame, key: str, slices: int, centre: str) -> dict[str, Column]:
+    """Per (key, slice) of ``summary`` (``_n``, ``_mean``, ``_m2``): the moments of the ``slices - 1`` slices before it.
+    Means are taken about ``centre``, the key's overall mean, so that no large squares cancel."""
+    off = F.col("_mean") - F.col(centre)
+    n = slice_sum(F.col("_n"), key, slices, F.lit(0).cast("long"))
+    first = slice_sum(F.col("_n") * off, key, slices, F.lit(0.0))
+    second = slice_sum(F.col("_m2") + F.col("_n") * off * off, key, slices, F.lit(0.0))
+    some = F.when(n > 0, n)
+    return {"n": n, "mean": F.col(centre) + first / some, "m2": F.greatest(second - first * first / some, F.lit(0.0))}
+
+
 def half_up_mean(total: Column, n: Column, digits: int = 6) -> Column:
     """sum / n rounded half away from zero at ``digits`` in exact integer
     arithmetic (no float summation or double rounding), as double."""
