@@ -311,8 +311,7 @@ def test_quality_odd_rows(odd_docs, no_docs):
 def test_encoder_equals_the_tokenizer(texts):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(queries.tokenizer_path())
-    plain.encode_special_tokens = True
-    odd = ["", " ", "\n", "a  b", " a", "a ", "a\nb\n\nc", "it's  we'll\tgo", "x  y", "x  y", "漢字 かな\n語", "a\x00b \x01c", "<|endoftext|> x",
+    odd = ["", " ", "\n", "a  b", " a", "a ", "a\nb\n\nc", "it's  we'll\tgo", "x  y", "x  y", "漢字 かな\n語", "a\x00b \x01c", "<|endoftext|> x", "Some text <|endoftext|> more text", "a<|endoftext|>b", "<|endoftext", "<|endoftext|>",
            "tab\tand nl\nend.", "A\r\nB", "word " * 3 + "end"]
     some = odd + list(texts.values())[:60]
     got = packing.Encoder(queries.tokenizer_path()).encode(some)

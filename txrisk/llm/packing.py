@@ -49,7 +49,7 @@ _TAIL = ".,;:!?)&%$*#|"       # may follow a word's letters; apostrophes are lef
 
 
 class _OtherSpace(Exception):
-    """The text has white space that words alone do not tell apart."""
+    """The text has white space, or a token of its own, that words alone do not tell apart."""
 
 
 class Encoder(dict):
@@ -59,14 +59,16 @@ class Encoder(dict):
     space, makes a single line feed one token, and ends a run of letters at
     other characters; so a text without other white space is the
     concatenation of its words, and a word of its letters and what follows.
-    Texts with any other white space are encoded whole.
+    Texts with any other white space, or with the string of an added token
+    such as <|endoftext|>, are encoded whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        # strings that the tokenizer takes for tokens of their own, wherever they stand
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Byte-level BPE writes printable bytes as themselves and the others, in order, from U+0100 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [x for x in range(256) if x not in printable]
@@ -102,7 +104,7 @@ class Encoder(dict):
         out = []
         for text in texts:
             try:
-                if "\x00" in text or "\x01" in text:
+                if "\x00" in text or "\x01" in text or any(s in text for s in self.added):
                     raise _OtherSpace
                 # a marker keeps each later word's space, and line feeds, as units of their own
                 words = text.replace("\n", " \x00").replace(" ", "\x01 ").split("\x01")
