@@ -225,17 +225,37 @@ def test_legacy_training_job(spark, tmp_dir):
     assert 0.0 <= metrics["auc_roc"] <= 1.0
 
 
-def test_exact_medians_small_and_radix_paths_agree(spark):
+def test_exact_medians_by_narrowing(spark):
+    """Whatever the bracket sizes: duplicates, ties across the middle, infinities, signed zeros, empty columns."""
     import random
-    from txrisk.operators.quantiles import exact_median, exact_medians
+
+    from txrisk.operators.quantiles import exact_median, exact_medians, exact_ranks
     rnd = random.Random(5)
-    rows = [(rnd.choice([1.0, 2.0, 2.0, 3.0, None]), rnd.uniform(-1e3, 1e3), float(i % 7)) for i in range(2001)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    small = exact_medians(df, ["a", "b", "c"])
-    radix = exact_medians(df, ["a", "b", "c"], small_limit=1)  # force the radix rounds
-    lazy = {r["column"]: r["median"] for r in exact_median(df, ["a", "b", "c"]).collect()}
-    for c in "abc":
-        vals = sorted(x[ord(c) - 97] for x in rows if x[ord(c) - 97] is not None)
-        n = len(vals)
-        expect = (vals[(n - 1) // 2] + vals[n // 2]) / 2
-        assert small[c] == radix[c] == lazy[c] == expect
+    inf = float("inf")
+    for n in (1, 2, 3, 2001, 2002):
+        half = n // 2
+        rows = [(rnd.choice([1.0, 2.0, 2.0, 3.0, None]), rnd.uniform(-1e3, 1e3), float(i % 7), 5.0 if i < half else 6.0 + 1e-12 * (i - half),
+                 rnd.choice([-inf, inf, 0.0, -0.0]), rnd.expovariate(1) * 10.0 ** rnd.randrange(-300, 300), None) for i in range(n)]
+        cols = list("abcdefg")
+        df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+        whole = exact_medians(df, cols)
+        narrowed = exact_medians(df, cols, limit=3, points=8, accuracy=50)
+        for k, c in enumerate(cols):
+            vals = sorted(x[k] for x in rows if x[k] is not None)
+            m = len(vals)
+            expect = (vals[(m - 1) // 2] + vals[m // 2]) / 2 if m else None
+            same = lambda x: x == expect or (x is not None and x != x and expect != expect)  # noqa: B023, E731
+            assert same(whole[c]) and same(narrowed[c]), (n, c)
+    assert {r["column"]: r["median"] for r in exact_median(df, cols[:4]).collect()} == {c: whole[c] for c in cols[:4]}
+    b = sorted(x[1] for x in rows)
+    ranks = [0, 1, 17, 1000, n - 2, n - 1]
+    assert exact_ranks(df, ["b"], lambda n: ranks, limit=5, points=8)["b"] == [b[r] for r in ranks]
+
+
+def test_numeric_fit_has_no_python_and_no_copies(spark):
+    from txrisk.operators.aggregates import numeric_fit
+    df = spark.range(100).selectExpr("cast(id as double) a", "cast(id % 3 as double) b")
+    plan = numeric_fit(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Generate") == 1      # of the one aggregated row
+
+

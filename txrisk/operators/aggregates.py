@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators.quantiles import exact_median, unpivot
+from txrisk.operators.quantiles import exact_median
 from txrisk.schemas import TARGET_CANDIDATES
 
 
@@ -55,12 +55,13 @@ def numeric_fit(df: DataFrame, columns: list[str], medians: DataFrame | None = N
     median-imputed column (the scaler is fitted after imputation).
     ``medians``: optional (column, median) table from a fitted imputer."""
     medians = medians if medians is not None else exact_median(df, columns)
-    stacked = unpivot(df, columns)
-    # mean/std after imputation, from (count, sum, sum of squares) of the
-    # non-null part plus the imputed copies of the median.
-    part = stacked.groupBy("column").agg(
-        F.count(F.lit(1)).alias("_rows"), F.count("value").alias("_n"),
-        F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"))
+    # mean/std after imputation, from the moments of the non-null part plus the
+    # imputed copies of the median: one wide aggregate, its row cut by column
+    cells = {c: F.col(c).cast("double") for c in columns}
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var")).alias(f"_{i}")
+                                                      for i, v in enumerate(cells.values())])
+    part = wide.select("_rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}.n").alias("_n"), F.col(f"_{i}.mean").alias("_mean"),
+                                                            F.col(f"_{i}.var").alias("_var")) for i, c in enumerate(columns)])))
     j = part.join(medians, on="column", how="left")
     n, rows, m, var, med = F.col("_n"), F.col("_rows"), F.col("_mean"), F.col("_var"), F.col("median")
     k = rows - n  # imputed cells

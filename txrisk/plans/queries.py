@@ -169,7 +169,7 @@ def mode_fit(spark, sf_dir):
 def numeric_fit(spark, sf_dir):
     """Median imputer fitted (exact, distributed), then mean/std after imputation."""
     feats = _features(spark, sf_dir)
-    med = EN.MedianImputer(inputCols=NUMERIC_FEATURES).fit(feats).getStats()  # one value per column
+    med = PR.fit_cached(EN.MedianImputer(inputCols=NUMERIC_FEATURES), feats).getStats()  # one value per column
     med_df = spark.createDataFrame([(c, med[c]) for c in NUMERIC_FEATURES], "column string, median double")
     return round_doubles(A.numeric_fit(feats, NUMERIC_FEATURES, F.broadcast(med_df)))
 
