@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txrisk.llm import class_lm, language_id, ngram_join, packing, queries, warc, weak_quality
+from txrisk.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, queries, rule_cascade, url_filter, warc, weak_quality
 from txrisk.llm.common import id_remainder, scratch_table
 
 SF = "/root/testdata/sf0.001"
@@ -415,3 +415,31 @@ def test_pipeline_of_an_empty_table(spark, no_docs, tmp_path):
     empty = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# columns of any name
+
+CLASHES = ["__key", "__id", "__sha", "__same", "__draw", "__draws", "__source", "__words", "__lines", "__n", "__h", "__k", "_h", "_w", "_x", "_m", "_q",
+           "_e", "_b", "_g", "_u", "best", "row", "key", "id", "h", "n", "t", "draw", "same", "block", "words", "gap"]
+
+
+def test_extra_columns_of_any_name_survive(spark):
+    """Every operator that hands rows through keeps the values of columns that have names of its own working columns."""
+    docs = spark.createDataFrame([(1, "one two three four five six " * 10, "en", "a", 3), (2, "one two  three four five six " * 10, "en", "a", 3),
+                                  (3, "seven eight nine ten eleven " * 15, "en", "b", 3), (3, "seven eight nine ten eleven " * 15, "en", "b", 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id")) for c in CLASHES})
+
+    def intact(df):
+        rows = df.select("doc_id", *CLASHES).collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHES)
+        return sorted(r.doc_id for r in rows)
+
+    assert intact(exact_dedup.drop_copies(docs)) == [1, 3]
+    assert intact(ngram_join.keep_one(docs, size=5, percent=80)) == [1, 3]
+    assert set(intact(mixing.taken_rows(docs))) <= {1, 2, 3}
+    assert intact(rule_cascade.judge(docs)) == [1, 2, 3, 3]
+    assert intact(weak_quality.judge(docs)) == [1, 2, 3, 3]
+    pages = docs.select("doc_id", F.lit("http://a.example.net/en/x").alias("url"), *CLASHES)
+    judged = url_filter.judge_urls(pages, url_filter.rules_table(spark, queries.URL_RULES))
+    assert intact(judged) == [1, 2, 3, 3] and {r.rule for r in judged.collect()} == {"example.net/en/"}

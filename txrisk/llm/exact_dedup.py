@@ -109,12 +109,13 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
     keep = (content_groups(docs, id_col, text_col).filter("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("same_rows").alias("__same")))
-    keyed = docs.withColumn("__key", F.sha2(normalised(text_col).cast("binary"), 256))
-    joined = keyed.join(keep, (F.col("__key") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    out = joined.filter("__same = 1")
-    if not keep.filter("__same > 1").isEmpty():
-        out = out.unionByName(joined.filter("__same > 1").dropDuplicates(["__id", "__sha"]))
-    return out.select(*docs.columns)
+            .select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("sha"), F.col("same_rows").alias("same")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"),
+                        F.sha2(normalised(text_col).cast("binary"), 256).alias("key"))
+    joined = keyed.join(keep, (F.col("key") == F.col("sha")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    out = joined.filter("same = 1")
+    if not keep.filter("same > 1").isEmpty():
+        out = out.unionByName(joined.filter("same > 1").dropDuplicates(["keep_id", "sha"]))
+    return out.select("row.*")

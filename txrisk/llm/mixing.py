@@ -217,11 +217,12 @@ def taken_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Ranges of (shard, place) are the partitions, so a shard larger than a task is cut, in order."""
     plan = (mix(docs, id_col, text_col, source_col, seed).filter(F.size("draws") > 0)
-            .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draws").alias("__draws")).distinct())
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    drawn = joined.withColumn("__draw", F.explode("__draws"))
-    return (drawn.repartitionByRange("__draw.shard", "__draw.place").sortWithinPartitions("__draw.shard", "__draw.place")
-            .select(*docs.columns))
+            .select(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), "draws").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("from"))
+    joined = rows.join(plan, F.col("id").eqNullSafe(F.col("taken_id")) & F.col("from").eqNullSafe(F.col("taken_source")))
+    drawn = joined.select("row", F.explode("draws").alias("draw"))
+    return (drawn.repartitionByRange("draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place")
+            .select("row.*"))
 
 
 def _constants(spark, schema: str, rows: list[tuple]) -> DataFrame:

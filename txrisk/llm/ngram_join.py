@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import free_name, scratch_table, ship_package, small_arrow_batches
+from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches
 
 SHINGLE = 4
 PERCENT = 85
@@ -361,20 +361,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Documents without words are linked with nothing and all stay.
     """
-    key = free_name(docs, "_h")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     stay = (group(docs, id_col, text_col, size, percent).filter("stays")
-            .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__h"))
-    joined = keyed.join(stay, same)
+            .groupBy(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_h")).agg(F.count(F.lit(1)).alias("n")))
+    joined = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("h") == F.col("stay_h")))
     # rows that repeat id and text: as many stay as the groups kept
-    many = keyed.groupBy(F.col(id_col).alias("__id"), F.col(key).alias("__h")).count().filter("count > 1").drop("count")
+    many = keyed.groupBy(F.col("id").alias("many_id"), F.col("h").alias("many_h")).count().filter("count > 1").drop("count")
     if many.isEmpty():
-        return joined.select(*docs.columns)
-    nth = Window.partitionBy("__id", "__h").orderBy(F.lit(0))
-    repeated = joined.join(many.withColumnsRenamed({"__id": "__i2", "__h": "__h2"}),
-                           F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left_semi")
-    single = joined.join(many.withColumnsRenamed({"__id": "__i2", "__h": "__h2"}),
-                         F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left_anti")
-    kept = repeated.withColumn("__k", F.row_number().over(nth)).filter("__k <= __n")
-    return single.select(*docs.columns).unionByName(kept.select(*docs.columns))
+        return joined.select("row.*")
+    repeats = F.col("id").eqNullSafe(F.col("many_id")) & (F.col("h") == F.col("many_h"))
+    nth = Window.partitionBy("id", "h").orderBy(F.lit(0))
+    kept = joined.join(many, repeats, "left_semi").withColumn("k", F.row_number().over(nth)).filter("k <= n")
+    return joined.join(many, repeats, "left_anti").select("row.*").unionByName(kept.select("row.*"))

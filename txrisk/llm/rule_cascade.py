@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import SPACE_CLASS, WORD
+from txrisk.llm.common import SPACE_CLASS, WORD, free_name
 
 SAMPLE_ROWS = 2000          # about so many rows estimate cost and selectivity
 SYMBOLS = "[#*$%&|<>]+"     # fixed by the contract
@@ -107,19 +107,20 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
     symbols = F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    base = docs.drop(*names).withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    words_at, lines_at = free_name(docs, "__words"), free_name(docs, "__lines")
+    base = docs.drop(*names).withColumn(words_at, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     base = base.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+        "n_words": F.size(words_at).cast("long"),
+        "word_chars": F.char_length(F.array_join(words_at, "")).cast("long"),
         "n_symbols": symbols.cast("long"),
-        "__lines": lines,
+        lines_at: lines,
     })
     # after the words, so that no expression computes them again
     return base.withColumns({
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("__words"), F.col("n_words").cast("int")),
-    }).drop("__words", "__lines")
+        "n_lines": F.size(lines_at).cast("long"),
+        "n_dup_lines": (F.size(lines_at) - F.size(F.array_distinct(lines_at))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col(words_at), F.col("n_words").cast("int")),
+    }).drop(words_at, lines_at)
 
 
 def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:

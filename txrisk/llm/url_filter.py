@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import free_name
+
 BROADCAST_RULES = 100_000   # more rules than this are joined by shuffle
 
 
@@ -82,7 +84,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rule = F.concat("rule_host", "rule_path")
     rank = F.struct(F.char_length(rule).alias("chars"), F.char_length("rule_host").alias("host_chars"),
                     (F.col("verdict") == "block").alias("blocks"), rule.alias("rule"), F.col("verdict").alias("verdict"))
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    found = free_name(named, "best")
+    best = hits.groupBy("host", "path").agg(F.max(rank).alias(found))
     return (named.join(best, ["host", "path"], "left")
             .select(*[c for c in named.columns if c not in ("host", "path")], "host", "path",
-                    F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+                    F.col(found)["rule"].alias("rule"), F.coalesce(F.col(found)["verdict"], F.lit(default)).alias("verdict")))

@@ -168,8 +168,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return docs.withColumns({"n_votes": F.lit(0).cast("long"), "posterior": F.lit(0.0), "score": F.lit(0.0), "kept": F.lit(False)})
     votes = labellers()
     voted = sum((v.isNotNull().cast("long") for v in votes.values()), F.lit(0).cast("long"))
-    measured = _measured(docs, text_col).withColumns({"n_votes": voted, "posterior": _lookup(_pattern(votes), table)})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"))         # no name of theirs can clash
+    measured = _measured(rows, "t").withColumns({"n_votes": voted, "posterior": _lookup(_pattern(votes), table)})
     scorer = scorer.setProbabilityCol("_q").setRawPredictionCol("").setPredictionCol("")
     scored = scorer.transform(_features(measured))
     return (scored.withColumn("score", vector_to_array("_q")[1]).withColumn("kept", F.col("score") >= KEEP)
-            .select(*docs.columns, "n_votes", "posterior", "score", "kept"))
+            .select("row.*", "n_votes", "posterior", "score", "kept"))
