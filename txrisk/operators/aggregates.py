@@ -34,14 +34,55 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return kv.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def topk_categories(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """k most frequent values per column; ties by value ascending.
-
-    The ranking window runs over the per-(column, value) counts, which
-    are bounded by the number of distinct values, not by the rows."""
-    counts = category_counts(df, columns)
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+SKETCH_BUCKETS = 65_536
+FIRST_BUCKETS = 16          # buckets per wanted value that the first count takes
+
+
+def _named_values(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+    """(column, value, ``_b``) of the non-null values, ``_b`` a hash bucket."""
+    kv = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                       for c in columns])).alias("_kv")).select("_kv.*").filter(F.col("value").isNotNull())
+    return kv.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+
+
+def _count_within(named: DataFrame, chosen: list[tuple[str, int]], k: int) -> list:
+    """The k most frequent values per column among those in the ``chosen`` (column, bucket) pairs, counted exactly."""
+    if not chosen:
+        return []
+    wanted = named.sparkSession.createDataFrame(chosen, "column string, _b int")      # columns x buckets at most
+    counts = (named.join(F.broadcast(wanted), ["column", "_b"], "left_semi")
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
+    first = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
+    return counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).collect()      # k rows per column
+
+
+def topk_categories(df: DataFrame, columns: list[str], k: int, buckets: int = SKETCH_BUCKETS) -> DataFrame:
+    """k most frequent values per column (column, value, count, rank); ties by value ascending.
+
+    The values of a column may be as many as its rows, so they are not all
+    counted. A first pass counts hash buckets: a value is at most as frequent
+    as its bucket. The values of the fullest buckets are counted exactly, which
+    gives the k-th count found. Only a bucket at least that full can hold a
+    value that belongs among the k; if any such bucket was left out, all of them
+    are counted in one more pass, and the result is complete. What is shuffled is
+    a row per bucket and task, and the candidates.
+    """
+    named = _named_values(df, columns, buckets)
+    full = named.groupBy("column", "_b").agg(F.count(F.lit(1)).alias("n")).toPandas()        # columns x buckets rows at most
+    full = full.sort_values(["column", "n", "_b"], ascending=[True, False, True])
+    chosen = full.groupby("column").head(FIRST_BUCKETS * k)
+    rows = _count_within(named, list(zip(chosen["column"], chosen["_b"].tolist(), strict=True)), k)
+    again = []
+    for c, part in full.groupby("column"):
+        found = [r["count"] for r in rows if r["column"] == c]
+        least = min(found) if len(found) == k else 1
+        if (part["n"].iloc[FIRST_BUCKETS * k:] >= least).any():
+            again += [(c, b) for b in part["_b"][part["n"] >= least].tolist()]
+    if again:
+        redone = {c for c, _ in again}
+        rows = [r for r in rows if r["column"] not in redone] + _count_within(named, again, k)
+    return df.sparkSession.createDataFrame([(r["column"], r["value"], r["count"], r["rank"]) for r in rows],
+                                           "column string, value string, count long, rank int")
 
 
 def mode_fit(df: DataFrame, columns: list[str]) -> DataFrame:
