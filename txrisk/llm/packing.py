@@ -43,7 +43,7 @@ GENERATIONS = 6              # per epoch
 EPOCHS = 2
 WELL_FILLED = 0.985          # sequences this full are injected by crossover and stay between rounds
 ROUNDS = 3
-MEMO_WORDS = 1_000_000         # encoded words a Python worker remembers before it starts anew
+MEMO_WORDS = 2_000_000         # encoded words a Python worker remembers before it starts anew
 
 _TAIL = ".,;:!?)&%$*#|"       # may follow a word's letters; apostrophes are left to the tokenizer
 
