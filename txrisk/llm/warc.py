@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.common import scratch_path, scratch_table, ship_package, small_arrow_batches
 
-CHUNK_CHARS = 64 * 1024     # of a payload per row
+CHUNK_BYTES = 64 * 1024     # of a payload per row
 BLOCK = 256 * 1024          # bytes read or inflated at once
 MIN_BYTES = 0               # smaller payloads are never deduplicated
 
@@ -50,10 +50,10 @@ def base32(hex_digest: str) -> str:
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
             min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``page_id, url, payload, bytes, sha1, refers_to`` per row; ``refers_to`` is null for responses."""
+    """``page_id, url, payload`` (UTF-8 bytes)``, bytes, sha1, refers_to`` per row; ``refers_to`` is null for responses."""
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
-                        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    base = base.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
+                        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    base = base.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     # only repeated payloads need a partner; the texts stay out of this shuffle
     repeated = (base.filter(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes")
                 .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
@@ -81,12 +81,13 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     small_arrow_batches(spark)
     folder = folder or scratch_path(spark, "warc")
     null_id = F.lit("null")
-    chunk = F.lit(CHUNK_CHARS)
+    chunk = F.lit(CHUNK_BYTES)
     whole = records(pages, id_col, url_col, payload_col, min_bytes).withColumn(
         "kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-    # all chunks of a record follow one another in one partition: explode keeps their order
+    # all chunks of a record follow one another in one partition: explode keeps their order. Chunks are cut from bytes, whose
+    # offsets cost nothing; positions in a string are found by walking it from the start, for every chunk anew
     last = F.when(F.col("kind") == "revisit", F.lit(0)).otherwise(
-        F.greatest(F.lit(0), F.ceil(F.char_length("payload") / chunk) - 1)).cast("int")
+        F.greatest(F.lit(0), F.ceil(F.col("bytes") / chunk) - 1)).cast("int")
     chunks = (whole.withColumn("last", last).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), "last")))
               .select(F.coalesce(F.col("page_id").cast("string"), null_id).alias("page_id"), "url", "bytes", "sha1", "kind",
                       F.coalesce(F.col("refers_to").cast("string"), null_id).alias("refers_to"), "chunk_no", "last",
@@ -108,7 +109,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
                         member = zlib.compressobj(1, zlib.DEFLATED, 31)
                         out.write(member.compress(_header(r, date)))
                     if r.chunk:
-                        out.write(member.compress(r.chunk.encode("utf-8", "surrogatepass")))
+                        out.write(member.compress(r.chunk))
                     if r.chunk_no == r.last:
                         out.write(member.compress(b"\r\n\r\n") + member.flush())
                         count += 1
