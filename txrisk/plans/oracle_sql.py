@@ -709,3 +709,10 @@ SELECT val.event_id, defect, is_valid, errors, round(p, 6) AS anomaly_score, p >
   round(value, 6) AS contribution
 FROM val LEFT JOIN (SELECT event_id, 1 / (1 + exp(-margin)) AS p FROM reached) r ON r.event_id = val.event_id
 LEFT JOIN top ON top.event_id = val.event_id"""
+
+ORACLE["stream_velocity"] = """
+SELECT event_id, user_id,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING) AS count_24h,
+  count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 604799999999 PRECEDING AND 1 PRECEDING) AS count_7d
+FROM (SELECT event_id, user_id, epoch_us(ts) AS us, max(epoch_us(ts)) OVER () AS newest FROM events)
+QUALIFY us < (newest // 1000) * 1000 - 3600000000"""

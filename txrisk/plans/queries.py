@@ -4,6 +4,7 @@ as the DuckDB oracle in ``oracle_sql``."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -32,6 +33,8 @@ from txrisk.operators.validation import validate_requests as _validate
 from txrisk.plans import fixed_models as fixed
 from txrisk.plans import fixtures as fx
 from txrisk.plans.util import round_doubles
+from txrisk.session import checkpoint_dir
+from txrisk.streaming.velocity import split_late, velocity_counts
 from txrisk.schemas import LEGACY_PAYLOAD_FIELDS, REQUEST_FIELDS, TRANSFER_FEATURE_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,3 +446,20 @@ def legacy_scoring(spark, sf_dir):
     top = F.transform(F.map_entries("explain"), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("value")))
     ranked = _ranked(out.withColumn("top", top), "top", ["event_id", "defect", "is_valid", "errors", "anomaly_score", "is_flagged"])
     return round_doubles(ranked)
+
+
+# ---- velocity counts by the streaming job (T1, T7; the counts behind F8-F10) ----
+
+
+@query
+def stream_velocity(spark, sf_dir):
+    """The events as a bounded stream: settled rows, that is all but those of the last hour."""
+    table = fx.table(spark, sf_dir, "events")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/velocity-{uuid.uuid4().hex}"
+    # a pattern: a stream takes no single file, and the table may be a file or a folder
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    counts = velocity_counts(stream, "user_id", "event_id", "ts")
+    (counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+        .trigger(availableNow=True).start().awaitTermination())
+    settled, _ = split_late(spark.read.schema(counts.schema).parquet(f"{folder}/out"))
+    return settled.select(F.col("id").cast("long").alias("event_id"), F.col("user").cast("long").alias("user_id"), "count_24h", "count_7d")
