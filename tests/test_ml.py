@@ -71,7 +71,7 @@ def test_train_explain_additivity_and_save_load(spark, tmp_dir):
 def test_class_weight_requires_positive(spark):
     import pytest
     df = spark.createDataFrame([(0,), (0,)], "label int")
-    with pytest.raises(Exception, match="No positive samples"):
+    with pytest.raises(Exception, match="no row has the label 1"):
         TN.with_weights(df).collect()
 
 

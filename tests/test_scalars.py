@@ -69,7 +69,7 @@ def test_weekday_monday_zero(spark):
 def test_fail_mode_raises(spark):
     from txrisk.operators.transfer import time_features
     df = spark.createDataFrame([("bad",)], "timestamp string")
-    with pytest.raises(Exception, match="invalid values"):
+    with pytest.raises(Exception, match="a time cannot be read"):
         time_features(df).collect()
 
 

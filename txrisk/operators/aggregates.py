@@ -22,7 +22,7 @@ def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """negatives / positives; fails at run time when there is no positive."""
     pos = F.sum(F.when(F.col(label) == 1, 1).otherwise(0))
     neg = F.sum(F.when(F.col(label) == 0, 1).otherwise(0))
-    weight = F.when(pos == 0, F.raise_error(F.lit("No positive samples in training data."))) \
+    weight = F.when(pos == 0, F.raise_error(F.lit("class weight: no row has the label 1"))) \
               .otherwise(neg.cast("double") / pos)
     return df.agg(pos.alias("positives"), neg.alias("negatives"), weight.alias("scale_pos_weight"))
 
@@ -116,7 +116,7 @@ def resolve_target(columns: list[str], candidates=TARGET_CANDIDATES) -> str:
     for c in candidates:
         if c in columns:
             return c
-    raise ValueError(f"Could not infer target column. Expected one of {tuple(candidates)}")
+    raise ValueError(f"no target column: none of {', '.join(candidates)} is there")
 
 
 def target_check(df: DataFrame, candidates=TARGET_CANDIDATES) -> DataFrame:
@@ -134,7 +134,7 @@ def require_binary(df: DataFrame, label: str) -> DataFrame:
     """Pass-through that fails at run time when a label is not 0/1."""
     y = F.col(label)
     return df.withColumn(label, F.when(y.isin(0, 1), y.cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit(f"Target column '{label}' must be binary, got "), y.cast("string")))))
+        F.raise_error(F.concat(F.lit(f"label '{label}' takes 0 and 1 only, not "), y.cast("string")))))
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:

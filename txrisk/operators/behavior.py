@@ -33,7 +33,7 @@ DEFAULT_COUNT_DAYS = 7
 def _checked_ts(df: DataFrame, timestamp: str, on_invalid: str):
     ts = parse_timestamp(F.col(timestamp), df.schema[timestamp].dataType)
     if on_invalid == "fail":
-        return F.when(ts.isNull(), F.raise_error(F.lit("Timestamp column contains non-convertible values."))).otherwise(ts)
+        return F.when(ts.isNull(), F.raise_error(F.lit("behaviour input: a time cannot be read"))).otherwise(ts)
     if on_invalid == "keep":
         return ts
     raise ValueError("on_invalid must be 'fail' or 'keep'")

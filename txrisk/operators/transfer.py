@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txrisk.functions import scalars as S
 from txrisk.schemas import TRANSFER_FEATURE_COLUMNS, TRANSFER_RAW_COLUMNS, require_columns
 
-INVALID_TS = "Timestamp column contains invalid values."
+INVALID_TS = "a time cannot be read"
 
 
 def checked_timestamp(df: DataFrame, column: str = "timestamp", on_invalid: str = "fail"):

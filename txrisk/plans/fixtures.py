@@ -39,10 +39,11 @@ def _memo(fn):
     @functools.wraps(fn)
     def wrapper(spark, sf_dir, *args, **kwargs):
         key = (fn.__name__, id(spark), sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
-        if key not in _PLANS:
-            _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
         prepare(spark)
-        return _PLANS[key]
+        # the session is kept with its plan, so that no later session can have its id
+        if key not in _PLANS or _PLANS[key][0] is not spark:
+            _PLANS[key] = (spark, fn(spark, sf_dir, *args, **kwargs))
+        return _PLANS[key][1]
     return wrapper
 
 

@@ -60,9 +60,7 @@ def class_means(spark, sf_dir):
     df = _features(spark, sf_dir, keep=("event_id", "fraud_label", "transaction_amount", "transaction_count_24h"))
     cols = ["transaction_amount", "balance_drain_ratio", "amount_to_avg_ratio", "velocity_burst",
             "transaction_count_24h", "card_age_months"]
-    out = df.groupBy("fraud_label").agg(F.count(F.lit(1)).alias("n_rows"),
-                                        *[F.avg(c).alias(f"mean_{c}") for c in cols])
-    return round_doubles(out)
+    return round_doubles(A.class_means(df, "fraud_label", cols))
 
 
 # ---- scalar features (F2-F17) ----
@@ -337,7 +335,7 @@ def _training_table(spark, sf_dir):
 
 def _trained(spark, sf_dir, profile="fast"):
     """Model fitted on the 80 % split of the transfer table (cached per process)."""
-    key = (sf_dir, profile)
+    key = (spark.sparkContext.applicationId, sf_dir, profile)
     if key not in _MODELS:
         from txrisk.operators.split import stratified_split
         data = stratified_split(_training_table(spark, sf_dir), "event_id", "label", 0.2, 42)
