@@ -78,7 +78,7 @@ def behavior_features(df: DataFrame, user: str = "user_id", amount: str = "amoun
 
     # one row per (user, slice), with what the slices before it hold
     user_stats = src.groupBy(F.col(user).alias("_u")).agg(F.avg("_amt").alias("_u_mean"), F.stddev_samp("_amt").alias("_u_std"))
-    summary = (rows.filter(F.col(tf.KIND) == 0).groupBy(user, tf.SLICE)
+    summary = (src.withColumn(tf.SLICE, tf.slice_of("_us", width)).groupBy(user, tf.SLICE)
                .agg(F.count("_amt").alias("_n"), F.avg("_amt").alias("_mean"), (F.var_pop("_amt") * F.count("_amt")).alias("_m2"),
                     F.max("_us").alias("_last_us"), *([F.sum("_exact").alias("_sum")] if keep_sums else []))
                .join(user_stats, F.col(user) == F.col("_u")).drop("_u"))

@@ -84,6 +84,11 @@ KIND = "_kind"              # 0: a row in its own slice; i: its copy, moved on b
 AT = "_at"
 
 
+def slice_of(us: str, slice_us: int) -> Column:
+    """The number of the slice that an instant lies in."""
+    return _floor_div(F.col(us), F.lit(slice_us).cast("long"))
+
+
 def slice_copies(df: DataFrame, us: str, slice_us: int, lengths_us: list[int], context: list[str]) -> DataFrame:
     """Each row in its slice, and once more per window length, moved on by that length.
 
@@ -95,7 +100,7 @@ def slice_copies(df: DataFrame, us: str, slice_us: int, lengths_us: list[int], c
     """
     if any(n % slice_us for n in lengths_us):
         raise ValueError("the slice width must divide every window length")
-    home = _floor_div(F.col(us), F.lit(slice_us).cast("long"))
+    home = slice_of(us, slice_us)
     copies = [F.struct(F.lit(i).alias("kind"), (home + F.lit(n // slice_us)).alias("slice"), (F.col(us) + F.lit(n)).alias("at"))
               for i, n in enumerate([0, *lengths_us])]
     own = F.col("_c.kind") == 0
