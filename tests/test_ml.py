@@ -259,3 +259,9 @@ def test_numeric_fit_has_no_python_and_no_copies(spark):
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Generate") == 1      # of the one aggregated row
 
 
+
+
+def test_training_table_is_not_collected(spark):
+    """Tables that grow with the events are joined by shuffle: a broadcast passes whole through the driver."""
+    plan = fx.transfers(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
