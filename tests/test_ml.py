@@ -261,6 +261,20 @@ def test_numeric_fit_has_no_python_and_no_copies(spark):
 
 
 
+def test_written_out_tables_equal_the_lambdas(spark, monkeypatch):
+    from txrisk.ml import tree_tables as TT
+    model = TT.TreeModel.from_json(_random_model(5, 3, 6).to_json())
+    x = [[0.3, -0.2, 4.0, 1.0], [-1.0, 0.9, -1.0, None], [float("nan"), 0.0, 99.0, float("inf")], [None] * 4]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, v array<double>")
+    written = TT.with_contributions(df, model, F.col("v"))
+    assert "lambda" not in written._jdf.queryExecution().optimizedPlan().toString()      # lambdas are interpreted per element
+    monkeypatch.setattr(TT, "WRITTEN_PLAYERS", 0)
+    assert written.orderBy("id").collect()[:2] == TT.with_contributions(df, model, F.col("v")).orderBy("id").collect()[:2]
+    assert written.columns == TT.with_contributions(df, model, F.col("v")).columns
+    as_text = lambda d: sorted(map(str, d.collect()))
+    assert as_text(written) == as_text(TT.with_contributions(df, model, F.col("v")))
+
+
 def test_training_table_is_not_collected(spark):
     """Tables that grow with the events are joined by shuffle: a broadcast passes whole through the driver."""
     plan = fx.transfers(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -58,3 +58,10 @@ def test_strict_payload_refuses_unknown_keys(spark):
     assert r[0]["is_valid"]
     assert r[1]["errors"] == "alpha:extra_forbidden;zeta:extra_forbidden"
     assert r[2]["errors"] == "userId:extra_forbidden"
+
+
+def test_filter_on_the_outcome_repeats_nothing(spark):
+    df = spark.createDataFrame([(json.dumps(BASE),), ("{",)], "value string")
+    kept = validate_requests(df).filter("is_valid")
+    lookups = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("variant_get(")
+    assert lookups(kept) == lookups(validate_requests(df)) and kept.count() == 1

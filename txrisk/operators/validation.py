@@ -34,8 +34,8 @@ FLOAT_TEXT = r"(?i)^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)? *$|^ *[+-]?
 SPARK_TYPES = {"str": "string", "float": "double", "int": "bigint", "bool": "boolean"}
 
 
-def _kind_of(raw: Column) -> Column:
-    t = F.schema_of_variant(raw)
+def _kind_of(raw: Column, t: Column) -> Column:
+    """``t``: the value's schema text, taken once, as writing it costs more than all comparisons."""
     return (F.when(raw.isNull(), F.lit("missing"))
              .when(F.is_variant_null(raw), F.lit("null"))
              .when(t == "STRING", F.lit("string"))
@@ -89,10 +89,11 @@ def validate_json(df: DataFrame, value: str = "value", fields=REQUEST_FIELDS, st
         a = F.variant_get("_v", f"$.{alias}", "variant")
         raw = a
         if accept_snake and snake != alias:
-            raw = F.when(a.isNotNull(), a).otherwise(F.variant_get("_v", f"$.{snake}", "variant"))
+            raw = F.coalesce(a, F.variant_get("_v", f"$.{snake}", "variant"))
         raws[f"_r_{snake}"] = raw
     out = out.withColumns(raws)
-    out = out.withColumns({f"_k_{s[0]}": _kind_of(F.col(f"_r_{s[0]}")) for s in specs})
+    out = out.withColumns({f"_t_{s[0]}": F.schema_of_variant(f"_r_{s[0]}") for s in specs})
+    out = out.withColumns({f"_k_{s[0]}": _kind_of(F.col(f"_r_{s[0]}"), F.col(f"_t_{s[0]}")) for s in specs})
     vals, oks = {}, {}
     for snake, alias, kind, required, default, nonneg in specs:
         val, ok = _coerce(F.col(f"_r_{snake}"), F.col(f"_k_{snake}"), kind)
@@ -119,7 +120,8 @@ def validate_json(df: DataFrame, value: str = "value", fields=REQUEST_FIELDS, st
                             F.concat(F.array_join(extra, ":extra_forbidden;"), F.lit(":extra_forbidden"))))
     errors = F.when(F.col("_obj"), F.concat_ws(";", *parts)).otherwise(F.lit("json:malformed"))
     typed = [F.when(F.col("_obj") & F.col(f"_c_{s[0]}").isNull(), F.col(f"_x_{s[0]}")).alias(s[0]) for s in specs]
-    out = out.select(*df.columns, errors.alias("errors"), *typed)
+    # a generator, so that a filter on the outcome is not moved below the stages, where it would repeat them all inline
+    out = out.select(*df.columns, F.inline(F.array(F.struct(errors.alias("errors"), *typed))))
     return out.withColumn("is_valid", F.col("errors") == "")
 
 
