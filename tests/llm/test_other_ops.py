@@ -279,6 +279,32 @@ def test_components_of_a_long_chain(spark):
     assert ngram_join.components(edges.limit(0)).count() == 0
 
 
+def test_links_of_a_family_are_a_forest(monkeypatch):
+    """A family's pairs are a square; what leaves the unit connects the same members with fewer links than members."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(-2**62, 2**62, 300)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:280], rng.integers(-2**62, 2**62, 6)])) for _ in range(80)]
+    i, j = np.triu_indices(80, 1)
+    comp = np.arange(80)
+    comp[:10] = 0
+    for matrix in (ngram_join.MATRIX, 0):
+        monkeypatch.setattr(ngram_join, "MATRIX", matrix)
+        links = ngram_join.connecting_links(sets, comp, i, j, 85)
+        similar = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+        assert all(similar(a, b) for a, b in links) and len(links) < 71
+        near = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if similar(a, b)]
+        assert len(near) > 200
+
+        def parts(edges):
+            root = list(comp)
+            for a, b in edges:
+                x, y = root[a], root[b]
+                root = [x if r == y else r for r in root]
+            return {frozenset(k for k in range(80) if root[k] == r) for r in root}
+
+        assert parts(links) == parts(near)
+
+
 # 8. weak labels
 
 def test_label_model_recovers_accuracies():

@@ -16,8 +16,13 @@
    likeliest partners; the second, after these links are known, covers every
    pair that is not yet connected. So a family of copies costs about its
    size, not its square, and no connection between texts is lost.
-4. Exact check. Surviving pairs are compared shingle by shingle; links are
-   joined into components by alternating star contraction on tables.
+4. Exact check. Likely pairs are compared shingle by shingle. The second
+   traversal's surviving pairs are not handed out but which members they join:
+   such a family is a block of its own, to whose units the whole sets travel. A
+   unit compares its pairs and hands out the links that connect anything new,
+   fewer than it has members. So pairs of a large family, whose number is a
+   square, are never rows of a table. Links are joined into components by
+   alternating star contraction on tables.
 
 Defined results: texts without words, or null, have an empty set and are
 linked with nothing; with fewer words than a shingle the whole sequence is
@@ -40,6 +45,9 @@ from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches
 SHINGLE = 4
 PERCENT = 85
 CHUNK = 2048                # members of a block that one unit of work holds, twice at most
+CHUNK_BITS = 21             # a chunk holds about 2^21 shingles at most, so fewer long sets
+MATRIX = 64 << 20           # bytes of a unit's table of shared shingles; larger units compare set by set
+PAIRS_AT_ONCE = 1 << 17
 LEAF, FAN = 16, 8           # documents per leaf and children per node of a tree
 BROADCAST_IDS = 500_000     # more ids than this are joined by shuffle
 _MEMO = 500_000
@@ -154,7 +162,9 @@ def dual_traverse(a: Tree, b: Tree, percent: int = PERCENT) -> tuple[np.ndarray,
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
     while True:
-        ok = _possible(a.levels[la], i, b.levels[lb], j, percent)
+        parts = [_possible(a.levels[la], i[s:s + PAIRS_AT_ONCE], b.levels[lb], j[s:s + PAIRS_AT_ONCE], percent)
+                 for s in range(0, len(i), PAIRS_AT_ONCE)]
+        ok = np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
         i, j = i[ok], j[ok]
         if not len(i) or la == lb == 0:
             return i, j
@@ -195,21 +205,70 @@ def likely_partners(a: Tree, b: Tree, percent: int = PERCENT) -> tuple[np.ndarra
     return i[ok], j[ok]
 
 
-def _traverse_units(rows: DataFrame, bits: DataFrame, likely: bool, percent: int) -> DataFrame:
-    """Pairs (a < b, gap in size) from units of work; rows: block, c1, c2, side, rep, n, comp. Bitmaps travel once, to their units."""
-    def of(members: pd.DataFrame) -> Tree:
-        return Tree(members["n"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in members["bits"]], members["comp"].to_numpy())
-
+def _overlaps(sets: list[np.ndarray]):
+    """A function of index arrays (i, j): how many elements each two sets share."""
+    values, seen = np.unique(np.concatenate(sets), return_counts=True)
+    shared = values[seen > 1]
+    words = max(1, -(-len(shared) // 64))
+    if len(sets) * words * 8 > MATRIX:
+        return lambda i, j: np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], dtype=np.int64)
+    table = np.zeros((len(sets), words), dtype=np.uint64)
+    for k, s in enumerate(sets):
+        own = np.zeros(words * 64, dtype=bool)
+        own[np.searchsorted(shared, np.intersect1d(s, shared, assume_unique=True))] = True
+        table[k] = np.packbits(own, bitorder="little").view(np.uint64)
+    step = max(1, (1 << 22) // words)
+
+    def counts(i, j):
+        return np.concatenate([np.bitwise_count(table[i[s:s + step]] & table[j[s:s + step]]).sum(axis=1, dtype=np.int64)
+                               for s in range(0, len(i), step)])
+
+    return counts
+
+
+def connecting_links(sets: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Of the pairs (i, j), likeliest first, links that connect what neither ``comp`` nor an earlier one connects: a spanning forest."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    overlaps = _overlaps(sets)
+    place = np.unique(comp, return_inverse=True)[1].reshape(-1)
+    root = np.arange(place.max() + 1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = np.argsort(np.abs(n[i] - n[j]), kind="stable")
+    i, j = i[order], j[order]
+    out, at, step = [], 0, 1024
+    while at < len(i):
+        x, y = i[at:at + step], j[at:at + step]
+        at, step = at + step, min(2 * step, PAIRS_AT_ONCE)
+        now = np.array([find(k) for k in range(len(root))])
+        apart = now[place[x]] != now[place[y]]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            continue
+        common = overlaps(x, y)
+        linked = 100 * common >= percent * (n[x] + n[y] - common)
+        for a, b in zip(x[linked].tolist(), y[linked].tolist()):
+            ra, rb = find(place[a]), find(place[b])
+            if ra != rb:
+                root[rb] = ra
+                out.append((a, b))
+    return out
+
+
+_UNIT = ["block", "c1", "c2"]
+
+
+def _per_unit(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(left, right)`` for every unit; ``right`` is None for a chunk with itself. rows: block, c1, c2, side, rep, n, comp and more."""
     def unit(frame: pd.DataFrame) -> pd.DataFrame | None:
         left = frame[frame["side"] == 0]
         right = frame[frame["side"] == 1]
-        ta = of(left)
-        tb, right = (ta, left) if not len(right) else (of(right), right)
-        i, j = (likely_partners if likely else dual_traverse)(ta, tb, percent)
-        if not len(i):
-            return None
-        x, y = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "gap": np.abs(left["n"].to_numpy()[i] - right["n"].to_numpy()[j])})
+        return work(left, right if len(right) else None) if len(left) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -220,14 +279,14 @@ def _traverse_units(rows: DataFrame, bits: DataFrame, likely: bool, percent: int
             nonlocal size
             found = unit(pd.concat(held) if len(held) > 1 else held[0])
             held.clear()
-            if found is not None:
+            if found is not None and len(found):
                 out.append(found)
                 size += len(found)
 
         for frame in frames:
             if not len(frame):
                 continue
-            keys = frame[["block", "c1", "c2"]].to_numpy()
+            keys = frame[_UNIT].to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             edges = [0, *cut.tolist(), len(frame)]
             for s, e in zip(edges, edges[1:]):
@@ -245,8 +304,68 @@ def _traverse_units(rows: DataFrame, bits: DataFrame, likely: bool, percent: int
         if out:
             yield pd.concat(out)
 
-    sorted_rows = rows.join(bits, "rep").repartition("block", "c1", "c2").sortWithinPartitions("block", "c1", "c2", "side", "n", "rep")
-    return sorted_rows.mapInPandas(run, "a long, b long, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "side", "n", "rep").mapInPandas(run, schema)
+
+
+def _tree(members: pd.DataFrame, bits: list[np.ndarray]) -> Tree:
+    return Tree(members["n"].to_numpy(), bits, members["comp"].to_numpy())
+
+
+def _bitmap_tree(members: pd.DataFrame) -> Tree:
+    return _tree(members, [np.frombuffer(x, dtype=np.uint64) for x in members["bits"]])
+
+
+def _likely_pairs(units: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b, gap in size) worth checking first. Bitmaps travel once, to their units."""
+    def work(left, right):
+        ta = _bitmap_tree(left)
+        i, j = likely_partners(ta, ta if right is None else _bitmap_tree(right), percent)
+        other = left if right is None else right
+        x, y = left["rep"].to_numpy()[i], other["rep"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "gap": np.abs(left["n"].to_numpy()[i] - other["n"].to_numpy()[j])})
+
+    return _per_unit(units.join(bits, "rep"), work, "a long, b long, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+
+
+def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``size`` nodes the smallest one that the pairs (i, j) connect it with."""
+    low = np.arange(size)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _possible_families(units: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b), fewer than a unit's members, that join every pair which the bitmaps do not rule out."""
+    def work(left, right):
+        ta = _bitmap_tree(left)
+        i, j = dual_traverse(ta, ta if right is None else _bitmap_tree(right), percent)
+        rep = left["rep"].to_numpy() if right is None else np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
+        low = forest(len(rep), i, j if right is None else j + len(left))
+        joined = np.flatnonzero(low != np.arange(len(rep)))
+        return pd.DataFrame({"a": rep[low[joined]], "b": rep[joined]})
+
+    return _per_unit(units.join(bits, "rep"), work, "a long, b long").distinct()
+
+
+def _unit_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect members of a unit not yet connected, by their whole sets."""
+    def work(left, right):
+        both = left if right is None else pd.concat([left, right])
+        held = [np.asarray(x, dtype=np.int64) for x in both["s"]]
+        maps = [bitmap(x) for x in held]
+        ta = _tree(left, maps[:len(left)])
+        i, j = dual_traverse(ta, ta if right is None else _tree(right, maps[len(left):]), percent)
+        links = connecting_links(held, both["comp"].to_numpy(), i, j if right is None else j + len(left), percent)
+        rep = both["rep"].to_numpy()
+        return pd.DataFrame([(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in links], columns=["a", "b"], dtype=np.int64)
+
+    return _per_unit(units.join(sets, "rep"), work, "a long, b long").distinct()
 
 
 def _units(blocks: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +373,8 @@ def _units(blocks: DataFrame, percent: int) -> DataFrame:
     # one bitmap width per chunk, so that a small set does not coarsen the others' bitmaps
     width = F.greatest(F.lit(6), F.length(F.bin(F.col("n") - 1)))
     place = Window.partitionBy("block", width).orderBy("n", "rep")
-    chunked = blocks.withColumn("chunk", width.cast("long") * (1 << 40) + F.floor((F.row_number().over(place) - 1) / CHUNK))
+    most = F.least(F.lit(CHUNK), F.greatest(F.lit(64), F.floor(F.lit(1 << CHUNK_BITS) / F.pow(F.lit(2.0), width))))
+    chunked = blocks.withColumn("chunk", width.cast("long") * (1 << 40) + F.floor((F.row_number().over(place) - 1) / most))
     spans = chunked.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x = spans.select("block", F.col("chunk").alias("c1"), F.col("high").alias("high1"))
     y = spans.select("block", F.col("chunk").alias("c2"), F.col("low").alias("low2"))
@@ -284,10 +404,9 @@ def components(edges: DataFrame) -> DataFrame:
                             .filter("u <> v").distinct(), "edges")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, shingle by shingle; their texts are hashed anew."""
-    wanted = (classes.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep")
-              .select("rep", "digest", "any_id"))
+def _whole_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """rep, s: the whole shingle sets of ``reps``; their texts are hashed anew."""
+    wanted = classes.join(reps.distinct(), "rep").select("rep", "digest", "any_id")
     ids = wanted.select(F.col("any_id").alias("i")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -300,7 +419,12 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
             yield pd.DataFrame({"digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "s": sets})
 
     made = texts.mapInPandas(run, "digest binary, s array<long>")
-    sets = scratch_table(made.join(wanted.select("rep", "digest"), "digest").select("rep", "s").dropDuplicates(["rep"]), "sets")
+    return scratch_table(made.join(wanted.select("rep", "digest"), "digest").select("rep", "s").dropDuplicates(["rep"]), "sets")
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, shingle by shingle."""
+    sets = _whole_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), classes, docs, size)
     left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -333,7 +457,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     blocks = scratch_table(shared.join(once, ["token", "part"]).select("block", "rep", "n"), "blocks")
     bits = sets.select(F.col("uid").alias("rep"), "bits")
 
-    first = _traverse_units(_units(blocks.withColumn("comp", F.lit(-1).cast("long")), percent), bits, True, percent)
+    first = _likely_pairs(_units(blocks.withColumn("comp", F.lit(-1).cast("long")), percent), bits, percent)
     # each member's two likeliest partners; the rest is for the second traversal
     by = Window.partitionBy("b").orderBy("gap", "a")
     tried = scratch_table(first.withColumn("k", F.row_number().over(by)).filter("k <= 2").select("a", "b"), "first-pairs")
@@ -342,9 +466,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     labelled = blocks.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     apart = labelled.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
-    second = _traverse_units(_units(labelled.join(apart, "block", "left_semi"), percent), bits, False, percent).select("a", "b")
-    left = scratch_table(second.join(tried, ["a", "b"], "left_anti"), "second-pairs")
-    links = found.union(_links(left, classes, rows, size, percent))
+    edges = _possible_families(_units(labelled.join(apart, "block", "left_semi"), percent), bits, percent)
+    # a family of possible partners is a block of its own, where each set travels once
+    family = scratch_table(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("block")), "families")
+    members = (family.join(reps.select(F.col("uid").alias("rep"), "n"), "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+               .select("block", "rep", "n", F.coalesce("root", "rep").alias("comp")))
+    links = found.union(_unit_links(_units(members, percent), _whole_sets(family.select("rep"), classes, rows, size), percent))
     roots = components(links)
 
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
