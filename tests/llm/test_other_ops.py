@@ -485,3 +485,10 @@ def test_archive_time_grows_with_the_payload(spark, tmp_path):
         text = ("ü" + "abcdefg漢字hijklm" * n).encode()
         assert found.payload_digest == base64.b32encode(hashlib.sha1(text).digest()).decode()
     assert took[4_000_000] < 8 * max(took[1_000_000], 1.0)
+
+
+def test_workers_keep_the_caches_of_one_operator():
+    from txrisk.llm import common
+    common.worker_cache("packing")["a"] = {"word": b"ids"}
+    assert common.worker_cache("packing") == {"a": {"word": b"ids"}}
+    assert common.worker_cache("ngram_join") == {} and common.worker_cache("packing") == {}

@@ -101,6 +101,24 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker remembers for ``owner`` between tasks. Workers outlive a stage, so the caches of other owners, whose
+    stages have ended, are dropped and their memory goes back to the system: they would add up to the next stages' needs."""
+    others = [k for k in _caches if k != owner]
+    if any(_caches.pop(k) for k in others):
+        import ctypes
+        import gc
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):       # another C library
+            pass
+    return _caches.setdefault(owner, {})
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

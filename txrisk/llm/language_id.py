@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import free_name, ship_package, small_arrow_batches
+from txrisk.llm.common import free_name, ship_package, small_arrow_batches, worker_cache
 
 TRAIN_PER_LANGUAGE, TRAIN_ROWS = 300, 4096      # the bounds of the training sample
 LANDMARKS_PER_LANGUAGE, LANDMARKS = 32, 512
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     @F.pandas_udf("lang string, score double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_cache("language_id")
         m = shared.value
         names = np.array(m.languages, dtype=object)
         for texts in batches:

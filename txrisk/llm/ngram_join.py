@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches
+from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches, worker_cache
 
 SHINGLE = 4
 PERCENT = 85
@@ -105,6 +105,7 @@ def fold(b: np.ndarray, words: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("ngram_join")
         hashes = _WordHashes()
         for frame in frames:
             out = []
@@ -271,6 +272,7 @@ def _per_unit(rows: DataFrame, work, schema: str) -> DataFrame:
         return work(left, right if len(right) else None) if len(left) else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("ngram_join")
         held: list[pd.DataFrame] = []
         key = None
         out, size = [], 0
@@ -413,6 +415,7 @@ def _whole_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int)
     texts = docs.join(ids.withColumnRenamed("i", "j"), F.col("i").eqNullSafe(F.col("j")), "left_semi").select("t")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("ngram_join")
         hashes = _WordHashes()
         for frame in frames:
             sets = [shingle_set(t, hashes, size) for t in frame["t"]]

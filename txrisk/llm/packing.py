@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches
+from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
@@ -114,15 +114,13 @@ class Encoder(dict):
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
+    encoders = worker_cache("packing")
+    if path not in encoders:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
