@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches, worker_cache
+from txrisk.llm.common import scratch_table, ship_package, small_arrow_batches, without_shuffle_files, worker_cache
 
 SHINGLE = 4
 PERCENT = 85
@@ -434,8 +434,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, ``uid`` (a row number), ``text_hash`` and ``stays`` (the group's first row), one per row of ``docs``."""
+def _group(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     ship_package(docs.sparkSession)
     small_arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -486,6 +485,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                       "uid", "text_hash", F.coalesce(F.col("uid") == F.col("first"), F.lit(True)).alias("stays"))
 
 
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, ``uid`` (a row number), ``text_hash`` and ``stays`` (the group's first row), one per row of ``docs``."""
+    with without_shuffle_files(docs.sparkSession):       # each step's shuffle files go when its table is written
+        return _group(docs, id_col, text_col, size, percent)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each linked group stays: the group's first row.
 
