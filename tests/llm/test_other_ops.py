@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,49 @@ def test_components_of_a_long_chain(spark):
     assert ngram_join.components(edges.limit(0)).count() == 0
 
 
+def test_small_units_equal_their_trees():
+    rng = np.random.default_rng(11)
+    rows, unit, want, likely = [], [], set(), set()
+    for k in range(30):
+        base = rng.integers(-2**62, 2**62, int(rng.integers(8, 300)))
+        sets = sorted((np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(-2**62, 2**62, len(base) // 20)]))
+                       for _ in range(int(rng.integers(2, 30)))), key=len)
+        cut = len(sets) // 2 if k % 2 else len(sets)
+        trees = [ngram_join.Tree(np.array([len(s) for s in x]), [ngram_join.bitmap(s) for s in x], rng.integers(-1, 4, len(x)))
+                 for x in (sets[:cut], sets[cut:]) if x]
+        for find, out in ((ngram_join.dual_traverse, want), (ngram_join.likely_partners, likely)):
+            i, j = find(trees[0], trees[-1], 85)
+            out |= {(len(rows) + a, len(rows) + b + (cut if len(trees) > 1 else 0)) for a, b in zip(i.tolist(), j.tolist())}
+        rows += [(side, int(n), int(c), bits.tobytes()) for side, t in enumerate(trees) for n, c, bits in zip(t.n, t.comp, t.own)]
+        unit += [k] * len(sets)
+    frame = pd.DataFrame(rows, columns=["side", "n", "comp", "bits"])
+    pairs = lambda *how: {(min(p), max(p)) for p in zip(*map(np.ndarray.tolist, ngram_join.possible_pairs(frame, np.array(unit), 85, *how)))}
+    assert pairs() == want and len(want) > 100
+    assert pairs(True) == {(min(p), max(p)) for p in likely}
+
+
+def test_a_line_of_many_documents_makes_no_work(spark, monkeypatch):
+    """Documents that share only a common passage get into no block together; similar ones among them are still linked."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(50)
+    texts = {k: " ".join(words(60) + passage + words(60)) for k in range(200)}
+    texts |= {200 + k: texts[k] + " end" for k in range(5)}
+    made, units = [], ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda *a: made.append(units(*a)) or made[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.group(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _brute_components(texts)
+    assert made[0].count() == 10
+
+
+def test_components_equal_a_search(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, 400 + k) for k in range(1, 80)]
+    low = ngram_join.forest(480, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: int(low[k]) for a, b in edges if a != b for k in (a, b)}
+
+
 def test_links_of_a_family_are_a_forest(monkeypatch):
     """A family's pairs are a square; what leaves the unit connects the same members with fewer links than members."""
     rng = np.random.default_rng(7)

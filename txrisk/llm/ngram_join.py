@@ -2,12 +2,16 @@
 
 1. Sets. One pass hashes each text's shingles to 64 bits and keeps the set's
    size, digest, a token bitmap (one to two bits per shingle) and the
-   smallest hashes that a similar set must share one of (a prefix filter,
-   lossless). Equal sets become one class; only its representative goes on.
+   first hashes that a similar set must share one of (a prefix filter,
+   lossless in any order of all hashes). The order is by hash, but shingles
+   that are common in a sample of the documents come last: a line that many
+   documents repeat would else put them all into one block. Equal sets become
+   one class; only its representative goes on.
 2. Blocks. Classes sharing a prefix hash form a block, which is parted where
    set sizes jump too far for a link; blocks with the same members are merged
    and members alone are dropped. A block is cut into chunks of bounded size
    and one bitmap width, ordered by set size, and every size-compatible pair of chunks is one unit of work.
+   Small units are worked off many at a time, every pair of each; the others by trees.
 3. Trees. A unit builds a signature tree per chunk: nodes hold the OR of
    their bitmaps, their range of set sizes, their bitmap slack and, once
    known, their common component. Dual traversal drops node pairs whose
@@ -22,7 +26,7 @@
    unit compares its pairs and hands out the links that connect anything new,
    fewer than it has members. So pairs of a large family, whose number is a
    square, are never rows of a table. Links are joined into components by
-   alternating star contraction on tables.
+   rounds in which every edge goes to both its nodes.
 
 Defined results: texts without words, or null, have an empty set and are
 linked with nothing; with fewer words than a shingle the whole sequence is
@@ -49,6 +53,10 @@ CHUNK_BITS = 21             # a chunk holds about 2^21 shingles at most, so fewe
 MATRIX = 64 << 20           # bytes of a unit's table of shared shingles; larger units compare set by set
 PAIRS_AT_ONCE = 1 << 17
 LEAF, FAN = 16, 8           # documents per leaf and children per node of a tree
+SMALL_UNIT = 64             # members of a unit whose pairs are all compared, without a tree
+COMMON = 8                  # sampled documents with a shingle that goes to the end of the order
+SAMPLE_ROWS, SAMPLE_SHARE = 10_000, 1 / 64      # documents that show which shingles are common, at least; only the work depends on them
+MOST_COMMON = 200_000
 BROADCAST_IDS = 500_000     # more ids than this are joined by shuffle
 _MEMO = 500_000
 
@@ -87,6 +95,26 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted array ``among``."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(among, values)
+    at[at == len(among)] = 0
+    return among[at] == values
+
+
+def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of the sorted set ``s`` in the order that puts ``common`` ones (sorted) last; two similar sets share one."""
+    length = prefix_length(len(s), percent)
+    head = s[:2 * length]
+    rare = head[~_in(head, common)]
+    if len(rare) < length:
+        last = _in(s, common)
+        rare = np.concatenate([s[~last], s[last]])
+    return rare[:length]
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """1 to 2 bits per shingle, a power of two and 64 at least, as 64-bit words."""
     bits = max(64, 1 << int(len(s) - 1).bit_length())
@@ -103,7 +131,27 @@ def fold(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
+def _common_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Shingles that COMMON or more sampled documents have, sorted. Only those whose hash is small enough for a prefix are counted."""
+    share = max(SAMPLE_ROWS / max(docs.count(), 1), SAMPLE_SHARE)
+    sampled = docs.filter(F.pmod(F.xxhash64("i", "h"), F.lit(1 << 20)) < F.lit(min(1.0, share) * (1 << 20)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("ngram_join")
+        hashes = _WordHashes()
+        for frame in frames:
+            sets = [shingle_set(t, hashes, size) for t in frame["t"]]
+            token, c = np.unique(np.concatenate([np.zeros(0, np.int64), *(s[:2 * prefix_length(len(s), percent)] for s in sets)]), return_counts=True)
+            yield pd.DataFrame({"token": token, "c": c})
+
+    found = (sampled.select("t").mapInPandas(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+             .filter(F.col("c") >= COMMON).orderBy(F.desc("c"), "token").limit(MOST_COMMON).select("token"))
+    return np.sort(np.array([r.token for r in found.collect()], dtype=np.int64))
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, size, percent))      # MOST_COMMON numbers at most
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("ngram_join")
         hashes = _WordHashes()
@@ -112,7 +160,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for i, h, text in zip(frame["i"], frame["h"], frame["t"]):
                 s = shingle_set(text, hashes, size)
                 if len(s):
-                    out.append((i, h, len(s), xxhash.xxh128_digest(s.tobytes()), s[:prefix_length(len(s), percent)], bitmap(s).tobytes()))
+                    out.append((i, h, len(s), xxhash.xxh128_digest(s.tobytes()), prefix(s, shared.value, percent), bitmap(s).tobytes()))
                 else:
                     out.append((i, h, 0, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "text_hash", "n", "digest", "prefix", "bits"])
@@ -264,51 +312,100 @@ def connecting_links(sets: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j:
 _UNIT = ["block", "c1", "c2"]
 
 
-def _per_unit(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work(left, right)`` for every unit; ``right`` is None for a chunk with itself. rows: block, c1, c2, side, rep, n, comp and more."""
-    def unit(frame: pd.DataFrame) -> pd.DataFrame | None:
+def _per_unit(rows: DataFrame, work, schema: str, many=None) -> DataFrame:
+    """``work(left, right)`` for every unit; ``right`` is None for a chunk with itself. rows: block, c1, c2, side, rep, n, comp and more.
+    With ``many``, units of up to SMALL_UNIT rows go there together: ``many(rows, unit)``, ``unit`` numbering each row's, ascending."""
+    def each(frame: pd.DataFrame) -> pd.DataFrame | None:
         left = frame[frame["side"] == 0]
         right = frame[frame["side"] == 1]
         return work(left, right if len(right) else None) if len(left) else None
 
+    def whole(frame: pd.DataFrame, starts: np.ndarray) -> list[pd.DataFrame]:
+        sizes = np.diff(starts, append=len(frame))
+        small = sizes <= (SMALL_UNIT if many else 0)
+        found = [each(frame.iloc[s:s + k]) for s, k in zip(starts[~small].tolist(), sizes[~small].tolist())]
+        if small.any():
+            of = np.repeat(np.arange(len(starts)), sizes)
+            mine = small[of]
+            found.append(many(frame[mine], of[mine]))
+        return [f for f in found if f is not None and len(f)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("ngram_join")
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []       # of the unit that the next frame may go on with
         key = None
         out, size = [], 0
 
-        def close():
+        def take(frame, starts):
             nonlocal size
-            found = unit(pd.concat(held) if len(held) > 1 else held[0])
-            held.clear()
-            if found is not None and len(found):
-                out.append(found)
-                size += len(found)
+            found = whole(frame, starts)
+            out.extend(found)
+            size += sum(map(len, found))
 
         for frame in frames:
             if not len(frame):
                 continue
             keys = frame[_UNIT].to_numpy()
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            edges = [0, *cut.tolist(), len(frame)]
-            for s, e in zip(edges, edges[1:]):
-                now = tuple(keys[s])
-                if held and now != key:
-                    close()
-                key = now
-                held.append(frame.iloc[s:e])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if held and (keys[0] != key).any():
+                take(pd.concat(held), np.zeros(1, dtype=np.int64))
+                held.clear()
+            key = keys[-1]
+            if len(cuts):
+                ended = pd.concat([*held, frame.iloc[:cuts[-1]]])
+                take(ended, np.concatenate([[0], cuts[:-1] + (len(ended) - cuts[-1])]))
+                held.clear()
+            held.append(frame.iloc[cuts[-1] if len(cuts) else 0:])
             if size >= 100_000:
                 yield pd.concat(out)
                 out.clear()
                 size = 0
         if held:
-            close()
+            take(pd.concat(held), np.zeros(1, dtype=np.int64))
         if out:
             yield pd.concat(out)
 
     return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "side", "n", "rep").mapInPandas(run, schema)
 
 
+def possible_pairs(rows: pd.DataFrame, unit: np.ndarray, percent: int = PERCENT, likely: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """What ``dual_traverse`` (or ``likely_partners``) gives unit by unit, as row numbers, for many small units at once."""
+    n, comp, side = rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
+    first = np.searchsorted(unit, unit)
+    crossed = side[np.searchsorted(unit, unit, side="right") - 1] == 1        # the unit has two chunks
+    k = np.arange(len(rows))
+    pos = k - first
+    lefts = np.bincount(unit, weights=side == 0)[unit].astype(np.int64)
+    pos = np.where(side == 1, pos - lefts, pos)
+    found = []
+    for d in range(1, int(np.bincount(unit).max(initial=1))):
+        i, j = k[:-d], k[d:]
+        ok = (unit[i] == unit[j]) & (~crossed[i] | (side[i] != side[j])) & ((comp[i] < 0) | (comp[i] != comp[j]))
+        ok &= (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+        if likely:
+            ok &= (pos[i] == 0) | np.where(crossed[i], pos[j] == 0, (d == 1) | (pos[i] == pos[j] // LEAF * LEAF))
+        found.append((i[ok], j[ok]))
+    if not found:
+        return k[:0], k[:0]
+    i, j = (np.concatenate(x) for x in zip(*found))
+    bits = [np.frombuffer(x, dtype=np.uint64) for x in rows["bits"]]
+    words = np.array([len(x) for x in bits])
+    width, most = np.minimum(words[i], words[j]), np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        used, place = np.unique(np.concatenate([i[of], j[of]]), return_inverse=True)
+        own = np.stack([fold(bits[x], w) for x in used])
+        slack = n[used] - np.bitwise_count(own).sum(axis=1, dtype=np.int64)
+        x, y = place[:len(of)], place[len(of):]
+        step = max(1, (1 << 20) // int(w))
+        for s in range(0, len(of), step):
+            a, b = x[s:s + step], y[s:s + step]
+            most[of[s:s + step]] = np.bitwise_count(own[a] & own[b]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a], slack[b])
+    most = np.minimum(most, np.minimum(n[i], n[j]))
+    ok = most >= -(-percent * (n[i] + n[j]) // (100 + percent))
+    return i[ok], j[ok]
+
+
 def _tree(members: pd.DataFrame, bits: list[np.ndarray]) -> Tree:
     return Tree(members["n"].to_numpy(), bits, members["comp"].to_numpy())
 
@@ -326,7 +423,12 @@ def _likely_pairs(units: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
         x, y = left["rep"].to_numpy()[i], other["rep"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "gap": np.abs(left["n"].to_numpy()[i] - other["n"].to_numpy()[j])})
 
-    return _per_unit(units.join(bits, "rep"), work, "a long, b long, gap long").groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    def many(rows, unit):
+        i, j = possible_pairs(rows, unit, percent, likely=True)
+        rep, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "gap": np.abs(n[i] - n[j])})
+
+    return _per_unit(units.join(bits, "rep"), work, "a long, b long, gap long", many).groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
 def forest(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -352,7 +454,13 @@ def _possible_families(units: DataFrame, bits: DataFrame, percent: int) -> DataF
         joined = np.flatnonzero(low != np.arange(len(rep)))
         return pd.DataFrame({"a": rep[low[joined]], "b": rep[joined]})
 
-    return _per_unit(units.join(bits, "rep"), work, "a long, b long").distinct()
+    def many(rows, unit):
+        rep = rows["rep"].to_numpy()
+        low = forest(len(rep), *possible_pairs(rows, unit, percent))
+        joined = np.flatnonzero(low != np.arange(len(rep)))
+        return pd.DataFrame({"a": rep[low[joined]], "b": rep[joined]})
+
+    return _per_unit(units.join(bits, "rep"), work, "a long, b long", many).distinct()
 
 
 def _unit_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -388,22 +496,39 @@ def _units(blocks: DataFrame, percent: int) -> DataFrame:
     return chunked.join(sides.select("block", "c1", "c2", "s.side", "s.chunk"), ["block", "chunk"]).drop("chunk")
 
 
+def contract(at: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One task's part of a round: edges u > v, each in the task of either node ``at``, become edges to the smallest node they connect with.
+
+    An edge of a node that is not this task's own is left out where it was there before: its own task has it too.
+    """
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = place[:len(u)], place[len(u):]
+    low = forest(len(nodes), i, j)
+    x = np.flatnonzero(low != np.arange(len(nodes)))
+    known = np.isin(x * len(nodes) + low[x], i * len(nodes) + j)
+    x = x[np.isin(nodes[x], at) | ~known]
+    return nodes[x], nodes[low[x]]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of ``edges``(a, b), by alternating star contraction."""
-    now = scratch_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    """node, root (the smallest node reachable) for every node of ``edges``(a, b). In each round the edges of a node meet and point to
+    the smallest of their nodes, so that chains halve; it ends when a round changes nothing, and every component is a star."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("ngram_join")
+        held = [f for f in frames if len(f)]
+        if held:
+            u, v = contract(*(np.concatenate([f[c].to_numpy() for f in held]) for c in ("at", "u", "v")))
+            yield pd.DataFrame({"u": u, "v": v})
+
+    now = scratch_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "edges")
     mark = None
     while True:
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if seen.n == 0 or tuple(seen) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         mark = tuple(seen)
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = scratch_table(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-                            .filter("u <> v").distinct(), "edges")
+        both = now.select(F.explode(F.array("u", "v")).alias("at"), "u", "v")
+        now = scratch_table(both.repartition("at").mapInPandas(run, "u long, v long"), "edges")
 
 
 def _whole_sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
