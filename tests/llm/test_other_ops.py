@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -189,6 +190,33 @@ def test_classes_grow_with_the_vocabulary():
     assert class_lm.class_count(0) == 33 and class_lm.class_count(400_000) == 75 and class_lm.class_count(100_000_000) == 465
 
 
+def test_class_lm_counts_in_slices(monkeypatch):
+    """A block's neighbours are counted a slice at a time, the same as document by document."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(0, 9, 60)
+    held, ids, k = rng.random(60) < 0.2, rng.integers(0, 30, n.sum()).astype(np.int32), rng.integers(0, 6, 30)
+    want, at = defaultdict(int), 0
+    for size, out in zip(n.tolist(), held.tolist()):
+        own = ids[at:at + size].tolist()
+        at += size
+        for x, w in enumerate(own):
+            if not out:
+                want[w * 14 + (k[own[x - 1]] if x else 6)] += 1
+                want[w * 14 + 7 + (k[own[x + 1]] if x + 1 < size else 6)] += 1
+    for most in (1, 10, 10**6):
+        monkeypatch.setattr(class_lm, "TOKENS_AT_ONCE", most)
+        assert max(stop - start for _, _, start, stop in class_lm.slices(n)) <= max(most, 8)
+        assert dict(zip(*map(np.ndarray.tolist, class_lm.neighbour_counts(n, held, ids, k, 7)))) == want
+
+
+def test_class_lm_drops_the_tables_of_its_rounds(spark, odd_docs):
+    from txrisk.llm import common
+    common.drop_scratch(spark)
+    assert class_lm.score(odd_docs, F.lit(False)).count() == 12
+    left = os.listdir(common._root(spark).removeprefix("file:"))
+    assert sum(x.startswith("lm-neighbours") for x in left) == 0 and sum(x.startswith("lm-classes") for x in left) == 1
+
+
 # 6. n-gram join
 
 def _brute_components(texts, size=4, percent=85):

@@ -39,9 +39,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import scratch_table, ship_package, shuffle_partitions, small_arrow_batches
+from txrisk.llm.common import drop_table, light_arrow_batches, scratch_table, ship_package, shuffle_partitions, small_arrow_batches, without_shuffle_files
 
 BLOCK_BYTES = 16 << 20
+TOKENS_AT_ONCE = 1 << 18            # a block's documents are worked off in slices of about so many tokens
+CELLS_AT_ONCE = 1 << 19             # word-by-class gains held at once
 CORE, SUFFIXES = 512, 255          # least symbols of the start: frequent words, and groups by ending
 CLASSES = 32                       # at least; the last is the end token's own
 CORE_PER_CLASS = 4
@@ -77,6 +79,39 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def slices(n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first document, end, first token, end) of slices of about TOKENS_AT_ONCE tokens; a document is never cut."""
+    stop = np.cumsum(n)
+    at = begin = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(stop, begin + TOKENS_AT_ONCE, side="right")))
+        yield at, end, begin, int(stop[end - 1])
+        at, begin = end, int(stop[end - 1])
+
+
+def neighbour_counts(n: np.ndarray, held: np.ndarray, ids: np.ndarray, k: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents with ``n`` tokens each, those not ``held``: keys word * 2 * classes + side, ascending, and how often each occurs.
+    k: class by word; side: the class before, or classes + the class after."""
+    keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, end, start, stop in slices(n):
+        size = n[first:end]
+        last = np.cumsum(size)
+        own = ids[start:stop].astype(np.int64)
+        if not len(own):
+            continue
+        now = k[own]
+        before, after = np.roll(now, 1), np.roll(now, -1)
+        before[(last - size)[size > 0]] = after[last[size > 0] - 1] = classes - 1
+        train = np.repeat(~held[first:end], size)
+        key, c = np.unique(np.concatenate([(own * (2 * classes) + before)[train], (own * (2 * classes) + classes + after)[train]]), return_counts=True)
+        keys.append(key)
+        times.append(c)
+    if len(keys) == 2:
+        return keys[1], times[1]
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(back, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Rows of two kinds, stored once: a block's documents, and its dictionary entries (``word`` not null)."""
     names = ["block", "doc_id", "held", "n", "ids", "local", "word", "train"]
@@ -309,15 +344,9 @@ def _neighbours(texts: DataFrame, placed: DataFrame, state: DataFrame, classes:
     """``state`` with every word's counts of classes before it (side = class) and after it (side = classes + class)."""
     def count(docs_of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         _, k = _by_local(rows)
-        keys = []
-        for r in docs_of.itertuples(index=False):
-            n, ids = np.array(r.n, dtype=np.int64), _unpack(r.ids).astype(np.int64)
-            stop, now = np.cumsum(n), k[ids]
-            before, after = np.roll(now, 1), np.roll(now, -1)
-            before[(stop - n)[n > 0]] = after[stop[n > 0] - 1] = classes - 1
-            train = np.repeat(~np.array(r.held, dtype=bool), n)
-            keys += [(ids * (2 * classes) + before)[train], (ids * (2 * classes) + classes + after)[train]]
-        key, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found = [neighbour_counts(np.array(r.n, dtype=np.int64), np.array(r.held, dtype=bool), _unpack(r.ids), k, classes)
+                 for r in docs_of.itertuples(index=False)]          # one row
+        key, times = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         row_of, place_of = np.zeros(len(k), dtype=np.int32), np.zeros(len(k), dtype=np.int32)
         for i, (local, place) in enumerate(zip(rows["locals"], rows["places"])):
             row_of[_unpack(local)], place_of[_unpack(local)] = i, _unpack(place)
@@ -345,7 +374,7 @@ def _class_bigrams(counts: DataFrame, classes: int, empty: int) -> np.ndarray:
             for r in frame.itertuples(index=False):
                 k, side, n = _unpack(r.cls)[_unpack(r.at)], _unpack(r.side), np.frombuffer(r.n, dtype=np.int64)
                 after, first = side >= classes, side == end
-                np.add.at(table, (k[after], side[after] - classes), n[after])
+                table += np.bincount(k[after] * classes + (side[after] - classes), weights=n[after], minlength=classes * classes).astype(np.int64).reshape(classes, classes)
                 np.add.at(table[end], k[first], n[first])
         yield _table_rows(table)
 
@@ -369,7 +398,7 @@ def best_classes(table: np.ndarray, cls: np.ndarray, c: np.ndarray, at: np.ndarr
     base = f(grid)
     small = np.stack([f(grid + r) - base for r in range(1, SMALL + 1)])
     rows, cols = table.sum(axis=1).astype(np.float64), table.sum(axis=0).astype(np.float64)
-    step = max(1, (4 << 20) // classes)
+    step = max(1, CELLS_AT_ONCE // classes)
     cuts, here = [0], 0
     begin = np.flatnonzero(np.diff(at, prepend=-1))        # first entry of each word
     while here < len(begin):                               # words of about `step` entries at a time
@@ -410,8 +439,10 @@ def _moved(counts: DataFrame, table: np.ndarray, half: int) -> DataFrame:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 cls, turn = _unpack(r.cls), _unpack(r.half) == half
-                best = best_classes(shared.value, cls, np.frombuffer(r.c, dtype=np.int64), _unpack(r.at), _unpack(r.side),
-                                    np.frombuffer(r.n, dtype=np.int64), _unpack(r.home))
+                at = _unpack(r.at)
+                mine = turn[at]
+                best = best_classes(shared.value, cls, np.frombuffer(r.c, dtype=np.int64), at[mine], _unpack(r.side)[mine],
+                                    np.frombuffer(r.n, dtype=np.int64)[mine], _unpack(r.home))
                 yield pd.DataFrame([(r.bucket, r.c, r.tail, r.half, r.home, _pack(np.where(turn, best, cls)))],
                                    columns=["bucket", "c", "tail", "half", "home", "cls"])
 
@@ -430,9 +461,14 @@ def cluster(texts: DataFrame, placed: DataFrame, state: DataFrame, classes: int,
         table_new = _class_bigrams(counts_new, classes, empty)
         if (now := likelihood(table_new)) <= reached[-1]:
             lost += 1                                      # the other half may still gain
+            drop_table(new)
+            drop_table(counts_new)
             continue
+        drop_table(state)
+        drop_table(counts)
         state, counts, table, lost = new, counts_new, table_new, 0
         reached.append(now)
+    drop_table(counts)
     return state, table, reached
 
 
@@ -455,6 +491,12 @@ def _class_sizes(state: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
+    spark = docs.sparkSession
+    with light_arrow_batches(spark), without_shuffle_files(spark):       # each step's shuffle files go when its table is written
+        return _score(docs, held_out, id_col, text_col)
+
+
+def _score(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     small_arrow_batches(spark)
@@ -495,24 +537,29 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         own = np.log10(c + ADD) - emit[k]
         base_end = np.log10((ends + ADD) / (total + ADD * (distinct + 1)))
         own_end = np.log10(ends + ADD) - emit[end_class]
-        out = []
-        for r in docs_of.itertuples(index=False):
-            n, ids = np.array(r.n, dtype=np.int64), _unpack(r.ids)
+
+        def scored(doc_id, held, n, ids):
             doc = np.repeat(np.arange(len(n)), n)
             now = k[ids]
             stop = np.cumsum(n)
             before = np.concatenate([[end_class], now])[:-1] if len(now) else now
-            starts = (stop - n)[n > 0]
-            before[starts] = end_class
+            before[(stop - n)[n > 0]] = end_class
             last = np.full(len(n), end_class)
             last[n > 0] = now[stop[n > 0] - 1]
+
             def per_doc(x):
                 return np.bincount(doc, weights=x, minlength=len(n))
-            out.append(pd.DataFrame({
-                "doc_id": list(r.doc_id), "held_out": list(r.held), "n_tokens": n + 1,
+            return pd.DataFrame({
+                "doc_id": list(doc_id), "held_out": list(held), "n_tokens": n + 1,
                 "n_known": per_doc((c[ids] > 0).astype(float)).astype(np.int64) + (ends > 0), "train_tokens": total,
                 "base_score": per_doc(base[ids]) + base_end,
-                "score": per_doc(own[ids] + trans[before, now]) + own_end + trans[last, end_class]}))
+                "score": per_doc(own[ids] + trans[before, now]) + own_end + trans[last, end_class]})
+
+        out = []
+        for r in docs_of.itertuples(index=False):
+            n, ids = np.array(r.n, dtype=np.int64), _unpack(r.ids)
+            for first, end, begin, last in slices(n):
+                out.append(scored(r.doc_id[first:end], r.held[first:end], n[first:end], ids[begin:last]))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     made = texts.groupBy("block").cogroup(_deliver(state.mapInPandas(unseen, _STATE), placed).groupBy("block")).applyInPandas(

@@ -65,13 +65,28 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def without_shuffle_files(spark: SparkSession):
     """Writes inside delete the shuffle files of their query when they end, not when the driver's garbage is collected."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def light_arrow_batches(spark: SparkSession, size: int = 8 << 20):
+    """Inside, Arrow batches end at ``size`` bytes: for rows of megabytes each, of which two or three copies are held per batch."""
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size)):
+        yield
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -85,6 +100,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete a :func:`scratch_table` that no later read needs."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove_path(table.sparkSession, folder)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it once no result that reads them is needed."""
     remove_path(spark, _root(spark))
