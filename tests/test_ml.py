@@ -279,3 +279,27 @@ def test_training_table_is_not_collected(spark):
     """Tables that grow with the events are joined by shuffle: a broadcast passes whole through the driver."""
     plan = fx.transfers(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+
+
+def _event_tables(spark, folder, n=240):
+    """Own events and customers, with both labels."""
+    import datetime
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(minutes=37 * i), i % 12, ["view", "error", "click"][i % 3], float(1 + i * 7 % 50),
+               f'{{"k": {i % 11}}}') for i in range(n)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{folder}/events.parquet")
+    customers = [(i, f"c{i}", 0, 40.0 * i - 20, ["BUILDING", "FURNITURE"][i % 2]) for i in range(12)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string") \
+        .write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def test_explained_scores_are_ranked_without_an_inferred_filter(spark, tmp_dir):
+    """Exploding a bare column makes Spark filter on its size, below the explanation: the whole of it once more, uncompiled."""
+    from txrisk.plans.queries import QUERIES
+    out = QUERIES["explain_scores"](spark, _event_tables(spark, tmp_dir))
+    assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert sorted((r["event_id"], r["rank"]) for r in rows) == [(i, k) for i in range(240) for k in range(1, 6)]
+    assert out.columns == ["event_id", "risk_score", "bias", "margin_sum", "rank", "feature", "contribution"]

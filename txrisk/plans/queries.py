@@ -333,12 +333,15 @@ def _training_table(spark, sf_dir):
     return _features(spark, sf_dir, keep=("event_id", "fraud_label")).withColumnRenamed("fraud_label", "label")
 
 
-def _trained(spark, sf_dir, profile="fast"):
-    """Model fitted on the 80 % split of the transfer table (cached per process)."""
+def _trained(spark, sf_dir, profile="fast", table=None):
+    """Model fitted on the 80 % split of the transfer table (cached per process). ``table``: the transfer table, where the
+    caller has stored it for its own use."""
     key = (spark.sparkContext.applicationId, sf_dir, profile)
     if key not in _MODELS:
         from txrisk.operators.split import stratified_split
-        data = stratified_split(stored(_training_table(spark, sf_dir), "training"), "event_id", "label", 0.2, 42)
+        if table is None:
+            table = stored(_training_table(spark, sf_dir), "training")
+        data = stratified_split(table, "event_id", "label", 0.2, 42)
         train = data.filter(~F.col("is_test")).drop("is_test")
         model = TN.fit(train, TRANSFER_FEATURE_COLUMNS, profile)
         num, cat = PR.split_columns(train, TRANSFER_FEATURE_COLUMNS)
@@ -364,12 +367,12 @@ def training_metrics(spark, sf_dir):
 
 @query
 def explain_scores(spark, sf_dir):
-    model, names = _trained(spark, sf_dir)
-    scored = TN.score(model, _training_table(spark, sf_dir))
+    table = stored(_training_table(spark, sf_dir), "training")
+    model, names = _trained(spark, sf_dir, table=table)
+    scored = TN.score(model, table)
     ex = _explain(model, scored, names, ["event_id", "risk_score"])
-    return ex.select("event_id", "risk_score", "bias", "margin_sum", F.posexplode("top").alias("pos", "t")).select(
-        "event_id", "risk_score", "bias", "margin_sum", (F.col("pos") + 1).alias("rank"),
-        F.col("t.feature").alias("feature"), F.col("t.value").alias("contribution"))
+    # exploding the bare column would make Spark infer the filter size(top) > 0 and push it below, explanation and all
+    return TK.explode_ranked(ex, "top", ["event_id", "risk_score", "bias", "margin_sum"])
 
 
 EVALUATED_AT = "1970-01-01T00:00:00.000000Z"
