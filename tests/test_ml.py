@@ -303,3 +303,19 @@ def test_explained_scores_are_ranked_without_an_inferred_filter(spark, tmp_dir):
     rows = out.collect()
     assert sorted((r["event_id"], r["rank"]) for r in rows) == [(i, k) for i in range(240) for k in range(1, 6)]
     assert out.columns == ["event_id", "risk_score", "bias", "margin_sum", "rank", "feature", "contribution"]
+
+
+def test_training_metrics_are_those_of_the_transfer_profile(spark, tmp_dir, monkeypatch):
+    """The query measures the reference's model: 400 trees of depth 6, not the small profile of the other queries."""
+    from txrisk.plans import queries as Q
+    asked, fit = [], TN.fit
+
+    def small(train, features, profile):
+        asked.append(TN.PROFILES[profile])
+        return fit(train, features, TN.Profile(trees=2, step=0.3, depth=2, subsample=1.0, feature_fraction=1.0))
+
+    monkeypatch.setattr(TN, "fit", small)
+    monkeypatch.setattr(Q, "_MODELS", {})
+    row = Q.QUERIES["training_metrics"](spark, _event_tables(spark, tmp_dir)).first()
+    assert [(p.trees, p.depth, p.step, p.subsample, p.feature_fraction, p.min_instances) for p in asked] == [(400, 6, 0.03, 0.85, 0.85, 3)]
+    assert 48 <= row.tp + row.fp + row.fn + row.tn <= 49 and 0 <= row.auc_roc <= 1       # a fifth of each class, rounded up
