@@ -296,7 +296,7 @@ def _event_tables(spark, folder, n=240):
 
 
 def test_explained_scores_are_ranked_without_an_inferred_filter(spark, tmp_dir):
-    """Exploding a bare column makes Spark filter on its size, below the explanation: the whole of it once more, uncompiled."""
+    """Exploding a bare column makes Spark filter on its size, below the explanation: the whole of it once more."""
     from txrisk.plans.queries import QUERIES
     out = QUERIES["explain_scores"](spark, _event_tables(spark, tmp_dir))
     assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
